@@ -69,18 +69,14 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NON_WORD_RUN), "")
 
 
-def rolling_hash(hashes: Column, steps: int) -> Column:
-    """From an array of longs, the hash of each run of ``2 ** steps`` values.
+def with_run_hashes(df: DataFrame, column: str, steps: int) -> DataFrame:
+    """Turn an array of longs into the hashes of its runs of ``2 ** steps``.
 
     Each step pairs every hash with the one just behind its run, so the work is
     ``steps`` passes and not one slice per position. Shorter arrays give none.
     """
-    run = 1
-    for _ in range(steps):
-        n = F.size(hashes) - run
-        hashes = F.when(
-            n > 0,
-            F.zip_with(F.slice(hashes, 1, F.greatest(n, F.lit(0))), F.slice(hashes, run + 1, F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b)),
-        ).otherwise(F.array().cast("array<bigint>"))
-        run *= 2
-    return hashes
+    for step in range(steps):
+        run = 2**step
+        n = F.greatest(F.size(column) - run, F.lit(0))
+        df = df.withColumn(column, F.zip_with(F.slice(column, 1, n), F.slice(column, run + 1, n), lambda a, b: F.xxhash64(a, b)))
+    return df

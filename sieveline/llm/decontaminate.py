@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, materialize, rolling_hash
+from .common import alnum_words, ascii_lower, materialize, with_run_hashes
 
 #: Words of a benchmark window (fixed by the contract) and of a shingle.
 WINDOW, SHINGLE = 10, 4
@@ -23,21 +23,18 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _shingles(hashes: Column, size: int) -> Column:
-    if size == SHINGLE:
-        return rolling_hash(hashes, 2)
-    if size == 1:
-        return hashes
-    if size == 2:
-        return rolling_hash(hashes, 1)
-    pairs = rolling_hash(hashes, 1)
-    n = F.greatest(F.size(pairs) - 1, F.lit(0))
-    return F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 2, n), lambda a, b: F.xxhash64(a, b))
+def _with_shingles(df: DataFrame, size: int) -> DataFrame:
+    """Adds g<size>, the hashes of all runs of ``size`` words of column wh."""
+    column = f"g{size}"
+    df = with_run_hashes(df.withColumn(column, F.col("wh")), column, {1: 0, 2: 1, 3: 1, 4: 2}[size])
+    if size == 3:
+        n = F.greatest(F.size(column) - 1, F.lit(0))
+        df = df.withColumn(column, F.zip_with(F.slice(column, 1, n), F.slice(column, 2, n), lambda a, b: F.xxhash64(a, b)))
+    return df
 
 
 def _places(size: int) -> Column:
-    """All shingles of ``size`` words of the column wh, with their places."""
-    return F.transform(_shingles(F.col("wh"), size), lambda h, i: F.struct(F.lit(size).alias("len"), i.alias("pos"), h.alias("h")))
+    return F.transform(f"g{size}", lambda h, i: F.struct(F.lit(size).alias("len"), i.alias("pos"), h.alias("h")))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -50,10 +47,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         "item", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("at", "win")
     ).withColumn("size", F.size("win"))
     hashed = windows.withColumn("len", F.least(F.col("size"), F.lit(SHINGLE))).withColumn("wh", _word_hashes(F.col("win")))
-    return hashed.select(
-        "item", "at", "size", "win", "len",
-        F.when(F.col("len") == 4, _shingles(F.col("wh"), 4)).when(F.col("len") == 3, _shingles(F.col("wh"), 3)).when(F.col("len") == 2, _shingles(F.col("wh"), 2)).otherwise(F.col("wh")).alias("shingles"),
-    )
+    for n in range(1, SHINGLE + 1):
+        hashed = _with_shingles(hashed, n)
+    by_len = F.when(F.col("len") == 1, F.col("g1")).when(F.col("len") == 2, F.col("g2")).when(F.col("len") == 3, F.col("g3")).otherwise(F.col("g4"))
+    return hashed.select("item", "at", "size", "win", "len", by_len.alias("shingles"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -76,6 +73,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hashed = docs.select("doc_id", *key, alnum_words(F.col("text")).alias("w")).select("doc_id", "k1", "k2", F.size("w").alias("n_words"), _word_hashes(F.col("w")).alias("wh"))
     # One marker at place -1 carries the document itself through the same scan.
     marked = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.xxhash64("k1", "k2").alias("h")))
+    for n in lengths:
+        hashed = _with_shingles(hashed, n)
     lists = [_places(n) for n in lengths]
     postings = hashed.select("doc_id", "k1", "k2", "n_words", F.explode(F.concat(marked, *lists)).alias("s")).select("doc_id", "k1", "k2", "n_words", "s.*")
     seen = postings.join(tokens.withColumn("known", F.lit(True)), "h", "left").where("known or pos < 0").drop("known")
