@@ -53,16 +53,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return hashed.select("item", "at", "size", "win", "len", by_len.alias("shingles"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Overlap of every document with the benchmark.
-
-    Returns one row per row of ``docs``: doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated. Null or empty texts have no words and no hits;
-    repeated rows each get a row; a null item_id counts as the empty string;
-    items without words are no items. Other columns of either table are not
-    read. An empty table on either side gives no hits.
-    """
-    spark = docs.sparkSession
+def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """All documents (doc_id, k1, k2, n_words) and, for those with any, their
+    hits (k1, k2, n_hit, n_items, sha). k1 and k2 name a row: its doc_id and
+    the hash of its text."""
     windows = materialize(benchmark_windows(benchmark, window), "windows")
     tokens = windows.select(F.explode("shingles").alias("h")).distinct()
     tokens = materialize(tokens, "tokens")
@@ -103,6 +97,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     places = F.array_distinct(F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))
     hits = hits.select("k1", "k2", F.size(places).alias("n_hit"), F.size(items).alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("sha")).dropDuplicates(["k1", "k2"])
     hits = materialize(hits, "hits")
+    return all_docs, hits
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Overlap of every document with the benchmark.
+
+    Returns one row per row of ``docs``: doc_id, n_words, n_hit, n_items,
+    items_sha256, contaminated. Null or empty texts have no words and no hits;
+    repeated rows each get a row; a null item_id counts as the empty string;
+    items without words are no items. Other columns of either table are not
+    read. An empty table on either side gives no hits.
+    """
+    all_docs, hits = overlap(docs, benchmark, window)
     return all_docs.join(hits, ["k1", "k2"], "left").select(
         "doc_id",
         F.col("n_words").cast("long"),
@@ -113,6 +120,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    _, hits = overlap(docs, benchmark, window)
+    keyed = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(-1)), "_k2": F.xxhash64("text")})
+    dirty = hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    return keyed.join(dirty, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,

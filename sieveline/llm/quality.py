@@ -45,11 +45,12 @@ class Robust:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every text, in one scan."""
+    """doc_id, key (hash of the text), lang, source and the counts of every text,
+    in one scan."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", "lang", "source", text.alias("text")).withColumn("w", space_words(F.col("text")))
+    base = docs.select("doc_id", F.xxhash64("text").alias("key"), "lang", "source", text.alias("text")).withColumn("w", space_words(F.col("text")))
     counted = base.select(
-        "doc_id", "lang", "source",
+        "doc_id", "key", "lang", "source",
         F.length("text").alias("n_chars"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -68,7 +69,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     steps = F.zip_with(F.slice("p", 1, m), F.slice("p", 2, m), lambda a, b: F.least(b - a, F.lit(size)))
     covered = F.aggregate(steps, F.lit(size), lambda acc, x: acc + x)
     return placed.select(
-        "doc_id", "lang", "source", "n_chars", "n_words", "word_chars", "n_symbols",
+        "doc_id", "key", "lang", "source", "n_chars", "n_words", "word_chars", "n_symbols",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("repeats"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
@@ -153,7 +154,7 @@ def quality(docs: DataFrame, settings: Robust = Robust()) -> DataFrame:
     """Statistics and verdict of every document.
 
     Returns one row per row of ``docs``: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, distance2. A null text has
+    n_dup_lines, n_repeat_words, base_failed, kept, distance2, key. A null text has
     no words; a null lang or source is a group of its own; repeated rows each
     get a row; an empty table gives an empty result. Repeated windows are found
     by 64-bit hashes within a text. Extra columns are not read.
@@ -163,5 +164,12 @@ def quality(docs: DataFrame, settings: Robust = Robust()) -> DataFrame:
     return found.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("d2") <= settings.reject_cut)).alias("kept"),
-        F.col("d2").alias("distance2"),
+        F.col("d2").alias("distance2"), "key",
     )
+
+
+def keep_good(docs: DataFrame, settings: Robust = Robust()) -> DataFrame:
+    """The rows of ``docs`` that the rules and the estimate keep."""
+    good = quality(docs, settings).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    return keyed.join(good, keyed["doc_id"].eqNullSafe(good["_id"]) & (keyed["_text_key"] == good["_key"]), "left_semi").select(*docs.columns)
