@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,19 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and lets the
     optimizer plan the next join with the real size. Spark removes the files
-    when the application ends.
+    when the application ends. With ``free`` the driver collects its garbage
+    afterwards, so that Spark drops the shuffle files behind ``df`` now and not
+    when memory happens to run short.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if free:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
