@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import privacy
+from . import layout, privacy
 from .registry import Query
 
-MODULES = (privacy,)
+MODULES = (privacy, layout)
 
 
 def queries() -> dict[str, Query]:
