@@ -100,7 +100,39 @@ def test_links_keep_dense_groups_connected(spark):
     assert len(roots) == 1
 
 
-def test_keep_one(spark):
-    rows = [(5, "a b c d e f", "x"), (4, "A b c d e f", "y"), (4, "A b c d e f", "y"), (8, "something else entirely here", "z"), (5, "third text of its own kind", "w")]
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_keep_one_of_near_copies(spark):
+    """Every near copy goes, and no text without one does."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows, group = [], {}
+    for g in range(40):
+        base = r.choices(words, k=r.randint(120, 260))
+        for c in range(r.choice([1, 1, 2, 6])):
+            copy = list(base)
+            if c % 2:
+                copy[r.randrange(len(copy))] = r.choice(words)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy), "x"))
+        half = base[: len(base) // 2] + r.choices(words, k=len(base) // 2)
+        group[len(rows)] = ("half", g)
+        rows.append((len(rows), " ".join(half), "x"))
+    alike = lambda s, t: len(s & t) >= 0.8 * len(s | t)
+    sets = [shingles(t) for _, t, _ in rows]
+    assert all(alike(sets[i], sets[j]) == (group[i] == group[j]) for i in range(len(rows)) for j in range(i))
+    kept = sorted(x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    assert kept == sorted(first.values())
+
+
+def test_keep_one_edges(spark):
+    rows = [(5, "a b c d e f", "x"), (4, "A b c d e f", "y"), (4, "A b c d e f", "y"), (8, "something else entirely here", "z"), (5, "third text of its own kind", "w"), (None, None, "n"), (9, " ", "n"), (None, "lone words", "n")]
     kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted((r.doc_id, r.extra) for r in kept) == [(4, "y"), (5, "w"), (8, "z")]
+    assert sorted((str(r.doc_id), r.extra) for r in kept) == [("4", "y"), ("5", "w"), ("8", "z"), ("9", "n"), ("None", "n")]
+    assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
