@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +49,10 @@ def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     schema = df.schema
     if free:
         del df
-        gc.collect()
-        spark._jvm.System.gc()
+        for _ in range(2):  # what the listeners still held at first goes with the second
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -1,10 +1,9 @@
 """Repeated passages by suffix arrays built with two-stage sorting.
 
 A string of ``length`` bytes that two documents share contains an anchor: the
-``GRAM`` bytes with the smallest hash of its windows, which both documents
-choose alike. Anchors met in one document only are dropped by an aggregate. The
-bytes around the others are cut into pieces and dealt to blocks of bounded
-size; a block's suffix array is sorted in two stages, and equal strings are
+``GRAM`` bytes in it with the smallest hash, which both documents choose alike.
+Anchors met in one document only are dropped by an aggregate. The strings of
+the others are cut out in pieces and dealt to blocks of bounded size; a block's suffix array is sorted in two stages, and equal strings are
 neighbours whose common prefix is long enough. Groups larger than a block are
 split, and the strings that are new in each part are compared by an aggregate.
 """
@@ -52,22 +51,21 @@ def _slide(x: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
     return choose(x[: -(width - run)], x[width - run :]) if run < width else x
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text."""
-    width, places, values = length - GRAM + 1, [], []
+def least_hashes(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
+    """For each string of ``length`` bytes the smallest hash of its grams: the
+    first string's place, and the hashes of a run of strings."""
     for at in range(0, len(text) - length + 1, CHUNK):
         data = np.frombuffer(text, np.uint8, min(len(text) - at, CHUNK + length - 1), at)
         w = _words(data)
         n = len(data) - GRAM + 1
         h = _mix((_mix(w[:n] * np.uint64(0x9E3779B97F4A7C15)) + w[8 : 8 + n]) * np.uint64(0x9E3779B97F4A7C15))
-        least = np.pad(_slide(h, width, np.minimum), width - 1)
-        found = np.flatnonzero(_slide(least, width, np.maximum) == h)
-        places.append(found + at)
-        values.append(h[found])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(values)[first]
+        yield at, _slide(h, length - GRAM + 1, np.minimum)
+
+
+def anchors(text: bytes, length: int = LENGTH) -> np.ndarray:
+    """The distinct smallest hashes of a text's strings."""
+    found = [np.unique(x) for _, x in least_hashes(text, length)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
 def _is_smaller(t: np.ndarray) -> np.ndarray:
@@ -128,7 +126,7 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tupl
 
     Returns, for every place of the joined pieces: whether a string starts
     there, whether a piece of a smaller document has it too, whether it is the
-    first of its kind; and where each piece begins.
+    smallest document's; and where each piece begins.
     """
     lengths = np.array([len(p) for p in pieces])
     begin = np.cumsum(lengths) - lengths
@@ -153,8 +151,7 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tupl
     least = np.repeat(least, np.diff(np.append(heads, len(order))))
     removed, first = np.zeros(len(t), bool), np.zeros(len(t), bool)
     removed[order] = owner[order] > least
-    leader = np.lexsort((order, owner[order], group))[heads]
-    first[order[leader]] = True
+    first[order] = owner[order] == least
     return inside, removed, first, begin
 
 
@@ -162,43 +159,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
 
 
-def _anchor_rows(docs: DataFrame, with_places: bool, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, with_key: bool, length: int) -> DataFrame:
+    """h and d (and key): a row for each distinct anchor of a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
                 found = [anchors(b.as_py(), length) for b in part.column("b")]
-                if not with_places:
-                    found = [(p, np.unique(h)) for p, h in found]
-                sizes = [len(h) for _, h in found]
-                columns = {"h": np.concatenate([h for _, h in found]).view(np.int64), "d": np.repeat(part.column("d").to_numpy(), sizes)}
-                if with_places:
-                    columns |= {"key": np.repeat(part.column("key").to_numpy(), sizes), "pos": np.concatenate([p for p, _ in found])}
+                sizes = [len(h) for h in found]
+                columns = {"h": np.concatenate(found).view(np.int64), "d": np.repeat(part.column("d").to_numpy(), sizes)}
+                if with_key:
+                    columns["key"] = np.repeat(part.column("key").to_numpy(), sizes)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "h bigint, d bigint" + ", key bigint, pos bigint" * with_places
-    return _keyed(docs).where(F.length("b") >= length).mapInArrow(run, schema)
+    return _keyed(docs).where(F.length("b") >= length).mapInArrow(run, "h bigint, d bigint" + ", key bigint" * with_key)
 
 
 def _pieces(joined: DataFrame, length: int) -> DataFrame:
-    """Bytes around the shared anchors, a piece for each run of one first document."""
+    """The bytes of the strings whose anchor is shared, a piece for each run of
+    strings whose anchor has the same first document, m.
+
+    Equal strings have the same anchor, so all of them are in pieces of one m.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"d": [], "key": [], "start": [], "m": [], "id": [], "bytes": []}
             for d, key, b, found in zip(*(batch.column(c) for c in ("d", "key", "b", "found")), strict=True):
                 text, values = b.as_py(), found.values.flatten()
-                pos, m = values[0].to_numpy(), values[1].to_numpy()
-                order = np.lexsort((pos, m))
-                pos, m = pos[order], m[order]
-                low, high = np.maximum(pos + GRAM - length, 0), np.minimum(pos, len(text) - length)
-                new = np.concatenate(([True], (m[1:] != m[:-1]) | (low[1:] > high[:-1] + 1)))
-                starts = np.flatnonzero(new)
-                for a, z in zip(starts, [*(starts[1:] - 1), len(pos) - 1], strict=True):
-                    for at in range(int(low[a]), int(high[z]) + 1, PIECE):
-                        piece = text[at : min(at + PIECE - 1, int(high[z])) + length]
-                        for name, value in (("d", d.as_py()), ("key", key.as_py()), ("start", at), ("m", int(m[a])), ("id", hashlib.blake2b(piece, digest_size=16).digest()), ("bytes", piece)):
-                            out[name].append(value)
+                h, m = values[0].to_numpy().view(np.uint64), values[1].to_numpy()
+                order = np.argsort(h)
+                h, m = h[order], m[order]
+                for first, least in least_hashes(text, length):
+                    at = np.minimum(np.searchsorted(h, least), len(h) - 1)
+                    shared, group = h[at] == least, m[at]
+                    ends = np.flatnonzero(np.concatenate(((shared[1:] != shared[:-1]) | (group[1:] != group[:-1]), [True]))) + 1
+                    begins = np.concatenate(([0], ends[:-1]))
+                    for begin, end in zip(begins[shared[begins]].tolist(), ends[shared[begins]].tolist(), strict=True):
+                        for s in range(begin, end, PIECE):
+                            piece = text[first + s : first + min(s + PIECE, end) + length - 1]
+                            for name, value in (("d", d.as_py()), ("key", key.as_py()), ("start", first + s), ("m", int(group[begin])), ("id", hashlib.blake2b(piece, digest_size=16).digest()), ("bytes", piece)):
+                                out[name].append(value)
             types = {"id": pa.binary(), "bytes": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
@@ -239,7 +241,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """d, key (which name a row) and spans: the stretches (lo, hi) to remove."""
     shared = _anchor_rows(docs, False, length).groupBy("h").agg(F.min("d").alias("m"), F.max("d").alias("x")).where("m < x").select("h", "m")
     shared = materialize(shared, "shared", free=True)
-    met = _anchor_rows(docs, True, length).join(shared, "h").groupBy("d", "key").agg(F.collect_set(F.struct("pos", "m")).alias("found"))
+    met = _anchor_rows(docs, True, length).join(shared, "h").groupBy("d", "key").agg(F.collect_list(F.struct("h", "m")).alias("found"))
     met = materialize(met, "met", free=True)
     texts = _keyed(docs).join(met, ["d", "key"])
     pieces = materialize(_pieces(texts, length), "pieces", free=True)
