@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import layout, privacy
+from . import layout, outgoing, privacy, tasks
 from .registry import Query
 
-MODULES = (privacy, layout)
+MODULES = (privacy, layout, outgoing, tasks)
 
 
 def queries() -> dict[str, Query]:
