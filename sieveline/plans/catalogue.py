@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import layout, outgoing, privacy, tasks
+from . import layout, outgoing, privacy, sessions, subjects, tasks
 from .registry import Query
 
-MODULES = (privacy, layout, outgoing, tasks)
+MODULES = (privacy, layout, outgoing, tasks, sessions, subjects)
 
 
 def queries() -> dict[str, Query]:
