@@ -17,7 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # Watermarks need a time with a zone.
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def debounced(events: DataFrame, gap: str = "200 milliseconds", late: str = "1 minute") -> DataFrame:
