@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LENGTH, GRAM = 50, 16
+#: Shorter grams are fewer but more of them are shared by chance.
+LENGTH, GRAM = 50, 20
 #: Bytes of a text whose anchors are sought at a time, string starts in a piece,
-#: and bytes of a block.
-CHUNK, PIECE, BLOCK = 1 << 20, 1 << 17, 1 << 21
+#: bytes beyond which a group is split, and of groups that are pooled in a block.
+CHUNK, PIECE, BLOCK, POOL = 1 << 20, 1 << 17, 1 << 22, 1 << 20
 #: What a row without doc_id is ordered as: behind all others.
 LAST = 2**63 - 1
 
@@ -58,7 +59,9 @@ def least_hashes(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.nd
         data = np.frombuffer(text, np.uint8, min(len(text) - at, CHUNK + length - 1), at)
         w = _words(data)
         n = len(data) - GRAM + 1
-        h = _mix((_mix(w[:n] * np.uint64(0x9E3779B97F4A7C15)) + w[8 : 8 + n]) * np.uint64(0x9E3779B97F4A7C15))
+        h = _mix(w[:n] * np.uint64(0x9E3779B97F4A7C15))
+        for k in (8, GRAM - 8):  # eight bytes at a time, the last ones from the end
+            h = _mix((h + w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15))
         yield at, _slide(h, length - GRAM + 1, np.minimum)
 
 
@@ -250,11 +253,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     distinct = pieces.groupBy("m", "id").agg(F.min("d").alias("first"), F.first("bytes").alias("bytes"))
     distinct = materialize(distinct, "distinct", free=True)
     sizes = materialize(distinct.groupBy("m").agg(F.sum(F.length("bytes")).alias("total")), "totals")
-    blocks = max(1, (sizes.agg(F.sum("total")).first()[0] or 0) // BLOCK)
+    blocks = max(1, (sizes.agg(F.sum("total")).first()[0] or 0) // POOL)
+    # Few groups are larger than a block, so the pieces themselves need no shuffle here.
+    large = materialize(sizes.where(F.col("total") > BLOCK), "large")
     part: Column = F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / BLOCK) * 2)
-    hot = F.col("total") > BLOCK
+    hot = F.col("total").isNotNull()
     block = F.when(hot, F.concat_ws("/", "m", part)).otherwise(F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("string"))
-    dealt = distinct.join(sizes, "m").select("m", "id", "first", "bytes", hot.alias("hot"), block.alias("block"))
+    dealt = distinct.join(large, "m", "left").select("m", "id", "first", "bytes", hot.alias("hot"), block.alias("block"))
     schema = "m bigint, id binary, first bigint, lo bigint, hi bigint, h1 bigint, h2 bigint, string boolean"
     found = materialize(dealt.groupBy("block").applyInArrow(_block(length), schema), "found", free=True)
 
