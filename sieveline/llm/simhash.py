@@ -10,6 +10,7 @@ are ``2**(r+1) - 1`` tables, and each keeps a little over half of the bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .common import discard, materialize
 BITS, RADIUS = 64, 2
 #: Bytes of a text that are split into words at a time.
 PIECE = 1 << 20
+#: Slots in which shingles are counted to order them, and what rounding may take.
+SLOTS, SLACK = 1 << 16, 1e-6
 #: For each byte value, its bits, lowest first.
 _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -160,94 +163,140 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def _majority(hashes: np.ndarray) -> int:
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BIT_TABLE for k in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted (zero if it has none)."""
+    found = list(_shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), shingle, 0))
+    return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
 
 
-def word_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key and fp: the SimHash of a text's distinct words.
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and s: the shingle set of a text."""
 
-    Words count once, so common ones don't rule the bits, and an edit moves few
-    bits: of the pairs that share 0.8 of their five-word shingles, nine in ten
-    and more are within six bits, while unrelated texts are some thirty apart.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [_shingle_set(text.as_py(), shingle).view(np.int64) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>")
+
+
+def slot_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall into each of ``SLOTS`` slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            found = []
             for text in batch.column("text"):
-                words = set((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
-                found.append(_majority(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))) if words else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found, pa.int64())], names=["doc_id", "key", "fp"])
+                counts += np.bincount((_shingle_set(text.as_py(), shingle) % SLOTS).astype(np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, fp bigint")
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        counts[slot] = n
+    return counts
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """key and s: the distinct shingle hashes of a text (zero if it has none)."""
+def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Row by row doc_id, key, node (the hash of the shingle set), size (of the
+    set) and prefix: its first hashes in an order that all texts share.
+
+    Two sets with a Jaccard of ``least`` have ``least`` of the larger one in
+    common, so in any shared order each has a common hash among its first
+    ``size - ceil(least * size) + 1``. Hashes of emptier slots come first: what
+    many texts have is in the prefix of few.
+    """
+    counts = slot_counts(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = []
-                for text in part.column("text"):
-                    found = list(_shingle_hashes((text.as_py() or "").encode("utf-8", "surrogatepass").lower(), shingle, 0))
-                    sets.append(np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(1, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
+            nodes, sizes, firsts = [], [], []
+            for text in batch.column("text"):
+                found = _shingle_set(text.as_py(), shingle)
+                n = len(found) - math.ceil(least * len(found) - SLACK) + 1
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                firsts.append(found[np.lexsort((found, counts[(found % SLOTS).astype(np.int64)]))[:n]].view(np.int64))
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], names=["doc_id", "key", "node", "size", "prefix"])
 
-    return texts.select("key", "text").mapInArrow(run, "key bigint, s array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, prefix array<bigint>")
 
 
-def close_pairs(fps: DataFrame, radius: int) -> DataFrame:
-    """Pairs a > b of values within ``radius`` bits that meet in a table.
+def buckets(scanned: DataFrame) -> DataFrame:
+    """h, node, size, pos and rank: the sets that have h in their prefix, where
+    more than one has. Sets with much in common with others rank first, so that
+    the original of many copies is compared with them early."""
+    dealt = scanned.select("node", "size", "prefix").dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("pos", "h"))
+    shared = materialize(dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1"), "shared", free=True)
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("weight"), "node"))
+    return materialize(shared.join(weight, "node").select("h", "node", "size", "pos", rank.alias("rank")), "buckets", free=True)
 
-    ``fps`` has distinct fp with a value rep. In each bucket a fingerprint is
-    paired with the one before it and with the first, so pairs grow as the
-    bucket does and not as its square; over all tables a group of close ones is
-    one chain. A bucket holds at most its table's rows, one in 2**(radius + 1).
-    """
-    masks = covering_masks(radius)
-    slots = F.explode(F.array(*[F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(m))) for v, m in enumerate(masks)])).alias("slot")
-    dealt = fps.select(F.struct("fp", "rep").alias("x"), slots)
-    in_slot = Window.partitionBy("slot").orderBy("x")
-    met = dealt.withColumns({"before": F.lag("x").over(in_slot), "first": F.first("x").over(in_slot)}).where("before is not null")
-    pairs = met.select("x", F.explode(F.array("before", "first")).alias("y")).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius)
-    return pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).where("a <> b").distinct()
 
+def alike_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """node and root for the sets linked by pairs of at least ``least``.
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 6) -> DataFrame:
+    ``members`` are the buckets. In each, the sets of the next ranks are compared
+    with all behind them, but for those already linked to them and those whose
+    sizes and places rule the Jaccard out. It ends when all that is left in any
+    bucket is linked; so every pair that could be alike was compared or is
+    linked, and a bucket of one group takes one round and no pairs by the square.
+    """
+    spark = members.sparkSession
+    alike = spark.createDataFrame([], "a bigint, b bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    low, high = 1, 2
+    while True:
+        left = members.where(F.col("rank") >= low).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = left.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+        left = materialize(left.join(mixed, "h", "left_semi"), "left", free=True)
+        if left.isEmpty():
+            return roots
+        p, q = left.where(F.col("rank") < high).alias("p"), left.alias("q")
+        behind = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos"))
+        most = F.least("p.pos", "q.pos") + behind
+        needed = least / (1 + least) * (F.col("p.size") + F.col("q.size")) - SLACK
+        pairs = p.join(q, F.col("p.h") == F.col("q.h")).where((F.col("p.rank") < F.col("q.rank")) & (F.col("p.root") != F.col("q.root")) & (most >= needed))
+        pairs = materialize(pairs.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct(), "pairs", free=True)
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
+        common = F.size(F.array_intersect("p", "q"))
+        found = materialize(both.where(common >= least * (F.size("p") + F.size("q") - common)).select("a", "b"), "alike", free=True)
+        if not found.isEmpty():
+            alike = materialize(alike.unionByName(found), "links")
+            roots = materialize(components(alike), "roots", free=True)
+        discard(left)
+        discard(pairs)
+        low, high = high, 4 * high
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, of each group of near duplicates one only.
 
     Near duplicates are alike in at least ``least`` of their word shingles
     (Jaccard, A-Z lower-cased; texts with fewer words: of their whole word
-    sequence), or linked by such. Candidates come from covering tables over word
-    fingerprints, and every candidate pair is verified, so no text goes because
-    of bits alone. The row with the smallest doc_id stays (rows without one come
+    sequence), or linked by such. Equal sets are one; the others are found by
+    their prefixes, which no alike pair escapes, and every candidate pair is
+    verified. The row with the smallest doc_id stays (rows without one come
     last; rows of one id by the hash of their text). Rows repeated in full count
     once. All wordless texts are one group. Columns stay as they are.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    texts = materialize(word_fingerprints(docs).groupBy("key").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "texts", free=True)
-    fps = materialize(texts.groupBy("fp").agg(F.min("key").alias("rep")), "fps")
-    same = texts.join(fps, "fp").where("key <> rep").select(F.greatest("key", "rep").alias("a"), F.least("key", "rep").alias("b"))
-    pairs = materialize(close_pairs(fps, radius).unionByName(same).distinct(), "pairs", free=True)
+    scanned = materialize(prefixes(docs, shingle, least), "prefixes", free=True)
+    nodes = materialize(scanned.groupBy("node").agg(F.min(order).alias("first")), "nodes", free=True)
+    members = buckets(scanned)
+    discard(scanned)
 
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    holders = texts.join(needed, "key").select(F.col("first.doc_id").alias("_id"), "key")
-    held = keyed.join(holders, keyed["doc_id"].eqNullSafe(holders["_id"]) & (keyed["_key"] == holders["key"])).select("key", "text")
-    sets = materialize(shingle_sets(held, shingle).dropDuplicates(["key"]), "sets", free=True)
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("q")), "b")
-    common = F.size(F.array_intersect("p", "q"))
-    alike = both.where(common >= least * (F.size("p") + F.size("q") - common)).select("a", "b")
-
-    roots = materialize(components(alike), "roots", free=True)
-    rooted = texts.join(roots.withColumnRenamed("node", "key"), "key", "left").select(F.coalesce("root", "key").alias("root"), "first")
+    holders = nodes.join(members.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_text"))
+    held = keyed.join(holders, keyed["doc_id"].eqNullSafe(holders["_id"]) & (keyed["_key"] == holders["_text"])).select("node", "text")
+    sets = materialize(shingle_sets(held, shingle).dropDuplicates(["node"]), "sets", free=True)
+
+    roots = alike_roots(members, sets, least)
+    rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.key").alias("_text"))
     kept = keyed.join(winners, keyed["doc_id"].eqNullSafe(winners["_id"]) & (keyed["_key"] == winners["_text"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
-
