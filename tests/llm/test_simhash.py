@@ -168,3 +168,28 @@ def test_keep_one_of_longer_and_shorter_copies(spark):
     want = grouped(rows)
     assert len(want) < 70
     assert sorted(x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == want
+
+
+def test_keep_one_of_stars_and_permuted_texts(spark):
+    """Copies edited apart are alike only through their original, and texts of
+    the same words in other order are not alike at all."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for size in (3, 40, 150):
+        base = r.sample(words, k=200)
+        copies = []
+        for _ in range(size):
+            at = r.randint(0, 180)
+            copies.append(base[:at] + r.choices(words, k=16) + base[at + 16 :])
+        copies.insert(r.randint(0, size), base)
+        blocks = [base[i : i + 25] for i in range(0, 200, 25)]
+        copies += [sum(r.sample(blocks, k=8), []) for _ in range(20)]
+        rows += [(len(rows) + n, " ".join(c), "x") for n, c in enumerate(copies)]
+    same = r.sample(words, k=150)
+    mixed = [r.sample(same, k=150) for _ in range(30)]
+    near = [m[:-5] + m[-6:-1] for m in mixed]
+    rows += [(len(rows) + n, " ".join(c), "x") for n, c in enumerate(mixed + near)]
+    want = grouped(rows)
+    assert len(want) < len(rows) - 200
+    assert sorted(x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == want
