@@ -38,19 +38,20 @@ def _places(size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per window of every item: item, at, size, win (its words),
-    len (shingle words), shingles (in order)."""
+    """One row per window of every item: item, row (the hash of the item's
+    words, as ids may repeat), at, size, win (its words), len (shingle words),
+    shingles (in order)."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), alnum_words(ascii_lower(F.col("text"))).alias("w")
-    ).where(F.size("w") > 0)
+    ).where(F.size("w") > 0).withColumn("row", F.xxhash64("w"))
     windows = items.select(
-        "item", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("at", "win")
+        "item", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("at", "win")
     ).withColumn("size", F.size("win"))
     hashed = windows.withColumn("len", F.least(F.col("size"), F.lit(SHINGLE))).withColumn("wh", _word_hashes(F.col("win")))
     for n in range(1, SHINGLE + 1):
         hashed = _with_shingles(hashed, n)
     by_len = F.when(F.col("len") == 1, F.col("g1")).when(F.col("len") == 2, F.col("g2")).when(F.col("len") == 3, F.col("g3")).otherwise(F.col("g4"))
-    return hashed.select("item", "at", "size", "win", "len", by_len.alias("shingles"))
+    return hashed.select("item", "row", "at", "size", "win", "len", by_len.alias("shingles"))
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -77,17 +78,17 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
 
     # Order by rarity in the corpus; the rarest shingle of a window is its prefix.
     rarity = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = windows.select("item", "at", "size", "len", F.posexplode("shingles").alias("j", "h")).join(rarity, "h", "left")
-    prefix = ranked.groupBy("item", "at", "size", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", "h")).alias("p")).select("item", "at", "size", "len", "p.*").where("n > 0")
+    ranked = windows.select("item", "row", "at", "size", "len", F.posexplode("shingles").alias("j", "h")).join(rarity, "h", "left")
+    prefix = ranked.groupBy("item", "row", "at", "size", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", "h")).alias("p")).select("item", "row", "at", "size", "len", "p.*").where("n > 0")
     candidates = (
         found.join(prefix.drop("n"), ["h", "len"])
         .withColumn("start", F.col("pos") - F.col("j"))
         .where("start >= 0 and start + size <= n_words")
-        .select("k1", "k2", "start", "item", "at")
+        .select("k1", "k2", "start", "item", "row", "at")
         .distinct()
     )
     by_doc = materialize(
-        candidates.join(windows.select("item", "at", "win"), ["item", "at"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "item", "win")).alias("c")), "candidates"
+        candidates.join(windows.select("item", "row", "at", "win"), ["item", "row", "at"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "item", "win")).alias("c")), "candidates"
     )
 
     texts = docs.select(*key, "text")

@@ -51,3 +51,14 @@ def test_edges(spark):
     check(spark, [], [(1, ten, "")])
     kept = decontaminate.remove_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, ten, "")], ITEMS))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "None"] and kept.columns == ["doc_id", "text", "item"]
+
+
+def test_texts_under_one_id(spark):
+    """Items that share an id, or have none, keep windows of their own."""
+    there, absent, other = ([f"{c}{i}" for i in range(12)] for c in "abc")
+    docs = [(1, " ".join(["x", *there, "y"]), ""), (2, " ".join(["x", *other, "y"]), ""), (3, "x y z", "")]
+    for i in (7, None):
+        items = [(i, " ".join(there), ""), (i, " ".join(absent), ""), (i, " ".join(other), ""), (i, " ".join(other), "")]
+        check(spark, docs, items)
+        kept = decontaminate.remove_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+        assert [r.doc_id for r in kept.collect()] == [3]
