@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting by which Spark drops a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,38 +22,49 @@ NON_WORD_RUN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none (local tests) is one made and set.
+    Only where a local session has none (tests) is one made and set; on a cluster
+    a folder of one machine would lose rows, so there it has to be given.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not set_dir.isDefined() and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and lets the
-    optimizer plan the next join with the real size. Spark removes the files
-    when the application ends. With ``free`` the driver collects its garbage
-    afterwards, so that Spark drops the shuffle files behind ``df`` now and not
-    when memory happens to run short.
+    optimizer plan the next join with the real size. Spark removes the shuffle
+    files behind ``df`` as soon as it is written, and the written files when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    schema = df.schema
-    if free:
-        del df
-        for _ in range(2):  # what the listeners still held at first goes with the second
-            gc.collect()
-            spark._jvm.System.gc()
-            time.sleep(0.5)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_names(df: DataFrame, *wanted: str) -> dict[str, str]:
+    """Names for helper columns that ``df`` does not have, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, {}
+    for name in wanted:
+        found[name] = f"_{name}"
+        while found[name].lower() in taken:
+            found[name] = "_" + found[name]
+    return found
 
 
 def discard(df: DataFrame) -> None:

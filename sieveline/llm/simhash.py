@@ -11,22 +11,27 @@ are ``2**(r+1) - 1`` tables, and each keeps a little over half of the bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, fresh_names, materialize
 
 #: Bits of a fingerprint, and how many may differ in a link.
 BITS, RADIUS = 64, 2
+#: Fingerprints of a table's group that are compared pair by pair.
+GROUP = 64
 #: Bytes of a text that are split into words at a time.
 PIECE = 1 << 20
 #: Slots in which shingles are counted to order them, and what rounding may take.
 SLOTS, SLACK = 1 << 16, 1e-6
+#: One hash in so many is in a set's sample. Above 1 / (1 - least) no sample
+#: could show that a set is too much its own.
+SAMPLED = 3
 #: For each byte value, its bits, lowest first.
 _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -55,8 +60,12 @@ def _shingle_hashes(text: bytes, size: int, seed: int) -> Iterator[np.ndarray]:
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The fingerprint: a bit is set if it is set in over half of the hashes."""
+    return _fingerprint(_shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), shingle, seed))
+
+
+def _fingerprint(pieces: Iterable[np.ndarray]) -> int:
     ones, total = np.zeros(BITS, np.int64), 0
-    for hashes in _shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), shingle, seed):
+    for hashes in pieces:
         columns = hashes.view(np.uint8).reshape(-1, 8)
         for k in range(8):
             ones[8 * k : 8 * k + 8] += np.bincount(columns[:, k], minlength=256) @ _BIT_TABLE
@@ -85,23 +94,30 @@ def covering_masks(radius: int) -> list[int]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges a > b that connect exactly what pairs within two bits do.
+    """Edges a, b that connect exactly what pairs within two bits do.
 
-    ``fps`` holds distinct fingerprints. Each goes into every covering table;
-    those that meet another one there are kept. Two fingerprints are within two
-    bits if and only if both are within one bit of a common value, so each kept
-    one is dealt to itself and its one-bit neighbours. At most 65 fingerprints
+    ``fps`` holds distinct fingerprints. Each goes into every covering table; a
+    pair within the radius meets in one of them, and there all pairs of up to
+    ``GROUP`` fingerprints are compared. The fingerprints of fuller groups are
+    dealt to themselves and their one-bit neighbours: two of them are within two
+    bits if and only if both are within one bit of a common value. At most 65
     can meet at a value, whatever the corpus, and a star to the smallest joins
-    them: no group's pairs are listed and none is lost.
+    them: no large group's pairs are listed and none is lost.
     """
     tables = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for v, m in enumerate(covering_masks(RADIUS))]))
     dealt = fps.select("fp", tables.alias("t")).select("fp", "t.v", "t.kept")
-    shared = dealt.groupBy("v", "kept").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "kept")
-    met = dealt.join(shared, ["v", "kept"], "left_semi").select("fp").distinct()
+    shared = dealt.groupBy("v", "kept").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    groups = dealt.join(shared.where(F.col("n") <= GROUP), ["v", "kept"]).groupBy("v", "kept").agg(F.sort_array(F.collect_list("fp")).alias("g"))
+    close = lambda x: lambda y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
+    later = F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.lit(GROUP)), close(x)), lambda y: F.struct(y.alias("a"), x.alias("b"))))
+    direct = groups.select(F.explode(F.flatten(later)).alias("e")).select("e.a", "e.b")
+
+    met = dealt.join(shared.where(F.col("n") > GROUP), ["v", "kept"], "left_semi").select("fp").distinct()
     flips = [F.col("fp").bitwiseXOR(F.lit((1 << i) if i < BITS - 1 else -(1 << i))) for i in range(BITS)]
     near = met.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("mid"))
-    groups = near.groupBy("mid").agg(F.sort_array(F.collect_set("fp")).alias("g")).where(F.size("g") > 1)
-    return groups.select(F.explode(F.slice("g", 2, BITS + 1)).alias("a"), F.col("g")[0].alias("b")).distinct()
+    stars = near.groupBy("mid").agg(F.sort_array(F.collect_set("fp")).alias("g")).where(F.size("g") > 1)
+    return direct.unionByName(stars.select(F.explode(F.slice("g", 2, BITS + 1)).alias("a"), F.col("g")[0].alias("b"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -169,108 +185,166 @@ def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
 
 
+def samples(docs: DataFrame, shingle: int) -> DataFrame:
+    """Row by row doc_id, key, node (the hash of the shingle set), size (of the
+    set) and sample: those of its hashes that ``SAMPLED`` divides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, parts = [], [], []
+            for text in batch.column("text"):
+                found = _shingle_set(text.as_py(), shingle)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                parts.append(found[found % SAMPLED == 0].view(np.int64))
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], names=["doc_id", "key", "node", "size", "sample"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, sample array<bigint>")
+
+
+def spare(size: str, least: float) -> Column:
+    """How many hashes a set may have that no alike set shares."""
+    return F.col(size) - F.ceil(least * F.col(size) - SLACK)
+
+
+def open_nodes(nodes: DataFrame, sampled: DataFrame, least: float) -> DataFrame:
+    """Those of ``nodes`` (node, size) that may have an alike set: of the hashes
+    in ``sampled`` (node, h) no more are theirs alone than an alike set lacks.
+
+    Every holder of a sampled hash is in ``sampled``, so a hash seen in one set
+    only is nobody else's, and the test loses nothing.
+    """
+    lone = sampled.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    return nodes.join(lone, "node", "left").where(F.coalesce("lone", F.lit(0)) <= spare("size", least)).drop("lone")
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """node and s: the shingle set of a text."""
+    """node, fp (the SimHash of its shingles) and s (the shingle set) of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [_shingle_set(text.as_py(), shingle).view(np.int64) for text in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+                sets = [_shingle_set(text.as_py(), shingle) for text in part.column("text")]
+                fps = np.array([_fingerprint([s]) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(fps), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "fp", "s"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, s array<bigint>")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, fp bigint, s array<bigint>")
 
 
-def slot_counts(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How many shingles of all texts fall into each of ``SLOTS`` slots."""
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many hashes of all sets fall into each of ``SLOTS`` slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                counts += np.bincount((_shingle_set(text.as_py(), shingle) % SLOTS).astype(np.int64), minlength=SLOTS)
+            counts += np.bincount(batch.column("s").flatten().to_numpy().view(np.uint64) % SLOTS, minlength=SLOTS)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
     counts = np.zeros(SLOTS, np.int64)
-    for slot, n in docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+    for slot, n in sets.select("s").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
         counts[slot] = n
     return counts
 
 
-def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Row by row doc_id, key, node (the hash of the shingle set), size (of the
-    set) and prefix: its first hashes in an order that all texts share.
+def shared_sets(sets: DataFrame, least: float) -> DataFrame:
+    """node, fp, size and s: the sets that may still have an alike one, without
+    the hashes that no other set has. size is that of the whole set."""
+    dealt = sets.select("node", "fp", F.size("s").alias("size"), F.explode("s").alias("h"))
+    shared = dealt.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("h")
+    found = dealt.join(shared, "h", "left_semi").groupBy("node", "fp", "size").agg(F.collect_list("h").alias("s"))
+    return found.where(F.size("s") >= F.col("size") - spare("size", least))
+
+
+def postings(sets: DataFrame, least: float) -> DataFrame:
+    """h, node, size, pos and rest: the hashes of a set's prefix, their places
+    in its shared hashes, and how many of these stand from there on.
 
     Two sets with a Jaccard of ``least`` have ``least`` of the larger one in
-    common, so in any shared order each has a common hash among its first
-    ``size - ceil(least * size) + 1``. Hashes of emptier slots come first: what
-    many texts have is in the prefix of few.
+    common, all of it shared hashes; so in any order that all sets follow each
+    has a common one among its first ``shared - ceil(least * size) + 1``. Hashes
+    of emptier slots come first: what many texts have is in the prefix of few.
     """
-    counts = slot_counts(docs, shingle)
+    counts = slot_counts(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
-            for text in batch.column("text"):
-                found = _shingle_set(text.as_py(), shingle)
-                n = len(found) - math.ceil(least * len(found) - SLACK) + 1
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
-                sizes.append(len(found))
-                firsts.append(found[np.lexsort((found, counts[(found % SLOTS).astype(np.int64)]))[:n]].view(np.int64))
-            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], names=["doc_id", "key", "node", "size", "prefix"])
+            firsts, shared = [], []
+            for s, size in zip(batch.column("s"), batch.column("size").to_pylist(), strict=True):
+                found = s.values.to_numpy().view(np.uint64)
+                n = len(found) - math.ceil(least * size - SLACK) + 1
+                firsts.append(found[np.lexsort((found, counts[found % SLOTS]))[:n]].view(np.int64))
+                shared.append(len(found))
+            made = [pa.array(shared, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), *made], names=["node", "size", "shared", "prefix"])
+
+    made = sets.select("node", "size", "s").mapInArrow(run, "node bigint, size int, shared int, prefix array<bigint>")
+    return made.select("node", "size", "shared", F.posexplode("prefix").alias("pos", "h")).select("h", "node", "size", "pos", (F.col("shared") - F.col("pos")).alias("rest"))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, prefix array<bigint>")
 
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs a, b whose sets are alike."""
+    side = lambda name, s, size: sets.select(F.col("node").alias(name), F.col("s").alias(s), F.col("size").alias(size))
+    both = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    return both.where(common >= least * (F.col("m") + F.col("n") - common) - SLACK).select("a", "b")
 
-def buckets(scanned: DataFrame) -> DataFrame:
-    """h, node, size, pos and rank: the sets that have h in their prefix, where
-    more than one has. Sets with much in common with others rank first, so that
-    the original of many copies is compared with them early."""
-    dealt = scanned.select("node", "size", "prefix").dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("pos", "h"))
-    shared = materialize(dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1"), "shared", free=True)
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("weight"), "node"))
-    return materialize(shared.join(weight, "node").select("h", "node", "size", "pos", rank.alias("rank")), "buckets", free=True)
 
+def likely_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs a, b of sets whose fingerprints are equal or linked: the sets of a
+    fingerprint with its smallest one, and the smallest ones with each other."""
+    heads = materialize(sets.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = sets.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("q")), "b")
+    return equal.unionByName(near.select(F.col("p").alias("a"), F.col("q").alias("b")))
 
-def alike_roots(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+
+def alike_roots(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """node and root for the sets linked by pairs of at least ``least``.
 
-    ``members`` are the buckets. In each, the sets of the next ranks are compared
-    with all behind them, but for those already linked to them and those whose
-    sizes and places rule the Jaccard out. It ends when all that is left in any
-    bucket is linked; so every pair that could be alike was compared or is
-    linked, and a bucket of one group takes one round and no pairs by the square.
+    ``dealt`` are the postings. First the pairs that fingerprints suggest are
+    verified; most copies are linked by these. Then, in every bucket (the sets
+    with h in their prefix) that is not linked in itself, some heads are
+    compared with all the others that size and place allow and step out. It ends
+    when no bucket holds two groups, so every pair that could be alike was
+    compared or is linked. Heads grow in number by rounds; a bucket of one group
+    costs no pairs, one of unlike sets its square.
     """
-    spark = members.sparkSession
-    alike = spark.createDataFrame([], "a bigint, b bigint")
+    spark = dealt.sparkSession
+    tried = materialize(likely_pairs(sets).distinct(), "tried")
+    fresh = alike = materialize(verified(tried, sets, least), "links")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    low, high = 1, 2
+    heads_a_bucket, rounds = 1, 0
     while True:
-        left = members.where(F.col("rank") >= low).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = left.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-        left = materialize(left.join(mixed, "h", "left_semi"), "left", free=True)
+        if not fresh.isEmpty():
+            roots = materialize(components(alike), "roots")
+        left = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = left.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("h", "n")
+        left = materialize(left.join(mixed, "h"), "left")
+        discard(dealt)
         if left.isEmpty():
             return roots
-        p, q = left.where(F.col("rank") < high).alias("p"), left.alias("q")
-        behind = F.least(F.col("p.size") - F.col("p.pos"), F.col("q.size") - F.col("q.pos"))
-        most = F.least("p.pos", "q.pos") + behind
+        # The head is the set with the most company in all its buckets: of many
+        # edited copies, the original.
+        weight = left.groupBy("node").agg(F.sum("n").alias("weight"))
+        left = materialize(left.drop("n").join(weight, "node"), "weighed")
+        part = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(heads_a_bucket))
+        heads = left.groupBy("h", part.alias("part")).agg(F.max(F.struct("weight", "node", "size", "pos", "rest", "root")).alias("p")).select("h", "p")
+        heads = materialize(heads, "heads")
+        common = F.least("p.pos", "q.pos") + F.least("p.rest", "q.rest")
         needed = least / (1 + least) * (F.col("p.size") + F.col("q.size")) - SLACK
-        pairs = p.join(q, F.col("p.h") == F.col("q.h")).where((F.col("p.rank") < F.col("q.rank")) & (F.col("p.root") != F.col("q.root")) & (most >= needed))
-        pairs = materialize(pairs.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct(), "pairs", free=True)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
-        common = F.size(F.array_intersect("p", "q"))
-        found = materialize(both.where(common >= least * (F.size("p") + F.size("q") - common)).select("a", "b"), "alike", free=True)
-        if not found.isEmpty():
-            alike = materialize(alike.unionByName(found), "links")
-            roots = materialize(components(alike), "roots", free=True)
+        pairs = left.alias("q").join(heads, "h").where((F.col("p.root") != F.col("q.root")) & (common >= needed))
+        pairs = pairs.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = materialize(verified(pairs, sets, least), "links")
+        alike, tried = alike.unionByName(fresh), tried.unionByName(pairs)
+        out = heads.select("h", F.col("p.node").alias("node"))
+        dealt = materialize(left.drop("root", "weight").join(out, ["h", "node"], "left_anti"), "dealt")
         discard(left)
-        discard(pairs)
-        low, high = high, 4 * high
+        heads_a_bucket, rounds = 8 * heads_a_bucket, rounds + 1
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -278,25 +352,30 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
 
     Near duplicates are alike in at least ``least`` of their word shingles
     (Jaccard, A-Z lower-cased; texts with fewer words: of their whole word
-    sequence), or linked by such. Equal sets are one; the others are found by
-    their prefixes, which no alike pair escapes, and every candidate pair is
-    verified. The row with the smallest doc_id stays (rows without one come
-    last; rows of one id by the hash of their text). Rows repeated in full count
-    once. All wordless texts are one group. Columns stay as they are.
+    sequence), or linked by such. Equal sets are one. Sets with too many
+    shingles of their own leave; of the rest SimHash links most copies, and the
+    prefixes, which no alike pair escapes, all others. Every pair is verified.
+    The row with the smallest doc_id stays (rows without one come last; rows of
+    one id by the hash of their text). Rows repeated in full count once. All
+    wordless texts, null ones included, are one group. Texts of any length are
+    hashed in pieces. Columns stay as they are, whatever their names; an empty
+    table gives an empty one.
     """
+    names = fresh_names(docs, "id", "key", "text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    scanned = materialize(prefixes(docs, shingle, least), "prefixes", free=True)
-    nodes = materialize(scanned.groupBy("node").agg(F.min(order).alias("first")), "nodes", free=True)
-    members = buckets(scanned)
+    scanned = materialize(samples(docs, shingle), "samples")
+    nodes = materialize(scanned.groupBy("node").agg(F.min("size").alias("size"), F.min(order).alias("first")), "nodes")
+    open_ = materialize(open_nodes(nodes, scanned.select("node", F.explode("sample").alias("h")), least), "open")
     discard(scanned)
 
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    holders = nodes.join(members.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_text"))
-    held = keyed.join(holders, keyed["doc_id"].eqNullSafe(holders["_id"]) & (keyed["_key"] == holders["_text"])).select("node", "text")
-    sets = materialize(shingle_sets(held, shingle).dropDuplicates(["node"]), "sets", free=True)
-
-    roots = alike_roots(members, sets, least)
+    keyed = docs.withColumn(names["key"], F.xxhash64("text"))
+    mine = lambda side: keyed["doc_id"].eqNullSafe(side[names["id"]]) & (keyed[names["key"]] == side[names["text"]])
+    named = lambda df, *more: df.select(*more, F.col("first.doc_id").alias(names["id"]), F.col("first.key").alias(names["text"]))
+    holders = named(open_, "node")
+    held = keyed.join(holders, mine(holders)).select(holders["node"], keyed["text"]).dropDuplicates(["node"])
+    sets = materialize(shingle_sets(held, shingle), "sets")
+    sets = materialize(shared_sets(sets, least), "sets")
+    roots = alike_roots(materialize(postings(sets, least), "dealt"), sets, least)
     rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.key").alias("_text"))
-    kept = keyed.join(winners, keyed["doc_id"].eqNullSafe(winners["_id"]) & (keyed["_key"] == winners["_text"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    winners = named(rooted.groupBy("root").agg(F.min("first").alias("first")))
+    return keyed.join(winners, mine(winners), "left_semi").dropDuplicates(["doc_id", names["key"]]).select(*docs.columns)

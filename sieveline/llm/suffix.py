@@ -243,15 +243,15 @@ def _block(length: int):  # noqa: ANN202
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """d, key (which name a row) and spans: the stretches (lo, hi) to remove."""
     shared = _anchor_rows(docs, False, length).groupBy("h").agg(F.min("d").alias("m"), F.max("d").alias("x")).where("m < x").select("h", "m")
-    shared = materialize(shared, "shared", free=True)
+    shared = materialize(shared, "shared")
     met = _anchor_rows(docs, True, length).join(shared, "h").groupBy("d", "key").agg(F.collect_list(F.struct("h", "m")).alias("found"))
-    met = materialize(met, "met", free=True)
+    met = materialize(met, "met")
     texts = _keyed(docs).join(met, ["d", "key"])
-    pieces = materialize(_pieces(texts, length), "pieces", free=True)
+    pieces = materialize(_pieces(texts, length), "pieces")
 
     # Equal pieces are compared once, as their smallest document's.
     distinct = pieces.groupBy("m", "id").agg(F.min("d").alias("first"), F.first("bytes").alias("bytes"))
-    distinct = materialize(distinct, "distinct", free=True)
+    distinct = materialize(distinct, "distinct")
     sizes = materialize(distinct.groupBy("m").agg(F.sum(F.length("bytes")).alias("total")), "totals")
     blocks = max(1, (sizes.agg(F.sum("total")).first()[0] or 0) // POOL)
     # Few groups are larger than a block, so the pieces themselves need no shuffle here.
@@ -261,7 +261,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     block = F.when(hot, F.concat_ws("/", "m", part)).otherwise(F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("string"))
     dealt = distinct.join(large, "m", "left").select("m", "id", "first", "bytes", hot.alias("hot"), block.alias("block"))
     schema = "m bigint, id binary, first bigint, lo bigint, hi bigint, h1 bigint, h2 bigint, string boolean"
-    found = materialize(dealt.groupBy("block").applyInArrow(_block(length), schema), "found", free=True)
+    found = materialize(dealt.groupBy("block").applyInArrow(_block(length), schema), "found")
 
     strings = found.where("string")
     again = materialize(strings.groupBy("h1", "h2").agg(F.min("first").alias("least"), F.max("first").alias("x")).where("least < x").drop("x"), "again")
@@ -272,7 +272,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = placed.where("d > first").select("d", "key", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))).alias("s"))
     moved = F.transform("s", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), (x["hi"] + F.col("start")).alias("hi")))
     partly = placed.where("d = first").join(stretches, ["m", "id"]).select("d", "key", moved.alias("s"))
-    return materialize(whole.unionByName(partly).groupBy("d", "key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans", free=True)
+    return materialize(whole.unionByName(partly).groupBy("d", "key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -100,6 +100,36 @@ def test_links_keep_dense_groups_connected(spark):
     assert len(roots) == 1
 
 
+def test_links_of_tables(spark):
+    """Groups of the tables, small and large: the same components as all pairs."""
+    r = random.Random(9)
+    fps = set()
+    for size in (2, 5, 30, 90):
+        base = r.getrandbits(64)
+        fps |= {base} | {base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(size)}
+    fps |= {r.getrandbits(64) for _ in range(200)}
+    fps = sorted(fps)
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                root[find(i)] = find(j)
+    want = {}
+    for i, x in enumerate(fps):
+        want.setdefault(find(i), set()).add(x)
+    signed = [(x - 2**64 if x >> 63 else x,) for x in fps]
+    have = {}
+    for node, top in simhash.components(simhash.links(spark.createDataFrame(signed, "fp bigint"))).collect():
+        have.setdefault(top, set()).add(node % 2**64)
+    assert sorted(map(sorted, have.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def shingles(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
