@@ -75,6 +75,22 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """Columns none, id and key that name a row by its doc_id, of any type and
+    null too, and the hash of its text. They join by plain equality."""
+    kind = df.schema["doc_id"].dataType
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), F.xxhash64("text").alias("key")]
+
+
+ROW_KEY = ["none", "id", "key"]
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its row key under names that it does not have yet."""
+    names = fresh_names(df, *ROW_KEY)
+    return df.withColumns({names[k]: c for k, c in zip(ROW_KEY, row_key(df), strict=True)}), names
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -3,7 +3,9 @@
 Both sides are sets of word shingles. The shingles of the benchmark are ordered
 by rarity in the corpus; a window can only occur where its rarest shingle does,
 so that one is the necessary prefix. Its postings are joined, bounded by the
-window's place and length, and the words of each surviving window are compared.
+window's place and length. A window whose other shingles stand at their places
+too is compared word by word. Only the documents of such windows have their
+texts looked up again.
 """
 
 from __future__ import annotations
@@ -11,16 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, materialize, with_run_hashes
+from .common import ROW_KEY, alnum_words, ascii_lower, materialize, row_key, with_row_key, with_run_hashes
 
 #: Words of a benchmark window (fixed by the contract) and of a shingle.
 WINDOW, SHINGLE = 10, 4
+#: Slots of the filter that a shingle of the corpus passes before it is listed.
+SLOTS = 1 << 20
 
 
 def _word_hashes(words: Column) -> Column:
-    # lower() folds more than A-Z does, so equal words stay equal here; the
-    # exact rule is applied when a window is verified.
-    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+    # lower() is the faster one, and the same where a word is ASCII.
+    return F.transform(words, lambda w: F.xxhash64(F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(ascii_lower(w))))
 
 
 def _with_shingles(df: DataFrame, size: int) -> DataFrame:
@@ -38,67 +41,73 @@ def _places(size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per window of every item: item, row (the hash of the item's
-    words, as ids may repeat), at, size, win (its words), len (shingle words),
-    shingles (in order)."""
+    """One row per window of every item: item, size, win (its words), len
+    (shingle words), shingles (in order)."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), alnum_words(ascii_lower(F.col("text"))).alias("w")
-    ).where(F.size("w") > 0).withColumn("row", F.xxhash64("w"))
+    ).where(F.size("w") > 0)
     windows = items.select(
-        "item", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("at", "win")
+        "item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))).alias("win")
     ).withColumn("size", F.size("win"))
     hashed = windows.withColumn("len", F.least(F.col("size"), F.lit(SHINGLE))).withColumn("wh", _word_hashes(F.col("win")))
     for n in range(1, SHINGLE + 1):
         hashed = _with_shingles(hashed, n)
     by_len = F.when(F.col("len") == 1, F.col("g1")).when(F.col("len") == 2, F.col("g2")).when(F.col("len") == 3, F.col("g3")).otherwise(F.col("g4"))
-    return hashed.select("item", "row", "at", "size", "win", "len", by_len.alias("shingles"))
+    return hashed.select("item", "size", "win", "len", by_len.alias("shingles"))
+
+
+def _filter(tokens: DataFrame) -> bytes:
+    """A byte per slot, 1 where a hash of ``tokens`` falls; at most ``SLOTS``
+    numbers come to the driver."""
+    slots = bytearray(SLOTS)
+    for (slot,) in tokens.select(F.pmod("h", F.lit(SLOTS)).cast("int")).distinct().collect():
+        slots[slot] = 1
+    return bytes(slots)
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, k1, k2, n_words) and, for those with any, their
-    hits (k1, k2, n_hit, n_items, sha). k1 and k2 name a row: its doc_id and
-    the hash of its text."""
-    windows = materialize(benchmark_windows(benchmark, window), "windows")
-    tokens = windows.select(F.explode("shingles").alias("h")).distinct()
-    tokens = materialize(tokens, "tokens")
+    """All documents (doc_id, the row key, n_words) and, for those with any,
+    their hits (the row key, n_hit, n_items, sha)."""
+    windows = materialize(benchmark_windows(benchmark, window).withColumn("window", F.monotonically_increasing_id()), "windows")
+    tokens = materialize(windows.select(F.explode("shingles").alias("h")).distinct(), "tokens")
     # Shingle sizes below the usual one occur only with items of that few words.
     lengths = sorted({r[0] for r in windows.select("len").distinct().collect()} | {SHINGLE})
 
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2")]
-    hashed = docs.select("doc_id", *key, alnum_words(F.col("text")).alias("w")).select("doc_id", "k1", "k2", F.size("w").alias("n_words"), _word_hashes(F.col("w")).alias("wh"))
+    hashed = docs.select("doc_id", *row_key(docs), alnum_words(F.col("text")).alias("w")).select("doc_id", *ROW_KEY, F.size("w").alias("n_words"), _word_hashes(F.col("w")).alias("wh"))
     # One marker at place -1 carries the document itself through the same scan.
-    marked = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.xxhash64("k1", "k2").alias("h")))
+    marker = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("h")))
     for n in lengths:
         hashed = _with_shingles(hashed, n)
-    lists = [_places(n) for n in lengths]
-    postings = hashed.select("doc_id", "k1", "k2", "n_words", F.explode(F.concat(marked, *lists)).alias("s")).select("doc_id", "k1", "k2", "n_words", "s.*")
-    seen = postings.join(tokens.withColumn("known", F.lit(True)), "h", "left").where("known or pos < 0").drop("known")
-    seen = materialize(seen, "postings")
-    found, all_docs = seen.where("pos >= 0"), seen.where("pos < 0").select("doc_id", "k1", "k2", "n_words")
+    slots = F.lit(_filter(tokens))
+    lists = [F.filter(_places(n), lambda s: F.substring(slots, F.pmod(s["h"], F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")) for n in lengths]
+    postings = hashed.select("doc_id", *ROW_KEY, "n_words", F.explode(F.concat(marker, *lists)).alias("s")).select("doc_id", *ROW_KEY, "n_words", "s.*")
+    seen = materialize(postings, "postings")
+    all_docs = seen.where("pos < 0").select("doc_id", *ROW_KEY, "n_words")
+    found = materialize(seen.where("pos >= 0").join(tokens, "h", "left_semi").select(*ROW_KEY, "n_words", "len", "pos", "h").distinct(), "found")
 
     # Order by rarity in the corpus; the rarest shingle of a window is its prefix.
     rarity = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = windows.select("item", "row", "at", "size", "len", F.posexplode("shingles").alias("j", "h")).join(rarity, "h", "left")
-    prefix = ranked.groupBy("item", "row", "at", "size", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", "h")).alias("p")).select("item", "row", "at", "size", "len", "p.*").where("n > 0")
-    candidates = (
-        found.join(prefix.drop("n"), ["h", "len"])
-        .withColumn("start", F.col("pos") - F.col("j"))
-        .where("start >= 0 and start + size <= n_words")
-        .select("k1", "k2", "start", "item", "row", "at")
-        .distinct()
-    )
-    by_doc = materialize(
-        candidates.join(windows.select("item", "row", "at", "win"), ["item", "row", "at"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "item", "win")).alias("c")), "candidates"
-    )
-
-    texts = docs.select(*key, "text")
-    words = by_doc.join(texts, ["k1", "k2"]).select("k1", "k2", "c", alnum_words(ascii_lower(F.col("text"))).alias("w"))
-    hits = words.select("k1", "k2", F.filter("c", lambda c: F.slice("w", c["start"] + 1, F.size(c["win"])) == c["win"]).alias("c")).where(F.size("c") > 0)
-    items = F.array_sort(F.array_distinct(F.col("c.item")))
-    places = F.array_distinct(F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))
-    hits = hits.select("k1", "k2", F.size(places).alias("n_hit"), F.size(items).alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("sha")).dropDuplicates(["k1", "k2"])
-    hits = materialize(hits, "hits")
-    return all_docs, hits
+    places = windows.select("window", "size", "len", F.posexplode("shingles").alias("j", "h"))
+    prefix = places.join(rarity, "h", "left").groupBy("window", "size", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", "h")).alias("p")).select("window", "size", "len", "p.*").where("n > 0")
+    start = F.col("pos") - F.col("j")
+    candidates = found.join(prefix.drop("n"), ["h", "len"]).withColumn("start", start).where("start >= 0 and start + size <= n_words").select(*ROW_KEY, "start", "window").distinct()
+
+    # All shingles at their places, then all words: each a join on places.
+    at = [*ROW_KEY, "start", "window"]
+    expected = candidates.join(places.drop("size"), "window").select(*at, "len", "h", (F.col("start") + F.col("j")).alias("pos"))
+    standing = expected.join(found.drop("n_words"), [*ROW_KEY, "len", "h", "pos"]).groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    standing = materialize(standing.join(windows.select("window", "item", "size", F.size("shingles").alias("of")), "window").where("n = of").select(*at, "item", "size"), "standing")
+    owners = materialize(standing.select(*ROW_KEY).distinct(), "owners")
+    texts = docs.select(*row_key(docs), "text").join(owners, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    words = texts.select(*ROW_KEY, F.posexplode(alnum_words(ascii_lower(F.col("text")))).alias("pos", "word"))
+    wanted = standing.select(*at).join(windows.select("window", F.posexplode("win").alias("j", "word")), "window").select(*at, "word", (F.col("start") + F.col("j")).alias("pos"))
+    equal = wanted.join(words, [*ROW_KEY, "pos", "word"]).groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    hits = materialize(standing.join(equal, at).where("n = size").select(*ROW_KEY, "start", "size", "item"), "hits")
+
+    covered = hits.select(*ROW_KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct().groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n_hit"))
+    items = hits.groupBy(*ROW_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = items.select(*ROW_KEY, F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
+    return all_docs, materialize(covered.join(items, ROW_KEY), "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,12 +115,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     Returns one row per row of ``docs``: doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated. Null or empty texts have no words and no hits;
-    repeated rows each get a row; a null item_id counts as the empty string;
-    items without words are no items. Other columns of either table are not
-    read. An empty table on either side gives no hits.
+    texts of any length are read whole; repeated rows each get a row; a null
+    item_id counts as the empty string; items that share an id are told apart by
+    their windows; items without words are no items. Other columns of either
+    table are not read. An empty table on either side gives no hits.
     """
     all_docs, hits = overlap(docs, benchmark, window)
-    return all_docs.join(hits, ["k1", "k2"], "left").select(
+    return all_docs.join(hits, ROW_KEY, "left").select(
         "doc_id",
         F.col("n_words").cast("long"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -122,11 +132,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    """The rows of ``docs`` in which no window of the benchmark occurs. Columns
+    stay as they are, whatever their names; nulls, repeats and empty tables are
+    as in ``decontaminate``."""
     _, hits = overlap(docs, benchmark, window)
-    keyed = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(-1)), "_k2": F.xxhash64("text")})
-    dirty = hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    return keyed.join(dirty, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    keyed, names = with_row_key(docs)
+    dirty = hits.select(*[F.col(k).alias(names[k]) for k in ROW_KEY])
+    return keyed.join(dirty, list(names.values()), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -15,30 +15,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, space_words
+from .common import ROW_KEY, fresh_names, materialize, row_key, space_words, with_row_key
 
-#: Documents that one bucket rounds.
+#: Documents that one bucket rounds. Buckets are dealt to seven eighths, so that
+#: chance does not fill one further.
 BUCKET = 4096
 
 
+def _before(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with the sums over all rows before each in an order without ties.
+
+    Rows are dealt by ranges and summed in each; only the ranges' totals meet,
+    so no task holds all rows.
+    """
+    dealt = materialize(df.withColumns(sums).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("range").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
+    by_range, inside = Window.orderBy("range"), Window.partitionBy("range").orderBy(*order)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = totals.select("range", *[upto(f"t_{c}", by_range).alias(f"e_{c}") for c in sums])
+    return dealt.join(earlier, "range").select(*df.columns, *[(F.col(f"e_{c}") + upto(c, inside)).alias(c) for c in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source: n, source_size, target. ``sizes`` has source and size.
 
     Sources by code point, null last, weigh ``weights`` in turn and share
     ``share`` times all words; none gets over ``most`` times its own. Filling
     stops at the level that is the largest of (rest of the words) / (rest of the
-    weights) over the sources in the order in which they fill up. The windows
-    run over one row per source.
+    weights) over the sources in the order in which they fill up.
     """
     totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighed = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn - 1) % len(weights) + 1))
-    by_level = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    full_words = F.coalesce(F.sum(F.col("source_size") * most).over(by_level), F.lit(0.0))
-    full_weight = F.coalesce(F.sum("weight").over(by_level), F.lit(0.0))
-    level = (F.sum("source_size").over(everything) * share - full_words) / (F.sum("weight").over(everything) - full_weight)
-    return weighed.withColumn("level", level).select("source", "n", "source_size", F.least(F.max("level").over(everything) * F.col("weight"), F.col("source_size") * most).alias("target"))
+    by_name, nth = F.col("source").asc_nulls_last(), F.array(*map(F.lit, weights))
+    weighed = _before(totals, [by_name], turn=F.lit(1)).withColumn("weight", F.get(nth, (F.col("turn") % len(weights)).cast("int"))).drop("turn")
+    filled = materialize(_before(weighed, [(F.col("source_size") / F.col("weight")).asc(), by_name], words=F.col("source_size"), weights=F.col("weight")), "filled")
+    whole = filled.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weights")).crossJoin(filled.select("words", "weights"))
+    level = whole.agg(F.max((F.col("all_words") * share - F.col("words") * most) / (F.col("all_weights") - F.col("weights"))).alias("level"))
+    return filled.crossJoin(level).select("source", "n", "source_size", F.least(F.col("level") * F.col("weight"), F.col("source_size") * most).alias("target"))
 
 
 def _pivot(table: pa.Table) -> pa.Table:
@@ -75,29 +87,40 @@ def _pivot(table: pa.Table) -> pa.Table:
 
 def _draw(level: int) -> Column:
     """A number from 0 to 1 that depends on the document and the level only."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", "key", F.lit(f"draw {level}")), 11) / F.lit(float(2**53))
+    return F.shiftrightunsigned(F.xxhash64(*ROW_KEY, "number", F.lit(f"draw {level}")), 11) / F.lit(float(2**53))
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Rows alike in full get numbers, so that they can be dealt apart. They are
+    counted first and made again in blocks: no task holds all of them."""
+    counted = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("rows"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / BUCKET)))).repartition(*ROW_KEY, "block")
+    last = F.least(F.col("rows") - 1, F.col("block") * BUCKET + (BUCKET - 1))
+    return blocks.withColumn("number", F.explode(F.sequence(F.col("block") * BUCKET, last))).select(*sized.columns, "number")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, bucket: int = BUCKET) -> DataFrame:
     """How many copies of every document the mix takes.
 
-    Returns one row per row of ``docs``: doc_id, key (hash of the text), source,
-    size, source_size, target, copies, taken. A null or wordless text has size
-    zero and is not taken; a null source is a source of its own; repeated rows
-    are rounded each for itself. Draws are hashes, so reruns agree, whatever the
-    partitions. Extra columns are not read; an empty table gives an empty result.
+    Returns one row per row of ``docs``: doc_id, none, id and key (which name the
+    row), source, size, source_size, target, copies, taken. A null or wordless
+    text has size zero and is not taken; a null source is a source of its own;
+    repeated rows are rounded each for itself; texts of any length count whole.
+    Draws are hashes, so reruns agree, whatever the partitions. Extra columns
+    are not read; an empty table gives an empty result.
     """
-    sized = materialize(docs.select("doc_id", F.xxhash64("text").alias("key"), "source", F.size(space_words(F.col("text"))).cast("long").alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", *row_key(docs), "source", F.size(space_words(F.col("text"))).cast("long").alias("size")), "sizes")
     plan = materialize(targets(sized, weights, share, most), "targets").withColumnRenamed("source", "_source")
     ratio = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+        _numbered(sized).join(plan, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("base", F.floor(ratio))
         .withColumn("f", ratio - F.col("base"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key", F.lit("bucket")), F.ceil(F.col("n") / bucket)))
+        .withColumn("bucket", F.pmod(F.xxhash64(*ROW_KEY, "number", F.lit("bucket")), F.ceil(F.col("n") * 8 / (7 * bucket))))
         .withColumn("pending", F.col("f") > 0)
-        .select("doc_id", "key", "source", "size", "source_size", "target", "base", "f", "bucket", "pending")
-    )
+        .select("doc_id", *ROW_KEY, "number", "source", "size", "source_size", "target", "base", "f", "bucket", "pending")
+    )
+    rows = materialize(rows, "rows")
     parts = [rows.where("not pending")]
     rows, level = rows.where("pending"), 0
     while True:
@@ -114,17 +137,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     for part in parts[1:]:
         out = out.unionByName(part)
     copies = (F.col("base") + F.col("f")).cast("long")
-    return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", *ROW_KEY, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+#: What a mix adds to its documents.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def apply_mix(docs: DataFrame, **settings: float) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, copies
-    and taken. Rows alike in doc_id and text become one with all their copies."""
-    found = mix(docs, **settings).groupBy("doc_id", "key").agg(
-        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken")
-    )
-    found = found.where("copies > 0").withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    keyed = docs.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])
-    names = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in names]
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_text_key"] == found["_key"])).select(*[keyed[c] for c in kept], *[found[c] for c in names])
+    and taken; a column of ``docs`` that has one of these names goes before as
+    ``<name>_before``. Rows alike in doc_id and text become one with all their
+    copies. Nulls and empty tables are as in ``mix``."""
+    while clash := [c for c in docs.columns if c.lower() in ADDED]:
+        free = fresh_names(docs, *[f"{c}_before" for c in clash])
+        docs = docs.withColumnsRenamed({c: f"{c}_before" if f"{c}_before".lower() not in map(str.lower, docs.columns) else free[f"{c}_before"] for c in clash})
+    keyed, names = with_row_key(docs)
+    per_row = [F.first(c).alias(c) for c in ADDED[:3]]
+    found = mix(docs, **settings).groupBy(*ROW_KEY).agg(*per_row, F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    found = found.where("copies > 0").withColumnsRenamed({k: f"{v}_" for k, v in names.items()})
+    mine = [F.col(names[k]) == F.col(f"{names[k]}_") for k in ROW_KEY]
+    kept = keyed.dropDuplicates([names[k] for k in ROW_KEY])
+    return kept.join(found, mine).select(*docs.columns, *ADDED)

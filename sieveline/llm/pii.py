@@ -1,10 +1,12 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
-Base spans are seeds. The words around a seed, with the outline of its value,
-are lexical patterns; a pattern is trusted by the share of seeds among the
-distinct values it meets, a value by the trusted patterns it meets. Both sides
-of this graph are scored in turn, and values found this way are seeds of the
-next round. Everything is DataFrame expressions, aggregates and joins.
+Base spans are seeds. The word beside a seed is a lexical pattern, alone and with
+the outline of the value. With an outline a pattern is trusted by the share of
+seeds among the distinct values it meets; a word alone, which also names values
+of a form that no seed has, by the share of its places in all texts at which a
+seed stands. A value is trusted by the patterns it meets. Both sides of this
+graph are scored in turn, and values found this way are seeds of the next round,
+until none is found. Everything is DataFrame expressions, aggregates and joins.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ROW_KEY, fresh_names, materialize, row_key
 
 #: The kinds in their order, with their patterns. Possessive
 #: quantifiers and the look-behinds change no match: a run that fails at its
@@ -26,8 +28,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-#: What might be an identifier: a run of address characters with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]{6,}+"
+#: What might be an identifier: a run of address characters with a digit or an
+#: @, and runs of digits behind it; and how long it is at least.
+CANDIDATE = r"(?<![A-Za-z0-9@._%+()-])(?=[A-Za-z(+._%-]*+[0-9@])[A-Za-z0-9@._%+()-]*[A-Za-z0-9](?:\)?\x20\(?[0-9](?:[0-9().-]*[0-9])?)*+"
+CANDIDATE_LENGTH = 6
+#: Characters of context that are looked at first; longer words are sought whole.
+NEAR = 60
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Sums are taken in blocks of this many, so that many matches stay cheap.
 BLOCK = 256
@@ -36,12 +42,12 @@ BLOCK = 256
 @dataclass(frozen=True)
 class Bootstrap:
     """least_values: distinct seed values that a pattern must meet;
-    pattern_trust and value_trust: scores from which each is accepted."""
+    pattern_trust and value_trust: scores from which each is accepted. Rounds
+    end with the first that accepts no value."""
 
     least_values: int = 3
     pattern_trust: float = 0.8
     value_trust: float = 0.9
-    rounds: int = 4
 
 
 def _running_sums(values: Column) -> Column:
@@ -67,19 +73,21 @@ def _valid(kind: str, value: Column) -> Column:
         return F.length(digits).between(8, 15)
     if kind == "email":
         return F.lit(True)
-    return (F.length(digits) >= 4) | F.contains(value, F.lit("@"))
+    return (F.length(value) >= CANDIDATE_LENGTH) & ((F.length(digits) >= 4) | F.contains(value, F.lit("@")))
 
 
 def _outline(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[A-Za-z]+", "a")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, k1 and key (which name the row), and found: all valid matches of
-    the kinds and all candidates (kind empty) with place and context."""
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+def scan(docs: DataFrame, keep: str = "") -> DataFrame:
+    """doc_id, the row key, and found: all valid matches of the kinds and all
+    candidates (kind empty) with place and context. With ``keep`` the columns of
+    ``docs`` too, as a struct of that name."""
+    rest = [F.struct(*[docs[c] for c in docs.columns]).alias(keep)] if keep else []
+    rows = docs.select("doc_id", *row_key(docs), F.coalesce("text", F.lit("")).alias("text"), *rest)
     rows = rows.withColumn("digit", F.col("text").rlike("[0-9]")).withColumn("at", F.contains("text", F.lit("@")))
-    needs = {"email": F.col("at"), "ip": F.col("digit") & F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("digit"), "phone": F.col("digit") & F.contains("text", F.lit("+")), "": F.col("digit")}
+    needs = {"email": F.col("at"), "ip": F.col("digit") & F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("digit"), "phone": F.col("digit") & F.contains("text", F.lit("+")), "": F.col("digit") | F.col("at")}
     patterns = PATTERNS | {"": CANDIDATE}
     spans = []
     for kind, pattern in patterns.items():
@@ -90,52 +98,71 @@ def scan(docs: DataFrame) -> DataFrame:
         gaps = F.zip_with(F.slice(f"p_{name}", 1, F.size(f"m_{name}")), f"m_{name}", lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
         rows = rows.withColumn(f"e_{name}", F.when(some, _running_sums(gaps)))
         spans.append(_spans(kind, name, some))
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,vh:bigint,outline:string,left:string,right:string>>")
-    return rows.select("doc_id", "k1", "key", F.concat(*[F.coalesce(s, empty) for s in spans]).alias("found"))
+    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,vh:bigint,outline:string,left:string,right:string,before:boolean,after:boolean>>")
+    return rows.select("doc_id", *ROW_KEY, F.concat(*[F.coalesce(s, empty) for s in spans]).alias("found"), *([keep] if keep else []))
+
+
+def _beside(piece: Column, last: bool) -> Column:
+    """The last or first word of a piece of text, lower-cased."""
+    near = F.right(piece, F.lit(NEAR)) if last else F.left(piece, F.lit(NEAR))
+    word = F.regexp_extract(near, r"(\S+)\s*$" if last else r"^\s*(\S+)", 1)
+    whole = F.length(F.trim(near)) > F.length(word)
+    all_words = F.filter(F.split(piece, r"\s+"), lambda w: w != "")
+    far = F.coalesce(F.get(all_words, F.size(all_words) - 1 if last else F.lit(0)), F.lit(""))
+    return F.lower(F.when(whole | (F.length(piece) <= NEAR), word).otherwise(far))
 
 
 def _spans(kind: str, name: str, some: Column) -> Column:
     def one(m: Column, i: Column) -> Column:
         end = F.element_at(f"e_{name}", i + 1)
-        left = F.lower(F.regexp_extract(F.right(F.element_at(f"p_{name}", i + 1), F.lit(60)), r"(\S+)\s*$", 1))
-        right = F.lower(F.regexp_extract(F.left(F.element_at(f"p_{name}", i + 2), F.lit(60)), r"^\s*(\S+)", 1))
+        ahead, behind = F.element_at(f"p_{name}", i + 1), F.element_at(f"p_{name}", i + 2)
         return F.struct(
-            F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.xxhash64(m).alias("vh"),
-            _outline(m).alias("outline"), left.alias("left"), right.alias("right"), _valid(kind, m).alias("ok"),
+            F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.xxhash64(m).alias("vh"), _outline(m).alias("outline"),
+            _beside(ahead, True).alias("left"), _beside(behind, False).alias("right"), F.right(ahead, F.lit(1)).rlike(r"\s").alias("before"), F.left(behind, F.lit(1)).rlike(r"\s").alias("after"), _valid(kind, m).alias("ok"),
         )
 
     valid = F.filter(F.transform(f"m_{name}", one), lambda s: s["ok"])
-    return F.when(some, F.transform(valid, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "vh", "outline", "left", "right")])))
+    return F.when(some, F.transform(valid, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "vh", "outline", "left", "right", "before", "after")])))
 
 
-def discover(found: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
-    """Candidates that trusted patterns name: k1, key, start, end, kind.
+def discover(docs: DataFrame, found: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
+    """Candidates that trusted patterns name: the row key, start, end, kind.
 
-    ``found`` has one row per match: k1, key, kind, start, end, vh, outline,
-    left, right; kind is empty for candidates.
+    ``found`` has one row per match in ``docs``: the row key and the fields of
+    ``scan``; kind is empty for candidates.
     """
     cells = F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("end") - 1) / 64))).alias("cell")
-    named = found.where("kind <> ''").select("k1", "key", F.col("start").alias("s"), F.col("end").alias("e"), cells)
+    named = found.where("kind <> ''").select(*ROW_KEY, F.col("start").alias("s"), F.col("end").alias("e"), cells)
     open_ = found.where("kind = ''")
-    taken = open_.select("k1", "key", "start", "end", cells).join(named, ["k1", "key", "cell"]).where("s < end and start < e").select("k1", "key", "start", "end").distinct()
-    open_ = open_.join(taken, ["k1", "key", "start", "end"], "left_anti")
+    taken = open_.select(*ROW_KEY, "start", "end", cells).join(named, [*ROW_KEY, "cell"]).where("s < end and start < e").select(*ROW_KEY, "start", "end").distinct()
+    open_ = open_.join(taken, [*ROW_KEY, "start", "end"], "left_anti")
     rows = materialize(found.where("kind <> ''").unionByName(open_), "instances")
-    patterns = F.array(F.concat_ws(" ", F.lit("L"), "left", "outline"), F.concat_ws(" ", F.lit("R"), "right", "outline"))
-    edges = materialize(rows.select("vh", "kind", F.explode(patterns).alias("pattern")).distinct(), "edges")
+    pattern = lambda mark, *of: F.concat_ws(" ", F.lit(mark), *of)
+    patterns = F.array(
+        pattern("L", "left", "outline"), pattern("R", "right", "outline"),
+        F.when(F.col("before") & (F.col("left") != ""), pattern("l", "left")), F.when(F.col("after") & (F.col("right") != ""), pattern("r", "right")),
+    )
+    dealt = rows.select("vh", "kind", F.explode(patterns).alias("pattern")).where("pattern is not null")
+    edges = materialize(dealt.groupBy("vh", "kind", "pattern").agg(F.count(F.lit(1)).alias("places")), "edges")
+    # How often the words beside candidates stand anywhere.
+    cues = edges.where("kind = ''").select("pattern").distinct().where(F.col("pattern").startswith("l ") | F.col("pattern").startswith("r "))
+    cues = cues.withColumn("word", F.substring("pattern", 3, 1 << 30))
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("standing"))
+    cues = materialize(cues.join(words, "word").select("pattern", "standing"), "cues")
     accepted = edges.sparkSession.createDataFrame([], "vh bigint, new string")
-    for _ in range(settings.rounds):
+    while True:
         marked = edges.join(accepted, "vh", "left").withColumn("kind", F.when(F.col("kind") == "", F.coalesce("new", F.lit(""))).otherwise(F.col("kind"))).drop("new")
-        counts = marked.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind") != "", F.struct("n", "kind"))).alias("b"))
-        trust = F.col("b.n") / F.col("all")
-        trusted = best.where((F.col("b.n") >= settings.least_values) & (trust >= settings.pattern_trust)).select("pattern", F.col("b.kind").alias("new"), trust.alias("trust"))
+        counts = marked.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("places").alias("places"))
+        best = counts.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind") != "", F.struct("n", "places", "kind"))).alias("b")).where(F.col("b.n") >= settings.least_values)
+        trust = F.least(F.coalesce(F.col("b.places") / F.col("standing"), F.col("b.n") / F.col("all")), F.lit(1.0))
+        trusted = best.join(cues, "pattern", "left").where(trust >= settings.pattern_trust).select("pattern", F.col("b.kind").alias("new"), trust.alias("trust"))
         trusted = materialize(trusted, "patterns")
         scores = marked.where("kind = ''").join(trusted, "pattern").groupBy("vh", "new").agg(F.round(1 - F.exp(F.sum(F.log(1.001 - F.col("trust")))), 6).alias("score"))
         fresh = materialize(scores.where(F.col("score") >= settings.value_trust).groupBy("vh").agg(F.max(F.struct("score", "new")).alias("b")).select("vh", "b.new"), "values")
         if fresh.isEmpty():
             break
         accepted = materialize(accepted.unionByName(fresh), "accepted")
-    return rows.where("kind = ''").join(accepted, "vh").select("k1", "key", "start", "end", F.col("new").alias("kind"))
+    return rows.where("kind = ''").join(accepted, "vh").select(*ROW_KEY, "start", "end", F.col("new").alias("kind")).distinct()
 
 
 def _ordered(spans: Column) -> Column:
@@ -145,15 +172,17 @@ def _ordered(spans: Column) -> Column:
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
-    """Row by row: doc_id, k1, key, base and spans (arrays of kind, start, end)."""
-    scanned = materialize(scan(docs), "scan")
-    rows = scanned.select("k1", "key", F.explode("found").alias("f")).select("k1", "key", "f.*").distinct()
-    added = discover(rows, settings).groupBy("k1", "key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+def find(docs: DataFrame, settings: Bootstrap = Bootstrap(), keep: str = "") -> DataFrame:
+    """Row by row: doc_id, base and spans (arrays of kind, start, end), and the
+    columns of ``docs`` as ``keep``, if that is named."""
+    scanned = materialize(scan(docs, keep), "scan")
+    rows = scanned.select(*ROW_KEY, F.explode("found").alias("f")).select(*ROW_KEY, "f.*")
+    added = discover(docs, rows, settings).groupBy(*ROW_KEY).agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     added = materialize(added, "added")
     base = F.transform(F.filter("found", lambda s: s["kind"] != ""), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    joined = scanned.select("doc_id", "k1", "key", base.alias("base")).join(added, ["k1", "key"], "left")
-    return joined.select("doc_id", "k1", "key", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")).alias("spans"))
+    carried = [keep] if keep else []
+    joined = scanned.select("doc_id", *ROW_KEY, base.alias("base"), *carried).join(added, ROW_KEY, "left")
+    return joined.select("doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added")).alias("spans"), *carried)
 
 
 def pii(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
@@ -161,9 +190,10 @@ def pii(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
 
     Returns one row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone
     (base spans), base_sha256, spans (base and discovered), n_added. Places are
-    code points, ends exclusive. A null or empty text has no spans; repeated
-    rows each get a row; an empty table gives an empty result. Spans of one kind
-    never overlap; spans of different kinds may. Extra columns are not read.
+    code points, ends exclusive. A null or empty text has no spans; texts of any
+    length are read whole; repeated rows each get a row; an empty table gives an
+    empty result. Spans of one kind never overlap; spans of different kinds may.
+    A found value has a digit or an @. Extra columns are not read.
     """
     found = find(docs, settings).withColumn("base_text", _ordered(F.col("base")))
     return found.select(
@@ -181,12 +211,15 @@ def redact(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
 
     Overlapping spans are replaced together under the first one's kind. n_chars,
     where there is such a column, is that of the new text. Texts without spans,
-    null ones included, stay as they are.
+    null ones included, stay as they are, repeated rows are treated alike, and
+    an empty table gives an empty one. Columns keep their names, whatever these
+    are. Texts are carried beside their spans, so only found values can move
+    them.
     """
-    found = find(docs, settings).where(F.size("spans") > 0).select(F.col("k1").alias("_k1"), F.col("key").alias("_key"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
-    found = materialize(found.dropDuplicates(["_k1", "_key"]), "spans")
-    keyed = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(-1)), "_key": F.xxhash64("text")})
-    joined = keyed.join(found, ["_k1", "_key"], "left")
+    found, names = find(docs, settings, keep="whole"), fresh_names(docs, "spans", "done")
+    spans = names["spans"]
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    joined = found.select("whole.*", F.when(F.size("spans") > 0, ordered).alias(spans))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("pos"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -194,13 +227,14 @@ def redact(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
         after = F.struct(F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["end"].alias("pos"))
         return F.when(s["start"] >= acc["pos"], after).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos")))
 
-    done = F.aggregate("_spans", start, step)
-    joined = joined.withColumn("_done", F.when(F.col("_spans").isNotNull(), done))
-    text = F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat("_done.out", F.substring(F.col("text"), (F.col("_done.pos") + 1).cast("int"), F.length("text"))))
-    joined = joined.withColumn("text", text)
+    done = names["done"]
+    joined = joined.withColumn(done, F.when(F.col(spans).isNotNull(), F.aggregate(spans, start, step)))
+    out, pos, clean = F.col(f"{done}.out"), F.col(f"{done}.pos"), F.col(done).isNull()
+    tail = F.substring(F.col("text"), (pos + 1).cast("int"), F.length("text"))
+    new = {"text": F.when(clean, F.col("text")).otherwise(F.concat(out, tail)).alias("text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(clean, F.col("n_chars")).otherwise((F.length(out) + F.length("text") - pos).cast("long")).alias("n_chars")
+    return joined.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 ORACLE = None

@@ -1,27 +1,33 @@
 """Quality rules: base statistics, then robust multivariate outliers.
 
 Every document's statistics become a short vector. For each language and source
-a minimum-covariance-determinant estimate of centre and spread is found by
-concentration steps, and documents far from it by Mahalanobis distance go. All
-of it is aggregates and joins: vectors are whole numbers on a fixed grid and are
-summed as decimals, so an estimate does not depend on the order of rows.
+the centre and spread with the least determinant over the core of the group are
+sought by concentration steps from several starts, and documents far from it by
+Mahalanobis distance go. Several statistics are constant in most texts, so
+covariances are regularised: by floors, and towards those of the language, and
+these towards those of all rows. All of it is aggregates and joins; vectors are
+whole numbers on a fixed grid, so sums do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, space_words, with_run_hashes
 
 REPEAT_WINDOW_STEPS = 3  # windows of 2 ** 3 = 8 words
-#: Steps of the grid on which vectors lie, per unit.
-GRID = 1000
-#: Dimensions, and the standard deviation below which no dimension may fall.
+#: Steps of the grid on which vectors lie, per unit; steps of the grid of
+#: distances per doubling.
+GRID, BINS = 1000, 64
+#: Dimensions, and the standard deviation that is added to each.
 DIMS = ("x1", "x2", "x3", "x4")
 FLOORS = (0.08, 0.06, 0.10, 0.10)
+TRIANGLE = [(i, j) for i in range(4) for j in range(i + 1)]
+#: From the whole to the part: what a level's groups are made of.
+LEVELS = ((), ("lang",), ("lang", "source"))
 
 
 @dataclass(frozen=True)
@@ -30,27 +36,31 @@ class Robust:
 
     core: share of a group that a concentration step keeps; core_factor makes
     the spread of that share consistent for normal data in four dimensions.
+    prior: rows for which the language's estimate counts in that of a source,
+    and that of all rows in a language's, whatever the group's size.
     weight_cut and reject_cut are squared distances (chi-square with four
-    degrees of freedom at 0.975 and 0.999). Groups of fewer than
-    ``least`` rows are estimated with their language, those of smaller
-    languages with all rows.
+    degrees of freedom at 0.975 and 0.999). A start ends when its log
+    determinant falls by less than ``gain``; as each step has to gain that much,
+    all of them end.
     """
 
     core: float = 0.75
     core_factor: float = 1.485
-    steps: int = 3
+    prior: float = 20.0
     weight_cut: float = 11.143
     reject_cut: float = 18.467
-    least: int = 100
+    gain: float = 1e-6
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), lang, source and the counts of every text,
-    in one scan."""
+def statistics(docs: DataFrame, keep: str = "") -> DataFrame:
+    """doc_id, lang, source and the counts of every text, in one scan; with
+    ``keep`` the columns of ``docs`` too, as a struct of that name."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.xxhash64("text").alias("key"), "lang", "source", text.alias("text")).withColumn("w", space_words(F.col("text")))
+    rest = [F.struct(*[docs[c] for c in docs.columns]).alias(keep)] if keep else []
+    carried = [keep] if keep else []
+    base = docs.select("doc_id", "lang", "source", text.alias("text"), *rest).withColumn("w", space_words(F.col("text")))
     counted = base.select(
-        "doc_id", "key", "lang", "source",
+        "doc_id", "lang", "source", *carried,
         F.length("text").alias("n_chars"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -69,7 +79,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     steps = F.zip_with(F.slice("p", 1, m), F.slice("p", 2, m), lambda a, b: F.least(b - a, F.lit(size)))
     covered = F.aggregate(steps, F.lit(size), lambda acc, x: acc + x)
     return placed.select(
-        "doc_id", "key", "lang", "source", "n_chars", "n_words", "word_chars", "n_symbols",
+        "doc_id", "lang", "source", *carried, "n_chars", "n_words", "word_chars", "n_symbols",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("repeats"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
@@ -87,37 +97,53 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({k: F.round(v * GRID).cast("long") for k, v in raw.items()})
 
 
-def _with_groups(rows: DataFrame, least: int) -> DataFrame:
-    """Adds group, the rows with which each is estimated."""
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("lang", "l")
-    shown = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    name = F.when(F.col("n") >= least, F.concat(shown(F.col("lang")), F.lit("/"), shown(F.col("source")))).when(F.col("m") >= least, shown(F.col("lang"))).otherwise("")
-    named = materialize(sizes.join(langs, F.col("lang").eqNullSafe(F.col("l"))).select(F.col("lang").alias("l"), F.col("source").alias("s"), name.alias("group")), "groups")
-    return rows.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
-
-
-def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Per group: centre and the lower triangle of the spread's root (Cholesky)."""
-    big = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
-    sums = [big(F.col(x)).alias(f"s{i}") for i, x in enumerate(DIMS)]
-    products = [big(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i in range(4) for j in range(i + 1)]
-    found = rows.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *products)
-    found = found.select("group", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(4)], *[
-        ((F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * factor + F.lit((FLOORS[i] * GRID) ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-        for i in range(4) for j in range(i + 1)
-    ])
-    for i in range(4):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            found = found.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return materialize(found.drop(*[f"c{i}{j}" for i in range(4) for j in range(i + 1)]), "estimate")
-
-
-def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    joined = rows.join(estimate, "group")
+def _group(level: int) -> Column:
+    """The group of a row at a level, as a string in which nulls have a place."""
+    return F.to_json(F.struct(*LEVELS[level])) if LEVELS[level] else F.lit("{}")
+
+
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group: n, and the sums s of the vectors and p of their products."""
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(DIMS)]
+    products = [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in TRIANGLE]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+
+
+def _estimate(sums: DataFrame, prior: DataFrame | None, settings: Robust, factor: float) -> DataFrame:
+    """From sums by group and start: centre m, spread c, its root l (Cholesky)
+    and logdet. ``prior`` has the m and c of the groups' parents."""
+    n = F.col("n").cast("double")
+    mean = [F.col(f"s{i}") / n for i in range(4)]
+    floors = {(i, j): F.lit((FLOORS[i] * GRID) ** 2 if i == j else 0.0) for i, j in TRIANGLE}
+    spread = {(i, j): (F.col(f"p{i}{j}") / n - mean[i] * mean[j]) * factor + floors[i, j] for i, j in TRIANGLE}
+    keys = ["group", "start", "parent"]
+    if prior is None:
+        found = sums.select(*keys, *[mean[i].alias(f"m{i}") for i in range(4)], *[spread[i, j].alias(f"c{i}{j}") for i, j in TRIANGLE])
+    else:
+        # The moments of the group's rows mixed with ``prior`` rows of the parent.
+        before = prior.select(F.col("group").alias("parent"), *[F.col(f"m{i}").alias(f"q{i}") for i in range(4)], *[F.col(f"c{i}{j}").alias(f"r{i}{j}") for i, j in TRIANGLE])
+        w = n / (n + settings.prior)
+        off = [mean[i] - F.col(f"q{i}") for i in range(4)]
+        found = sums.join(before, "parent").select(
+            *keys, *[(w * mean[i] + (1 - w) * F.col(f"q{i}")).alias(f"m{i}") for i in range(4)],
+            *[(w * spread[i, j] + (1 - w) * F.col(f"r{i}{j}") + w * (1 - w) * off[i] * off[j]).alias(f"c{i}{j}") for i, j in TRIANGLE],
+        )
+    return _rooted(found)
+
+
+def _rooted(found: DataFrame) -> DataFrame:
+    """Adds the root l of the spread c, and logdet."""
+    for i, j in TRIANGLE:
+        rest = F.col(f"c{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        found = found.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+    return found.withColumn("logdet", 2 * F.log(F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")))
+
+
+def _with_distance(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
+    """``rows`` with d2, their squared distance, and ``more`` of the estimate."""
+    joined = rows.join(estimate.select("group", *more, *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i, j in TRIANGLE]), "group")
     total: Column = F.lit(0.0)
     for i, x in enumerate(DIMS):
         rest = F.col(x) - F.col(f"m{i}")
@@ -125,51 +151,97 @@ def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
         joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return joined.withColumn("d2", total).select(*rows.columns, "d2")
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and a diagonal spread of the floors: a start without a draw."""
-    medians = rows.groupBy("group").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(DIMS)])
-    triangle = {f"l{i}{j}": F.lit(FLOORS[i] * GRID if i == j else 0.0) for i in range(4) for j in range(i + 1)}
-    return materialize(medians.withColumns(triangle), "start")
+    return joined.withColumn("d2", total).select(*rows.columns, "d2", *more)
+
+
+def _starts(rows: DataFrame, prior: DataFrame | None, settings: Robust) -> DataFrame:
+    """Starts without a draw: medians with the floors, the moments of all of a
+    group's rows, and its parent's estimate."""
+    medians = rows.groupBy("group", "parent").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(DIMS)])
+    spread = {f"c{i}{j}": F.lit((FLOORS[i] * GRID) ** 2 if i == j else 0.0) for i, j in TRIANGLE}
+    starts = _rooted(medians.withColumns(spread | {"start": F.lit("medians")}))
+    starts = starts.unionByName(_estimate(_sums(rows.withColumn("start", F.lit("moments")), "group", "start", "parent"), prior, settings, 1.0))
+    if prior is not None:
+        theirs = rows.select("group", "parent").distinct().join(prior.withColumnRenamed("group", "parent").drop("start"), "parent").withColumn("start", F.lit("parent"))
+        starts = starts.unionByName(theirs.select(starts.columns))
+    return starts
+
+
+def _core(far: DataFrame, settings: Robust) -> DataFrame:
+    """Sums of the nearest rows of every group and start. Distances are binned
+    by their logarithm, so that all rows pass once and a group leaves a few
+    hundred sums; the bin in which the core is reached belongs to it."""
+    binned = materialize(_sums(far.withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2")))), "group", "parent", "start", "bin"), "bins")
+    by = Window.partitionBy("group", "start")
+    nearer = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    core = binned.withColumn("nearer", nearer).withColumn("all", F.sum("n").over(by)).where(F.col("nearer") < settings.core * F.col("all"))
+    names = ["n", *[f"s{i}" for i in range(4)], *[f"p{i}{j}" for i, j in TRIANGLE]]
+    return core.groupBy("group", "parent", "start").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in names])
+
+
+def least_determinants(rows: DataFrame, prior: DataFrame | None, settings: Robust = Robust()) -> DataFrame:
+    """Per group of ``rows`` (group, parent and the vectors) the estimate whose
+    core has the least determinant, over all starts, then weighted once more."""
+    open_ = materialize(_starts(rows, prior, settings).withColumn("logdet", F.lit(float("inf"))), "starts")
+    ended = []
+    while True:
+        before = open_.select("group", "start", *[F.col(c).alias(f"o_{c}") for c in open_.columns if c not in ("group", "start", "parent")])
+        new = _estimate(_core(_with_distance(rows, open_.drop("parent"), "start"), settings), prior, settings, settings.core_factor).join(before, ["group", "start"])
+        new = materialize(new.withColumn("better", F.col("logdet") < F.col("o_logdet") - settings.gain), "steps")
+        names = [c for c in open_.columns if c not in ("group", "start", "parent")]
+        ended.append(new.where("not better").select("group", "parent", *[F.col(f"o_{c}").alias(c) for c in names]))
+        open_ = new.where("better").select(*open_.columns)
+        if open_.isEmpty():
+            break
+    all_ = ended[0]
+    for more in ended[1:]:
+        all_ = all_.unionByName(more)
+    best = materialize(all_.groupBy("group").agg(F.min_by(F.struct(*[c for c in all_.columns if c not in ("group", "parent")]), "logdet").alias("b")).select("group", "b.*"), "best")
+    near = _with_distance(rows, best).where(F.col("d2") <= settings.weight_cut).withColumn("start", F.lit("weighted"))
+    final = _estimate(_sums(near, "group", "parent", "start"), prior, settings, 1.0).drop("parent", "start")
+    # A group none of whose rows is near keeps the estimate of its core.
+    return materialize(final.unionByName(best.join(final, "group", "left_anti").select(final.columns)), "estimate")
 
 
 def outliers(stats: DataFrame, settings: Robust = Robust()) -> DataFrame:
     """``stats`` with d2, the squared robust distance of every row."""
-    rows = materialize(_with_groups(vectors(stats), settings.least), "vectors")
-    estimate = _start(rows)
-    for _ in range(settings.steps):
-        # On a grid of its logarithm a distance takes few values, so the exact
-        # quantile over all rows of a group is a small sum of counts.
-        far = _with_distance(rows, estimate).withColumn("q", F.floor(64 * F.log2(1 + F.col("d2"))))
-        cut = far.groupBy("group").agg(F.percentile("q", F.lit(settings.core)).alias("cut"))
-        cut = materialize(cut, "cut")
-        estimate = _estimate(far.join(cut, "group").where("q <= cut"), settings.core_factor)
-    estimate = _estimate(_with_distance(rows, estimate).where(F.col("d2") <= settings.weight_cut), 1.0)
-    return _with_distance(rows, estimate)
+    rows = materialize(vectors(stats), "vectors")
+    prior = None
+    for level in range(len(LEVELS)):
+        grouped = rows.select(_group(level).alias("group"), _group(max(level - 1, 0)).alias("parent"), *DIMS)
+        prior = least_determinants(grouped, prior, settings)
+    return _with_distance(rows.withColumn("group", _group(len(LEVELS) - 1)), prior)
+
+
+#: SQL text of the base rules.
+FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
 def quality(docs: DataFrame, settings: Robust = Robust()) -> DataFrame:
     """Statistics and verdict of every document.
 
     Returns one row per row of ``docs``: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, distance2, key. A null text has
-    no words; a null lang or source is a group of its own; repeated rows each
-    get a row; an empty table gives an empty result. Repeated windows are found
-    by 64-bit hashes within a text. Extra columns are not read.
+    n_dup_lines, n_repeat_words, base_failed, kept, distance2. A null text has
+    no words; a null lang or source is a group of its own; a group of any size
+    has an estimate (that of its language, the more the smaller it is); repeated
+    rows each get a row; texts of any length are read whole; an empty table
+    gives an empty result. Repeated windows are found by 64-bit hashes within a
+    text. Extra columns are not read.
     """
     found = outliers(statistics(docs), settings)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return found.withColumn("base_failed", failed).select(
+    return found.withColumn("base_failed", F.expr(FAILED)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("d2") <= settings.reject_cut)).alias("kept"),
-        F.col("d2").alias("distance2"), "key",
+        F.col("d2").alias("distance2"),
     )
 
 
 def keep_good(docs: DataFrame, settings: Robust = Robust()) -> DataFrame:
-    """The rows of ``docs`` that the rules and the estimate keep."""
-    good = quality(docs, settings).where("kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    return keyed.join(good, keyed["doc_id"].eqNullSafe(good["_id"]) & (keyed["_text_key"] == good["_key"]), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that the rules and the estimate keep.
+
+    Columns stay as they are, whatever their names. Texts are carried beside
+    their vectors, so none is shuffled; nulls, repeats and empty tables are as
+    in ``quality``.
+    """
+    found = outliers(statistics(docs, keep="whole"), settings)
+    return found.where(~F.expr(FAILED) & (F.col("d2") <= settings.reject_cut)).select("whole.*")

@@ -123,28 +123,28 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges a, b: node and its smallest node, root.
 
-    Alternates large-star and small-star steps until no edge changes. Each is
-    an aggregate and a join, so a hub with many edges is pre-aggregated or
-    split, never gathered. Every round is written to the shared folder.
+    Alternates large-star and small-star steps until all edges are stars. Each
+    is an aggregate and a join, so a hub with many edges is pre-aggregated or
+    split, never gathered. Every round is written to the shared folder. Rounds
+    are a logarithm of the nodes; ``most_rounds``, far above, only raises.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
     for _ in range(most_rounds):
+        # In stars no node has two edges up, or edges up and down.
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         # Large star: larger neighbours of a node join its smallest one.
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours and the node itself do.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = materialize(small, "edges")
-        new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(edges)
         edges = after
-        if mark == new or not new[0]:
-            break
-        mark = new
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -296,7 +296,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def likely_pairs(sets: DataFrame) -> DataFrame:
     """Pairs a, b of sets whose fingerprints are equal or linked: the sets of a
     fingerprint with its smallest one, and the smallest ones with each other."""
-    heads = materialize(sets.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    heads = sets.groupBy("fp").agg(F.min("node").alias("head"))
     equal = sets.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("q")), "b")
     return equal.unionByName(near.select(F.col("p").alias("a"), F.col("q").alias("b")))
@@ -305,45 +305,48 @@ def likely_pairs(sets: DataFrame) -> DataFrame:
 def alike_roots(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """node and root for the sets linked by pairs of at least ``least``.
 
-    ``dealt`` are the postings. First the pairs that fingerprints suggest are
-    verified; most copies are linked by these. Then, in every bucket (the sets
-    with h in their prefix) that is not linked in itself, some heads are
-    compared with all the others that size and place allow and step out. It ends
-    when no bucket holds two groups, so every pair that could be alike was
-    compared or is linked. Heads grow in number by rounds; a bucket of one group
-    costs no pairs, one of unlike sets its square.
+    ``dealt`` are the postings; a bucket is the sets with a hash in their
+    prefix. First the pairs that fingerprints suggest and each bucket's head
+    with all the others are verified; this links most copies. Then, in every
+    bucket that is not linked in itself, some more heads are compared with all
+    the others that size and place allow, and step out. It ends when no bucket
+    holds two groups, so every pair that could be alike was compared or is
+    linked. Heads grow in number by rounds; a bucket of one group costs no
+    pairs, one of unlike sets its square.
     """
-    spark = dealt.sparkSession
-    tried = materialize(likely_pairs(sets).distinct(), "tried")
-    fresh = alike = materialize(verified(tried, sets, least), "links")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
+    # The head is the set with the most company in all its buckets: of many
+    # edited copies, the original.
+    company = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(dealt.join(company, "h"), "shared")
+    discard(dealt)
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    left = materialize(shared.drop("n").join(weight, "node").withColumn("root", F.col("node")), "left")
+    discard(shared)
+    tried = alike = None
+    likely = likely_pairs(sets)
     heads_a_bucket, rounds = 1, 0
     while True:
-        if not fresh.isEmpty():
-            roots = materialize(components(alike), "roots")
-        left = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = left.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("h", "n")
-        left = materialize(left.join(mixed, "h"), "left")
-        discard(dealt)
-        if left.isEmpty():
-            return roots
-        # The head is the set with the most company in all its buckets: of many
-        # edited copies, the original.
-        weight = left.groupBy("node").agg(F.sum("n").alias("weight"))
-        left = materialize(left.drop("n").join(weight, "node"), "weighed")
         part = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(heads_a_bucket))
         heads = left.groupBy("h", part.alias("part")).agg(F.max(F.struct("weight", "node", "size", "pos", "rest", "root")).alias("p")).select("h", "p")
         heads = materialize(heads, "heads")
         common = F.least("p.pos", "q.pos") + F.least("p.rest", "q.rest")
         needed = least / (1 + least) * (F.col("p.size") + F.col("q.size")) - SLACK
         pairs = left.alias("q").join(heads, "h").where((F.col("p.root") != F.col("q.root")) & (common >= needed))
-        pairs = pairs.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b"))
+        pairs = pairs.unionByName(likely).distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
         fresh = materialize(verified(pairs, sets, least), "links")
-        alike, tried = alike.unionByName(fresh), tried.unionByName(pairs)
-        out = heads.select("h", F.col("p.node").alias("node"))
-        dealt = materialize(left.drop("root", "weight").join(out, ["h", "node"], "left_anti"), "dealt")
+        alike, tried = (fresh, pairs) if tried is None else (alike.unionByName(fresh), tried.unionByName(pairs))
+        if tried is pairs or not fresh.isEmpty():
+            roots = materialize(components(alike), "roots")
+        rest = left.drop("root").join(heads.select("h", F.col("p.node").alias("node")), ["h", "node"], "left_anti")
+        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rest.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+        after = materialize(rest.join(mixed, "h", "left_semi"), "left")
         discard(left)
+        left = after
+        if left.isEmpty():
+            return roots
         heads_a_bucket, rounds = 8 * heads_a_bucket, rounds + 1
 
 

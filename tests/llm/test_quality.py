@@ -21,29 +21,48 @@ def plain_statistics(text):
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(repeated), len(lines), len(text)
 
 
+def plain_estimate(y, prior, s):
+    """Least determinant over all starts, in numpy."""
+    floors = np.diag((np.array(quality.FLOORS) * quality.GRID) ** 2)
+
+    def moments(rows, factor):
+        m, c = rows.mean(0), np.cov(rows.T, bias=True).reshape(4, 4) * factor + floors
+        if prior is None:
+            return m, c
+        w, off = len(rows) / (len(rows) + s.prior), m - prior[0]
+        return w * m + (1 - w) * prior[0], w * c + (1 - w) * prior[1] + w * (1 - w) * np.outer(off, off)
+
+    distance = lambda m, c: np.einsum("ij,ji->i", y - m, np.linalg.solve(c, (y - m).T))
+    found = []
+    for m, c in [(np.median(y, axis=0), floors), moments(y, 1.0), *([prior] if prior else [])]:
+        best = math.inf
+        while True:
+            bins = np.floor(quality.BINS * np.log2(1 + distance(m, c)))
+            new = moments(y[[(bins < b).sum() < s.core * len(y) for b in bins]], s.core_factor)
+            logdet = np.linalg.slogdet(new[1])[1]
+            if not logdet < best - s.gain:
+                break
+            (m, c), best = new, logdet
+        found.append((best, m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    near = y[distance(m, c) <= s.weight_cut]
+    m, c = moments(near, 1.0) if len(near) else (m, c)
+    return m, c, distance(m, c)
+
+
 def plain_verdicts(rows, s=quality.Robust()):
-    """Concentration steps in numpy over the same groups."""
+    """All rows, then languages, then their sources."""
     stats = [plain_statistics(t) for _, t, *_ in rows]
     half_up = lambda v: math.floor(v * quality.GRID + 0.5)
     x = np.array([[half_up(math.log((c + 250) / (n + 50))), half_up(math.sqrt(y / (k + 50))), half_up(d / (ln + 2)), half_up(r / (n + 20))] for n, c, y, d, r, ln, k in stats], float)
-    groups = {}
-    for i, (_, _, lang, source, *_) in enumerate(rows):
-        n = sum(r[2] == lang and r[3] == source for r in rows)
-        m = sum(r[2] == lang for r in rows)
-        groups.setdefault((lang, source) if n >= s.least else (lang,) if m >= s.least else (), []).append(i)
-    far = np.empty(len(rows))
-    floors = np.diag((np.array(quality.FLOORS) * quality.GRID) ** 2)
-    for at in groups.values():
-        y = x[at]
-        centre, spread = np.median(y, axis=0), floors
-        distance = lambda: np.einsum("ij,ji->i", y - centre, np.linalg.solve(spread, (y - centre).T))  # noqa: E731, B023
-        for _ in range(s.steps):
-            q = np.floor(64 * np.log2(1 + distance()))
-            core = y[q <= np.percentile(q, 100 * s.core)]
-            centre, spread = core.mean(0), np.cov(core.T, bias=True) * s.core_factor + floors
-        core = y[distance() <= s.weight_cut]
-        centre, spread = core.mean(0), np.cov(core.T, bias=True) + floors
-        far[at] = distance()
+    far, known = np.empty(len(rows)), {}
+    for level in range(3):
+        groups = {}
+        for i, r in enumerate(rows):
+            groups.setdefault(r[2 : 2 + level], []).append(i)
+        for name, at in groups.items():
+            m, c, far[at] = plain_estimate(x[at], known.get(name[:-1]) if level else None, s)
+            known[name] = (m, c)
     failed = [n < 20 or 100 * r > 30 * n for n, _, _, _, r, _, _ in stats]
     return stats, failed, [not f and d <= s.reject_cut for f, d in zip(failed, far, strict=True)], far
 
@@ -65,11 +84,11 @@ def corpus(seed, n=700):
 
 
 def test_matches_brute_force(spark):
-    rows = corpus(1)
+    rows = corpus(1) + [(9000 + i, "a lone row of its own kind " * 5, "xx", f"only {i}", "") for i in range(3)]
     stats, failed, kept, far = plain_verdicts(rows)
     found = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
     for i, (n, c, y, d, p, *_) in enumerate(stats):
-        r = found[i]
+        r = found[rows[i][0]]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, c, y, d, p)
         assert r.base_failed == failed[i]
         assert math.isclose(r.distance2, far[i], rel_tol=1e-6, abs_tol=1e-6)
