@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,16 @@ BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z
 BLOCK = 256
 
 
+#: \b before what starts with a word character, and behind what ends with one.
+_OPENING = re.compile(r"^((?:\(\?i\))?)\\b(?=\\d|\[A-Z|\[6-9|[A-Za-z]|\(\?:[a-zA-Z])")
+_CLOSING = re.compile(r"((?:\\d|\[(?:A-Z|a-z|0-9)+\])(?:\{[\d,]+\})?(?:\)\??)?)\\b$")
+
+
 def java(pattern: str) -> str:
-    """The pattern with ASCII word boundaries."""
+    """The pattern with ASCII word boundaries; those at its ends, where one side
+    is known, look at one character only."""
+    pattern = _OPENING.sub(r"\1(?<![0-9A-Za-z_])", pattern)
+    pattern = _CLOSING.sub(r"\1(?![0-9A-Za-z_])", pattern)
     return pattern.replace(r"\b", BOUNDARY)
 
 

@@ -33,19 +33,19 @@ class Detector:
 #: Categories, patterns, confidences and rules, in their order.
 DETECTORS = (
     Detector("email", "pattern-matched", 0.95, "email-pattern", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "@"),
-    Detector("credit-card", "pattern-matched", 0.8, "cc-pattern", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", check="luhn"),
-    Detector("account-number", "pattern-matched", 0.92, "account-number-16digit-non-luhn", r"\b\d{16}\b", check="not luhn"),
-    Detector("account-number", "context-inferred", 0.80, "account-number-context", r"(?i)\b(?:account|acc|a\/c|beneficiary|acct)\b[^\S\r\n]*(?:no\.?|num(?:ber)?)?[^\S\r\n]*[:\-]?[^\S\r\n]*(\d{9,18})\b", group="front"),
-    Detector("aadhaar", "pattern-matched", 0.88, "aadhaar-pattern", r"\b\d{4}\s\d{4}\s\d{4}\b", check="verhoeff"),
-    Detector("pan", "pattern-matched", 0.9, "pan-pattern", r"\b[A-Z]{5}\d{4}[A-Z]\b"),
-    Detector("ifsc", "pattern-matched", 0.9, "ifsc-pattern", r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
-    Detector("iban", "pattern-matched", 0.8, "iban-pattern", r"\b[A-Z]{2}\d{2}\s?[A-Z0-9]{4}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,4})?\b", check="mod97"),
+    Detector("credit-card", "pattern-matched", 0.8, "cc-pattern", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", check="luhn", gate=r"[0-9]{4}[\s-]?[0-9]{4}"),
+    Detector("account-number", "pattern-matched", 0.92, "account-number-16digit-non-luhn", r"\b\d{16}\b", check="not luhn", gate="[0-9]{16}"),
+    Detector("account-number", "context-inferred", 0.80, "account-number-context", r"(?i)\b(?:account|acc|a\/c|beneficiary|acct)\b[^\S\r\n]*(?:no\.?|num(?:ber)?)?[^\S\r\n]*[:\-]?[^\S\r\n]*(\d{9,18})\b", group="front", gate="[0-9]{9}"),
+    Detector("aadhaar", "pattern-matched", 0.88, "aadhaar-pattern", r"\b\d{4}\s\d{4}\s\d{4}\b", check="verhoeff", gate=r"[0-9]{4}\s[0-9]{4}\s[0-9]{4}"),
+    Detector("pan", "pattern-matched", 0.9, "pan-pattern", r"\b[A-Z]{5}\d{4}[A-Z]\b", gate="[A-Z]{5}[0-9]{4}"),
+    Detector("ifsc", "pattern-matched", 0.9, "ifsc-pattern", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", gate="[A-Z]{4}0"),
+    Detector("iban", "pattern-matched", 0.8, "iban-pattern", r"\b[A-Z]{2}\d{2}\s?[A-Z0-9]{4}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,4})?\b", check="mod97", gate="[A-Z]{2}[0-9]{2}"),
     Detector("otp", "context-inferred", 0.82, "otp-context", r"(?i)\b(?:otp|one.?time.?(?:pass(?:word|code)?|code|pin))\s*[:\-]?\s*(\d{4,8})\b", group="back"),
     Detector("otp", "context-inferred", 0.82, "otp-context", r"(?i)\b(?:verification|verify|auth(?:entication)?)\s+(?:code|pin|otp)\s+(?:is\s*[:\-]?\s*)?(\d{4,8})\b", group="back"),
     Detector("otp", "context-inferred", 0.82, "otp-context", r"(?i)\bcode\s+is\s*[:\-]?\s*(\d{4,8})\b", group="back"),
     Detector("password", "context-inferred", 0.75, "password-context-complexity", r"(?i)\b(?:password|passwd|pwd|pass)\b[^\S\r\n]*(?:[=:\-]\s*|\s+)([^\s]{8,64})", "(?i)pass|pwd", group="front", check="complex"),
-    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b\d{1,4}\s+[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25},\s*[A-Za-z][A-Za-z\s]{2,25}\s+\d{6}\b", "[0-9]{6}"),
-    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25}\s*[-–]\s*\d{6}\b", "[0-9]{6}"),
+    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b\d{1,4}\s+[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25},\s*[A-Za-z][A-Za-z\s]{2,25}\s+\d{6}\b", r"(?s),.*[0-9]{6}"),
+    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25}\s*[-–]\s*\d{6}\b", r"(?s),.*[-–]\s*[0-9]{6}"),
     Detector("jwt", "pattern-matched", 0.95, "jwt-pattern", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "eyJ"),
     Detector("private-key", "pattern-matched", 0.99, "private-key-header", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", "PRIVATE KEY"),
     Detector("api-key", "pattern-matched", 0.9, "api-key-pattern", r"""(?i)\b(?:api[_-]?key|apikey|secret[_-]?key|access[_-]?token)\s*[=:]\s*['"]?([a-zA-Z0-9_\-]{20,})['"]?""", "(?i)key|token"),
@@ -53,10 +53,10 @@ DETECTORS = (
     Detector("api-key", "pattern-matched", 0.9, "api-key-pattern", r"\bsk-[a-zA-Z0-9_-]{20,}\b", "sk-"),
     Detector("api-key", "pattern-matched", 0.9, "api-key-pattern", r"\bghp_[a-zA-Z0-9]{36}\b", "ghp_"),
     Detector("api-key", "pattern-matched", 0.9, "api-key-pattern", r"\bAKIA[0-9A-Z]{16}\b", "AKIA"),
-    Detector("ssn", "pattern-matched", 0.7, "ssn-pattern", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b"),
-    Detector("phone", "pattern-matched", 0.85, "phone-pattern", r"(?:\+91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}"),
-    Detector("phone", "pattern-matched", 0.85, "phone-pattern", r"(?:\+1[\s-]?)?\(?\d{3}\)?[\s-]?\d{3}[\s-]?\d{4}"),
-    Detector("phone", "pattern-matched", 0.85, "phone-pattern", r"(?:\+\d{1,3}[\s-]?)?\d{4,5}[\s-]?\d{4,6}"),
+    Detector("ssn", "pattern-matched", 0.7, "ssn-pattern", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", gate=r"[0-9]{3}[-\s]?[0-9]{2}[-\s]?[0-9]{4}"),
+    Detector("phone", "pattern-matched", 0.85, "phone-pattern", r"(?:\+91[\s-]?)?[6-9]\d{4}[\s-]?\d{5}", gate=r"[6-9][0-9]{4}[\s-]?[0-9]{5}"),
+    Detector("phone", "pattern-matched", 0.85, "phone-pattern", r"(?:\+1[\s-]?)?\(?\d{3}\)?[\s-]?\d{3}[\s-]?\d{4}", gate=r"[0-9]{3}[\s-]?[0-9]{4}"),
+    Detector("phone", "pattern-matched", 0.85, "phone-pattern", r"(?:\+\d{1,3}[\s-]?)?\d{4,5}[\s-]?\d{4,6}", gate=r"[0-9]{4}[\s-]?[0-9]{4}"),
 )
 #: What a passed checksum makes of a detection.
 UPGRADES = {"luhn": (0.98, "cc-luhn-verified"), "verhoeff": (0.95, "aadhaar-verhoeff-verified"), "mod97": (0.98, "iban-mod97-verified")}
@@ -77,8 +77,10 @@ def _detection(m: Column) -> Column:
     """A match as a detection: its group, and what its check makes of it."""
     full, ord_ = m["value"], m["ord"]
     group, check = _setting("group", ord_), _setting("check", ord_)
-    patterns = F.array(*[F.lit(java(d.pattern)) for d in DETECTORS])
-    inner = F.call_function("regexp_extract", full, F.element_at(patterns, ord_ + 1), F.lit(1))
+    inner = full
+    for i, d in enumerate(DETECTORS):
+        if d.group:
+            inner = F.when(ord_ == i, F.regexp_extract(full, java(d.pattern), 1)).otherwise(inner)
     value = F.when(group == "", full).when(check == "complex", F.regexp_replace(inner, "['\";,]+$", "")).otherwise(inner)
     front = F.instr(full, value) - 1
     back = F.length(full) - F.instr(F.reverse(full), F.reverse(value)) - F.length(value) + 1
