@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import layout, outgoing, privacy, scenes, sessions, subjects, tasks
+from . import layout, outgoing, privacy, scenes, sessions, subjects, tasks, validation
 from .registry import Query
 
-MODULES = (privacy, layout, outgoing, tasks, sessions, subjects, scenes)
+MODULES = (privacy, layout, outgoing, tasks, sessions, subjects, scenes, validation)
 
 
 def queries() -> dict[str, Query]:

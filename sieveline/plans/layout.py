@@ -1,7 +1,7 @@
 """Queries over boxes, tiles and score vectors, with their SQL.
 
 Boxes are made from keys of the part table by the same whole-number rule on
-both sides, so a scene is a handful of parts.
+both sides. A scene is a run of so many keys: tables that grow have more scenes.
 """
 
 from __future__ import annotations
@@ -14,18 +14,19 @@ from ..sources.tables import table
 from .registry import Registry
 
 QUERIES = Registry()
+#: Parts of a scene.
+PARTS = 200
 
 
 def _made(spark: SparkSession, folder: str, p: str, m: tuple[int, int, int, int]) -> DataFrame:
     parts = table(spark, folder, "part").select(F.col("p_partkey").cast("bigint").alias("key"), "p_name")
-    scenes = F.lit(40)
     box = {"x": (F.col("key") * m[0]) % 1200, "y": (F.col("key") * m[1]) % 800, "w": 20 + (F.col("key") * m[2]) % 180, "h": 10 + (F.col("key") * m[3]) % 90}
-    return parts.select(F.pmod("key", scenes).alias("scene"), F.col("key").alias(f"{p}_id"), *[v.cast("double").alias(f"{p}_{k}") for k, v in box.items()], (((F.col("key") * 97) % 1000) / 1000.0).alias("score"), "p_name")
+    return parts.select(F.floor(F.col("key") / PARTS).alias("scene"), F.col("key").alias(f"{p}_id"), *[v.cast("double").alias(f"{p}_{k}") for k, v in box.items()], (((F.col("key") * 97) % 1000) / 1000.0).alias("score"), "p_name")
 
 
 def _made_sql(p: str, m: tuple[int, int, int, int]) -> str:
     return (
-        f"SELECT CAST(p_partkey AS BIGINT) % 40 AS scene, CAST(p_partkey AS BIGINT) AS {p}_id, CAST((p_partkey * {m[0]}) % 1200 AS DOUBLE) AS {p}_x, CAST((p_partkey * {m[1]}) % 800 AS DOUBLE) AS {p}_y,"
+        f"SELECT CAST(p_partkey AS BIGINT) // {PARTS} AS scene, CAST(p_partkey AS BIGINT) AS {p}_id, CAST((p_partkey * {m[0]}) % 1200 AS DOUBLE) AS {p}_x, CAST((p_partkey * {m[1]}) % 800 AS DOUBLE) AS {p}_y,"
         f" CAST(20 + (p_partkey * {m[2]}) % 180 AS DOUBLE) AS {p}_w, CAST(10 + (p_partkey * {m[3]}) % 90 AS DOUBLE) AS {p}_h, ((p_partkey * 97) % 1000) / 1000.0 AS score, p_name FROM part"
     )
 
@@ -127,14 +128,14 @@ def anchor_grid(spark: SparkSession, folder: str) -> DataFrame:
     return grid(8, 16, 2).unionByName(grid(16, 8, 6))
 
 
-_TILES = """WITH s AS (SELECT p_partkey AS key, 600 + (p_partkey * 31) % 900 AS w, 400 + (p_partkey * 17) % 700 AS h FROM part WHERE p_partkey % 10 = 0)
+_TILES = """WITH s AS (SELECT p_partkey AS key, 600 + (p_partkey * 31) % 900 AS w, 400 + (p_partkey * 17) % 700 AS h FROM part)
 SELECT key, 'tile-' || r || '-' || c AS tile_id, c * 256 AS x, r * 256 AS y, least(256, w - c * 256) AS tw, least(256, h - r * 256) AS th
 FROM (SELECT key, w, h, unnest(range(0, CAST(ceil(h / 256.0) AS BIGINT))) AS r FROM s), LATERAL (SELECT unnest(range(0, CAST(ceil(w / 256.0) AS BIGINT))) AS c)"""
 
 
 def _tiles(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey").cast("bigint")
-    s = table(spark, folder, "part").where("p_partkey % 10 = 0").select(k.alias("key"), (600 + (k * 31) % 900).alias("w"), (400 + (k * 17) % 700).alias("h"))
+    s = table(spark, folder, "part").select(k.alias("key"), (600 + (k * 31) % 900).alias("w"), (400 + (k * 17) % 700).alias("h"))
     axis = lambda c: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(c) / 256) - 1).cast("int")))
     t = s.withColumn("r", axis("h")).withColumn("c", axis("w"))
     at = lambda name: (F.col(name) * 256).cast("bigint")

@@ -1,7 +1,7 @@
 """Queries over element lists and checksums, with their SQL.
 
 Nodes are made from parts: role, name and box follow from the key by the same
-whole-number rule on both sides.
+whole-number rule on both sides. A scene is a run of ``PARTS`` keys.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import checksums
 from ..operators import scene
 from ..sources.tables import table
+from .layout import PARTS
 from .registry import Registry
 
 QUERIES = Registry()
@@ -29,7 +30,7 @@ def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     source = F.when(k % 4 == 0, F.array(F.lit("dom"), F.lit("vision"))).when(k % 4 == 3, F.array(F.lit("vision"))).otherwise(F.array(F.lit("dom")))
     box = {"x": (k * 37) % 2400 - 300, "y": (k * 53) % 1600 - 300, "w": 20 + (k * 7) % 180, "h": 10 + (k * 11) % 90}
     return table(spark, folder, "part").select(
-        (k % 5).alias("scene"), k.alias("n_id"), k.alias("ord"), F.get(F.array(*map(F.lit, ROLES)), (k % 10).cast("int")).alias("role"),
+        F.floor(k / PARTS).alias("scene"), k.alias("n_id"), k.alias("ord"), F.get(F.array(*map(F.lit, ROLES)), (k % 10).cast("int")).alias("role"),
         F.when(k % 6 == 0, "").otherwise(F.element_at(F.split("p_name", " "), 1)).alias("name"), F.lit(None).cast("string").alias("value"),
         F.when(k % 13 == 0, "clickable").alias("actionability"), source.alias("source"), *[v.cast("double").alias(c) for c, v in box.items()],
     )
@@ -39,7 +40,7 @@ def _in(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-_BASE = f"""WITH n AS (SELECT k % 5 AS scene, k AS n_id, CASE k % 10 {' '.join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(ROLES))} END AS role,
+_BASE = f"""WITH n AS (SELECT k // {PARTS} AS scene, k AS n_id, CASE k % 10 {' '.join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(ROLES))} END AS role,
   CASE WHEN k % 6 = 0 THEN '' ELSE string_split(p_name, ' ')[1] END AS name, k % 13 = 0 AS state, k % 4 <> 3 AS dom, k % 4 = 0 AS both_,
   (k * 37) % 2400 - 300 AS x, (k * 53) % 1600 - 300 AS y, 20 + (k * 7) % 180 AS w, 10 + (k * 11) % 90 AS h FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_name FROM part)),
 d AS (SELECT *, name <> '' AND row_number() OVER (PARTITION BY scene, role, lower(trim(name)) ORDER BY n_id) > 1 AS dup,

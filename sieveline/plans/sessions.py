@@ -1,7 +1,9 @@
 """Queries over events as sessions, grants and observations, with their SQL.
 
-Events play the roles of attempts, navigations and confirmations; a grant is
-made from every tenth event and lives five minutes.
+Events play the roles of grants, attempts, navigations and confirmations. Every
+event makes a grant that lives five minutes and is bound in eight ways, and
+tries one: that of half its number, with one binding wrong in eight cases of
+eleven, some minutes after the grant was made.
 """
 
 from __future__ import annotations
@@ -9,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import detectors
 from ..sources.tables import table
+from . import twins
 from .registry import Registry
 
 QUERIES = Registry()
-_GRANTS = "g AS (SELECT event_id AS grant_id, user_id AS session, event_type AS operation, ts AS created_at, ts + INTERVAL 5 MINUTE AS expires_at FROM events WHERE event_id % 10 = 0)"
-_ATTEMPTS = "a AS (SELECT event_id AS attempt_id, (event_id // 20) * 10 AS token, user_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS session, event_type AS operation, ts AS happened FROM events)"
+#: Bindings of a grant in the order in which they are compared, and the errors.
+BINDINGS = {"session": "SESSION_MISMATCH", "tab": "TAB_MISMATCH", "frame": "FRAME_MISMATCH", "origin": "ORIGIN_MISMATCH", "generation": "DOCUMENT_GENERATION_MISMATCH", "target": "TARGET_MISMATCH", "operation": "OPERATION_MISMATCH", "nonce": "NONCE_MISMATCH"}
+_GRANTS = "g AS (SELECT event_id AS grant_id, user_id AS session, user_id % 4 AS tab, user_id % 2 AS frame, 'https://' || user_id AS origin, event_id // 64 AS generation, props AS target, event_type AS operation, event_id * 7 AS nonce, ts AS created_at, ts + INTERVAL 5 MINUTE AS expires_at FROM events)"
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,28 +27,38 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _grants(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).where("event_id % 10 = 0").select(F.col("event_id").alias("grant_id"), F.col("user_id").alias("session"), F.col("event_type").alias("operation"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("expires_at"))
-
-
-def _attempts(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).select(F.col("event_id").alias("attempt_id"), (F.floor(F.col("event_id") / 20) * 10).alias("token"), (F.col("user_id") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("a_session"), F.col("event_type").alias("a_operation"), F.col("ts").alias("at"))
+    k, user = F.col("event_id"), F.col("user_id")
+    return events(spark, folder).select(
+        k.alias("grant_id"), user.alias("session"), (user % 4).alias("tab"), (user % 2).alias("frame"), F.concat(F.lit("https://"), user.cast("string")).alias("origin"), F.floor(k / 64).alias("generation"),
+        F.col("props").alias("target"), F.col("event_type").alias("operation"), (k * 7).alias("nonce"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("expires_at"),
+    )
 
 
-_OUTCOME = f"""WITH {_GRANTS}, {_ATTEMPTS},
-e AS (SELECT attempt_id, grant_id, happened, CASE WHEN grant_id IS NULL THEN 'GRANT_NOT_FOUND' WHEN a.session <> g.session THEN 'SESSION_MISMATCH' WHEN a.operation <> g.operation THEN 'OPERATION_MISMATCH' WHEN expires_at < happened THEN 'GRANT_EXPIRED' END AS error
+_CASES = " ".join(f"WHEN wrong = {i} THEN '{error}'" for i, error in enumerate(BINDINGS.values(), 1))
+_OUTCOME = f"""WITH {_GRANTS}, a AS (SELECT event_id AS attempt_id, event_id // 2 AS token, event_id % 11 AS wrong, event_id % 7 AS minutes FROM events),
+e AS (SELECT attempt_id, grant_id, created_at + minutes * INTERVAL 1 MINUTE AS happened, CASE WHEN grant_id IS NULL THEN 'GRANT_NOT_FOUND' {_CASES} WHEN minutes > 5 THEN 'GRANT_EXPIRED' END AS error
   FROM a LEFT JOIN g ON token = grant_id)
 SELECT attempt_id, coalesce(error, CASE WHEN row_number() OVER (PARTITION BY grant_id, error ORDER BY happened, attempt_id) = 1 THEN 'OK' ELSE 'GRANT_ALREADY_CONSUMED' END) AS outcome FROM e"""
 
 
+def _attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts with the bindings that they state: those of the grant, but one."""
+    k = F.col("event_id")
+    tries = events(spark, folder).select(k.alias("attempt_id"), F.floor(k / 2).alias("token"), (k % 11).alias("wrong"), (k % 7).alias("minutes"))
+    stated = _grants(spark, folder).select(F.col("grant_id").alias("token"), *[F.col(c).alias(f"said_{c}") for c in BINDINGS], F.col("created_at").alias("said_at"))
+    joined = tries.join(stated, "token", "left")
+    off = {f"said_{c}": F.when(F.col("wrong") == i, F.concat(F.col(f"said_{c}").cast("string"), F.lit("9")).cast(joined.schema[f"said_{c}"].dataType)).otherwise(F.col(f"said_{c}")) for i, c in enumerate(BINDINGS, 1)}
+    return joined.withColumns(off).withColumn("at", F.col("said_at") + F.make_dt_interval(mins=F.col("minutes").cast("int")))
+
+
 @QUERIES.add(_OUTCOME)
 def grant_redeem_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Of a grant's valid attempts the earliest succeeds; the others are told why."""
     joined = _attempts(spark, folder).join(_grants(spark, folder), F.col("token") == F.col("grant_id"), "left")
-    error = (
-        F.when(F.col("grant_id").isNull(), "GRANT_NOT_FOUND").when(F.col("a_session") != F.col("session"), "SESSION_MISMATCH")
-        .when(F.col("a_operation") != F.col("operation"), "OPERATION_MISMATCH").when(F.col("expires_at") < F.col("at"), "GRANT_EXPIRED")
-    )
-    judged = joined.withColumn("error", error)
+    error = F.when(F.col("grant_id").isNull(), "GRANT_NOT_FOUND")
+    for c, text in BINDINGS.items():
+        error = error.when(~F.col(c).eqNullSafe(F.col(f"said_{c}")), text)
+    judged = joined.withColumn("error", error.when(F.col("expires_at") < F.col("at"), "GRANT_EXPIRED"))
     first = judged.where("error is null").groupBy("grant_id").agg(F.min(F.struct("at", "attempt_id")).alias("first")).withColumnRenamed("grant_id", "g")
     won = F.when(F.col("first.attempt_id") == F.col("attempt_id"), "OK").otherwise("GRANT_ALREADY_CONSUMED")
     return judged.join(first, F.col("grant_id") == F.col("g"), "left").select("attempt_id", F.coalesce("error", won).alias("outcome"))
@@ -120,13 +135,21 @@ def precision_recall_labels(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@QUERIES.add("""WITH a AS (SELECT lang AS category, count(*) AS n_true FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), b AS (SELECT source AS category, count(*) AS n_found FROM documents GROUP BY 1 UNION ALL SELECT lang, count(*) FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
- SELECT coalesce(a.category, b.category) AS category, coalesce(n_true, 0) AS n_true, coalesce(n_found, 0) AS n_found, least(coalesce(n_true, 0), coalesce(n_found, 0)) AS tp FROM a FULL JOIN b ON a.category = b.category""")
+#: What counts as true: plain forms, apart from the detectors' own patterns.
+TRUTH = {"email": "[a-z0-9.]+@[a-z0-9.]+", "phone": "[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "credit-card": "[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{16}"}
+_TRUE = " UNION ALL ".join(f"SELECT '{k}' AS category, CAST(coalesce(sum(len(regexp_extract_all(text, '{v}'))), 0) AS BIGINT) AS n_true FROM documents" for k, v in TRUTH.items())
+
+
+@QUERIES.add(
+    twins.detections_sql(twins.DOCUMENTS)
+    + f""", a AS ({_TRUE}), b AS (SELECT category, count(*) AS n_found FROM det GROUP BY category)
+ SELECT coalesce(a.category, b.category) AS category, coalesce(n_true, 0) AS n_true, coalesce(n_found, 0) AS n_found, least(coalesce(n_true, 0), coalesce(n_found, 0)) AS tp FROM a FULL JOIN b ON a.category = b.category"""
+)
 def gt_vs_detected_full_outer(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    count = lambda df, c, name: df.groupBy(F.col(c).alias("category")).agg(F.count(F.lit(1)).alias(name))
-    a = count(docs.where("doc_id % 3 <> 0"), "lang", "n_true")
-    b = count(docs, "source", "n_found").unionByName(count(docs.where("doc_id % 2 = 0"), "lang", "n_found"))
+    counts = docs.agg(*[F.coalesce(F.sum(F.size(F.regexp_extract_all("text", F.lit(v), F.lit(0)))), F.lit(0)).alias(k) for k, v in TRUTH.items()])
+    a = counts.unpivot([], list(TRUTH), "category", "n_true")
+    b = detectors.detect(docs, "doc_id").groupBy("category").agg(F.count(F.lit(1)).alias("n_found"))
     t, f = F.coalesce("n_true", F.lit(0)), F.coalesce("n_found", F.lit(0))
     return a.join(b, "category", "full").select("category", t.alias("n_true"), f.alias("n_found"), F.least(t, f).alias("tp"))
 

@@ -40,12 +40,12 @@ def role_inference(spark: SparkSession, folder: str) -> DataFrame:
 
 _IS_SEARCH = " OR ".join(rf"regexp_matches(text, '(?i)\b{p}\b')" for p in planning.SEARCH)
 _QUERY = "coalesce(" + ", ".join(rf"CASE WHEN regexp_extract(text, '(?i)\b{p}\s+(.+)', 1) <> '' THEN trim(regexp_extract(text, '(?i)\b{p}\s+(.+)', 1)) END" for p in planning.SEARCH) + ")"
-_TASKS = "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'please Search for ' || substr(text, 1, 12) WHEN turn % 3 = 1 THEN 'look  up ' || substr(text, 1, 8) ELSE text END AS text FROM conversations"
+_TASKS = "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'please Search for ' || text WHEN turn % 3 = 1 THEN 'look  up ' || text ELSE text END AS text FROM conversations"
 
 
 def _tasks(spark: SparkSession, folder: str) -> DataFrame:
     turn, text = F.col("turn") % 3, F.col("text")
-    made = F.when(turn == 0, F.concat(F.lit("please Search for "), F.substring("text", 1, 12))).when(turn == 1, F.concat(F.lit("look  up "), F.substring("text", 1, 8))).otherwise(text)
+    made = F.when(turn == 0, F.concat(F.lit("please Search for "), text)).when(turn == 1, F.concat(F.lit("look  up "), text)).otherwise(text)
     return table(spark, folder, "conversations").select("conv_id", "turn", made.alias("text"))
 
 
