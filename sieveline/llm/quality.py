@@ -4,8 +4,8 @@ Every document's statistics become a short vector. For each language and source
 the centre and spread with the least determinant over the core of the group are
 sought by concentration steps from several starts, and documents far from it by
 Mahalanobis distance go. Several statistics are constant in most texts, so
-covariances are regularised: by floors, and towards those of the language, and
-these towards those of all rows. All of it is aggregates and joins; vectors are
+covariances are regularised: by floors, and those of a source towards those of
+its language. All of it is aggregates and joins; vectors are
 whole numbers on a fixed grid, so sums do not depend on the order of rows.
 """
 
@@ -27,7 +27,7 @@ DIMS = ("x1", "x2", "x3", "x4")
 FLOORS = (0.08, 0.06, 0.10, 0.10)
 TRIANGLE = [(i, j) for i in range(4) for j in range(i + 1)]
 #: From the whole to the part: what a level's groups are made of.
-LEVELS = ((), ("lang",), ("lang", "source"))
+LEVELS = (("lang",), ("lang", "source"))
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Robust:
     core: share of a group that a concentration step keeps; core_factor makes
     the spread of that share consistent for normal data in four dimensions.
     prior: rows for which the language's estimate counts in that of a source,
-    and that of all rows in a language's, whatever the group's size.
+    whatever the source's size.
     weight_cut and reject_cut are squared distances (chi-square with four
     degrees of freedom at 0.975 and 0.999). A start ends when its log
     determinant falls by less than ``gain``; as each step has to gain that much,
@@ -49,7 +49,7 @@ class Robust:
     prior: float = 20.0
     weight_cut: float = 11.143
     reject_cut: float = 18.467
-    gain: float = 1e-6
+    gain: float = 1e-3
 
 
 def statistics(docs: DataFrame, keep: str = "") -> DataFrame:
@@ -99,7 +99,7 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 def _group(level: int) -> Column:
     """The group of a row at a level, as a string in which nulls have a place."""
-    return F.to_json(F.struct(*LEVELS[level])) if LEVELS[level] else F.lit("{}")
+    return F.to_json(F.struct(*LEVELS[level]))
 
 
 def _sums(rows: DataFrame, *by: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _core(far: DataFrame, settings: Robust) -> DataFrame:
     """Sums of the nearest rows of every group and start. Distances are binned
     by their logarithm, so that all rows pass once and a group leaves a few
     hundred sums; the bin in which the core is reached belongs to it."""
-    binned = materialize(_sums(far.withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2")))), "group", "parent", "start", "bin"), "bins")
+    binned = _sums(far.withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2")))), "group", "parent", "start", "bin")
     by = Window.partitionBy("group", "start")
     nearer = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     core = binned.withColumn("nearer", nearer).withColumn("all", F.sum("n").over(by)).where(F.col("nearer") < settings.core * F.col("all"))
@@ -205,12 +205,13 @@ def least_determinants(rows: DataFrame, prior: DataFrame | None, settings: Robus
 
 def outliers(stats: DataFrame, settings: Robust = Robust()) -> DataFrame:
     """``stats`` with d2, the squared robust distance of every row."""
-    rows = materialize(vectors(stats), "vectors")
+    groups = {f"group{level}": _group(level) for level in range(len(LEVELS))}
+    rows = materialize(vectors(stats).withColumns(groups), "vectors")
     prior = None
     for level in range(len(LEVELS)):
-        grouped = rows.select(_group(level).alias("group"), _group(max(level - 1, 0)).alias("parent"), *DIMS)
+        grouped = rows.select(F.col(f"group{level}").alias("group"), F.col(f"group{max(level - 1, 0)}").alias("parent"), *DIMS)
         prior = least_determinants(grouped, prior, settings)
-    return _with_distance(rows.withColumn("group", _group(len(LEVELS) - 1)), prior)
+    return _with_distance(rows.withColumnRenamed(f"group{len(LEVELS) - 1}", "group"), prior)
 
 
 #: SQL text of the base rules.

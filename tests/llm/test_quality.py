@@ -51,17 +51,17 @@ def plain_estimate(y, prior, s):
 
 
 def plain_verdicts(rows, s=quality.Robust()):
-    """All rows, then languages, then their sources."""
+    """Languages, then their sources."""
     stats = [plain_statistics(t) for _, t, *_ in rows]
     half_up = lambda v: math.floor(v * quality.GRID + 0.5)
     x = np.array([[half_up(math.log((c + 250) / (n + 50))), half_up(math.sqrt(y / (k + 50))), half_up(d / (ln + 2)), half_up(r / (n + 20))] for n, c, y, d, r, ln, k in stats], float)
     far, known = np.empty(len(rows)), {}
-    for level in range(3):
+    for level in (1, 2):
         groups = {}
         for i, r in enumerate(rows):
             groups.setdefault(r[2 : 2 + level], []).append(i)
         for name, at in groups.items():
-            m, c, far[at] = plain_estimate(x[at], known.get(name[:-1]) if level else None, s)
+            m, c, far[at] = plain_estimate(x[at], known[name[:-1]] if level == 2 else None, s)
             known[name] = (m, c)
     failed = [n < 20 or 100 * r > 30 * n for n, _, _, _, r, _, _ in stats]
     return stats, failed, [not f and d <= s.reject_cut for f, d in zip(failed, far, strict=True)], far
