@@ -60,3 +60,19 @@ def test_run_is_the_stages(spark):
     found = corpus_pipeline.run(spark, AT)
     assert set(found.columns) >= {"doc_id", "text", "lang", "source", "n_chars", "taken"}
     assert 0 < found.count() < 200
+
+
+def test_stages_on_nulls_long_texts_clashing_names_and_nothing(spark):
+    """No stage fails on such tables, and what it keeps, it keeps as it is."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    schema = "doc_id bigint, text string, lang string, source string, _key string, size string, whole string, key string"
+    rows = [(1, long, "en", "s"), (2, None, None, None), (None, "a few words only", "en", None), (3, "", "de", "s"), (4, long, "en", "s"), (4, long, "en", "s"), (5, " ".join(f"x{i}" for i in range(40)), "en", "s")]
+    docs = spark.createDataFrame([(*r, "own", "own", "own", "own") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, AT)
+        kept = done.collect()
+        want = [f"{c}_before" if c == "size" and name == "mixing" else c for c in docs.columns]
+        assert done.columns[: len(want)] == want, name
+        assert all(r["_key"] == r["whole"] == r["key"] == "own" and r["size_before" if name == "mixing" else "size"] == "own" for r in kept), name
+        assert {r.text for r in kept} >= {long}, name
+        assert stage(spark, docs.limit(0), AT).count() == 0, name
