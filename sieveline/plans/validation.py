@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detectors, semantic, validation
+from ..operators import detectors, fusion, semantic, validation
 from ..sources.tables import table
 from . import subjects, twins
 from .registry import Registry
@@ -109,6 +109,38 @@ def forbidden_fields(spark: SparkSession, folder: str) -> DataFrame:
     return validation.forbidden_fields(table(spark, folder, "events").select("event_id", body.alias("body")), "event_id", "body")
 
 
+_SUBTYPES = "[" + ", ".join(f"'{x.subtype}'" for x in semantic.TAXONOMY) + "]"
+_FUSED = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql("doc_id", "documents").removeprefix("WITH ") + f""",
+ fused AS (
+  SELECT key, 'deterministic' AS source, CASE WHEN category IN ('email', 'phone') THEN 'contact' WHEN category = 'address' THEN 'location' WHEN category IN ('credit-card', 'account-number', 'ifsc', 'iban') THEN 'financial'
+    WHEN category IN ('aadhaar', 'pan', 'ssn') THEN 'identity_document' ELSE 'authentication' END AS category, category AS subtype, confidence, start_off, end_off, 'tokenize' AS policy, 0 AS semantic, ord FROM det
+  UNION ALL SELECT key, 'semantic', category, subtype, confidence, start, last, CASE WHEN confidence >= 0.75 OR risk IN ('high', 'critical') THEN 'tokenize' ELSE 'allow' END, 1, list_position({_SUBTYPES}, subtype)
+  FROM (SELECT sem.*, least(start + 200, length(text)) AS last FROM sem JOIN base USING (key)) s
+  WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.key = s.key AND d.confidence >= 0.85 AND d.start_off <= s.start AND d.end_off >= s.last))"""
+
+
+@QUERIES.add(f"{_FUSED} SELECT key, source, category, subtype, confidence, CAST(start_off AS BIGINT) AS start_off, CAST(end_off AS BIGINT) AS end_off, policy FROM fused")
+def fused_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.decisions(table(spark, folder, "documents"), "doc_id")
+
+
+_WORDS = "CASE subtype " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"email": "[an email address]", "phone": "[a phone number]"}.items()) + " ELSE '[' || subtype || ' value]' END"
+
+
+@QUERIES.add(
+    f"""{_FUSED},
+ w2 AS (SELECT *, CASE WHEN subtype IN ('credit-card', 'iban', 'ifsc', 'account-number') THEN 'OMIT' WHEN subtype IN ('email', 'phone') THEN 'ABSTRACT' WHEN subtype IN ('aadhaar', 'pan', 'ssn') THEN 'TOKENIZE'
+   WHEN subtype IN ('password', 'otp', 'private-key', 'api-key', 'jwt') THEN 'BLOCK' WHEN semantic = 0 AND confidence >= 0.7 THEN 'TOKENIZE' ELSE 'ABSTRACT' END AS what FROM fused WHERE policy <> 'allow'),
+ w3 AS (SELECT *, CASE what WHEN 'OMIT' THEN '[OMITTED:payment]' WHEN 'ABSTRACT' THEN {_WORDS} ELSE '<SENSITIVE_' || upper(substr(sha256('salt|' || key || '|' || start_off || '|' || subtype), 1, 16)) || '>' END AS r FROM w2),
+ w4 AS (SELECT key, count(*) AS n, bool_or(what = 'BLOCK') AS blocked, list({{'s': start_off, 'e': end_off, 'r': r}} ORDER BY start_off DESC, semantic, ord) AS l FROM w3 GROUP BY key)
+ SELECT base.key, coalesce(blocked, false) AS blocked, coalesce(n, 0) AS n_redactions, CASE WHEN blocked THEN '' WHEN n IS NULL THEN text
+   ELSE list_reduce(list_prepend({{'s': 0, 'e': 0, 'r': text}}, l), lambda a, x: {{'s': a.s, 'e': a.e, 'r': substr(a.r, 1, x.s) || x.r || substr(a.r, x.e + 1)}}).r END AS sanitized
+ FROM base LEFT JOIN w4 ON base.key = w4.key"""
+)
+def sanitized_by_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    return fusion.sanitize(table(spark, folder, "documents"), "doc_id")
+
+
 _FLAGS = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql("doc_id", "documents").removeprefix("WITH ") + """,
  f AS (SELECT doc_id, toxic = 1 AS truth, doc_id IN (SELECT key FROM det) AS found, doc_id IN (SELECT key FROM sem WHERE confidence >= 0.75 OR risk IN ('high', 'critical')) AS named FROM documents JOIN labels USING (doc_id)),
  g AS (SELECT 'A' AS config, truth, found AS flag FROM f UNION ALL SELECT 'B', truth, found OR named FROM f)"""
