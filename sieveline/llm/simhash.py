@@ -260,8 +260,8 @@ def shared_sets(sets: DataFrame, least: float) -> DataFrame:
 
 
 def postings(sets: DataFrame, least: float) -> DataFrame:
-    """h, node, size, pos and rest: the hashes of a set's prefix, their places
-    in its shared hashes, and how many of these stand from there on.
+    """h, node, size and rest: the hashes of a set's prefix, and how many of its
+    shared hashes stand from there on.
 
     Two sets with a Jaccard of ``least`` have ``least`` of the larger one in
     common, all of it shared hashes; so in any order that all sets follow each
@@ -282,7 +282,7 @@ def postings(sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), *made], names=["node", "size", "shared", "prefix"])
 
     made = sets.select("node", "size", "s").mapInArrow(run, "node bigint, size int, shared int, prefix array<bigint>")
-    return made.select("node", "size", "shared", F.posexplode("prefix").alias("pos", "h")).select("h", "node", "size", "pos", (F.col("shared") - F.col("pos")).alias("rest"))
+    return made.select("node", "size", "shared", F.posexplode("prefix").alias("pos", "h")).select("h", "node", "size", (F.col("shared") - F.col("pos")).alias("rest"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -327,9 +327,11 @@ def alike_roots(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     heads_a_bucket, rounds = 1, 0
     while True:
         part = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(heads_a_bucket))
-        heads = left.groupBy("h", part.alias("part")).agg(F.max(F.struct("weight", "node", "size", "pos", "rest", "root")).alias("p")).select("h", "p")
+        heads = left.groupBy("h", part.alias("part")).agg(F.max(F.struct("weight", "node", "size", "rest", "root")).alias("p")).select("h", "p")
         heads = materialize(heads, "heads")
-        common = F.least("p.pos", "q.pos") + F.least("p.rest", "q.rest")
+        # At the first hash that two sets share none before it is common, and an
+        # alike pair is met there at the latest.
+        common = F.least("p.rest", "q.rest")
         needed = least / (1 + least) * (F.col("p.size") + F.col("q.size")) - SLACK
         pairs = left.alias("q").join(heads, "h").where((F.col("p.root") != F.col("q.root")) & (common >= needed))
         pairs = pairs.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b"))
