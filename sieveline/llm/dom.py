@@ -14,6 +14,8 @@ WIDTH = 2**14
 UNSEEN = frozenset("script style noscript template iframe svg canvas object math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that do not say what a part of a page is.
+GENERIC = INLINE | frozenset("html body div p li ul ol dl dt dd table tbody thead tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption center label".split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Elements that end an open one of their own kind, and what hides it from them.
@@ -28,12 +30,14 @@ UNSEEN_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) fo
 
 @dataclass
 class Block:
-    """Text with one white space between words, the hashed features of the
-    elements around it, its nearest block element's tag, a number that names this
-    element within the page, and how much of the text is linked."""
+    """Text with one white space between words, the hashed features of all
+    elements around it and (once more) of the nearest that says what it is, its
+    nearest block element's tag, a number that names this element within the page,
+    and how much of the text is linked."""
 
     text: str
     around: frozenset[int]
+    near: frozenset[int]
     tag: str
     parent: int
     linked: float
@@ -48,7 +52,7 @@ class Reader:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self._open: list[tuple[str, frozenset[int], int]] = [("", frozenset(), 0)]
+        self._open: list[tuple[str, frozenset[int], frozenset[int], int]] = [("", frozenset(), frozenset(), 0)]
         self._counts: Counter[str] = Counter()
         self._elements = 0
         self._pieces: list[str] = []
@@ -103,8 +107,8 @@ class Reader:
     def _flush(self) -> None:
         text = " ".join("".join(self._pieces).split())
         if text:
-            tag, around, element = next(x for x in reversed(self._open) if x[0] not in INLINE)
-            self.blocks.append(Block(text, around, tag, element, min(1.0, self._linked / len(text))))
+            tag, around, near, element = next(x for x in reversed(self._open) if x[0] not in INLINE)
+            self.blocks.append(Block(text, around, near, tag, element, min(1.0, self._linked / len(text))))
         self._pieces, self._linked = [], 0
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -119,17 +123,20 @@ class Reader:
         names = {f"t:{tag}"}
         if "=" in attributes and tag not in INLINE:
             for kind, *values in ATTRIBUTE.findall(attributes):
-                names |= {f"{'r' if kind.lower() == 'role' else 'c'}:{word.lower()}" for word in NAME.findall("".join(values))}
-        around = self._open[-1][1]
+                for word in NAME.findall("".join(values)):
+                    names |= {f"{'r' if kind.lower() == 'role' else 'c'}:{word.lower()}", f"s:{word[:5].lower()}"}
+        _, around, near, _ = self._open[-1]
         own = frozenset(map(slot, names)) if tag not in INLINE else frozenset()
         self._elements += 1
-        self._open.append((tag, around if own <= around else around | own, self._elements))
+        if tag not in INLINE and (tag not in GENERIC or len(names) > 1):
+            near = frozenset(slot(f"n{name}") for name in names)
+        self._open.append((tag, around if own <= around else around | own, near, self._elements))
         self._counts[tag] += 1
 
     def _close_own(self, tag: str) -> None:
         """Ends an open element of this kind in the same list or table."""
         if self._counts[tag]:
-            for name, _, _ in reversed(self._open):
+            for name, *_ in reversed(self._open):
                 if name == tag:
                     self._close(tag)
                     return
@@ -143,10 +150,10 @@ class Reader:
             return
         if tag not in INLINE:
             self._flush()
-        elif any(name not in INLINE for name, _, _ in self._inner(tag)):
+        elif any(name not in INLINE for name, *_ in self._inner(tag)):
             return
         while True:
-            name, _, _ = self._open.pop()
+            name, *_ = self._open.pop()
             self._counts[name] -= 1
             if name == tag:
                 return

@@ -23,28 +23,53 @@ from .dom import WIDTH, Block, leaf_blocks, slot
 
 #: Pages of the labelled sample, the longest of them, how often each is laid out
 #: anew, and the steps of training.
-SAMPLE, LONGEST, LAYOUTS, STEPS = 200, 100_000, 3, 120
+SAMPLE, LONGEST, LAYOUTS, STEPS = 200, 100_000, 5, 150
+#: Pages are trained on in pieces of so many blocks.
+PIECE = 64
 #: Set before main text of labelled pages while they are laid out; private use.
 MARK = ""
 
-#: Ways to lay out pages for training: elements around main text, as openings.
-PLAIN = ["<div>", '<div class="wrapper">', '<div id="page">', '<div class="container">', '<div class="site">', '<div class="layout"><div class="row">', '<div class="x1">', "<section>", '<div class="col left">', '<table><tr><td>', "<main>", '<div id="root">']
-MAIN = ["<article>", "<main>", '<div class="content">', '<div id="main-content">', '<div class="post-body">', '<section class="entry">', '<div class="story-text">', '<div class="article__body">', '<div role="main">', '<article class="post">', '<div class="page-content">', '<div class="entry-content">', '<div id="article">', '<main><article>', '<div class="x2">', "<div>", "", '<section class="text">', '<div id="bodyText">', '<article class="story"><div class="body">']
+#: Ways to lay out pages for training, by what stands in a part: its elements, the
+#: words that its classes and ids are made of, and the words that go with these
+#: anywhere. A part has an element, or a word in a class, or both.
+PARTS = {
+    "main": ("article main section div", "article post entry story content main text body news blog"),
+    "links": ("nav div ul aside", "nav menu navbar navigation breadcrumb breadcrumbs pagination pager tags related share social popular trending recommended topics toc links"),
+    "head": ("header div", "header head masthead logo topbar banner brand"),
+    "notice": ("div section aside dialog", "cookie cookies notice consent gdpr modal popup overlay alert warning paywall disclaimer banner privacy message"),
+    "ad": ("div aside ins section", "ad ads advert advertisement adsbygoogle promo promotion sponsor sponsored banner adslot"),
+    "side": ("aside div section", "sidebar side widget bio author rail secondary complementary"),
+    "form": ("form fieldset div", "newsletter subscribe signup login search contact register form"),
+    "comments": ("section div ol ul", "comment comments commentlist reply replies respond disqus discussion responses reviews"),
+    "foot": ("footer div section", "footer foot copyright legal imprint bottom colophon"),
+}
+ROLES = {"main": "main", "links": "navigation", "head": "banner", "notice": "alert", "side": "complementary", "form": "search", "foot": "contentinfo"}
+AROUND = "wrapper container page site layout row col inner outer box area list section wrap block group item body content left right x1 x2"
+PLAIN = ["<div>", "<section>", "<main>", "<table><tr><td>"]
 HEADLINES = ["<h1>{}</h1>", "<header><h1>{}</h1></header>", '<h2 class="title">{}</h2>', '<div class="headline">{}</div>', '<h1 class="entry-title">{}</h1>', '<header class="article-header"><h1>{}</h1></header>']
-PARAGRAPHS = ["<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}<br>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", '<p class="x3">{}</p>', "<h2>{}</h2>", "<pre>{}</pre>", "<section><p>{}</p></section>", '<p>{}</p><figure><img src="i.png"></figure>']
-#: Other parts of pages, as openings, by what stands in them.
-LINKS = ["<nav>", '<div class="menu">', '<div class="navbar">', '<div id="topnav">', '<div class="nav">', '<div class="breadcrumb">', '<div role="navigation">', '<div class="pagination">', '<div class="tags">', '<div class="related">', '<aside class="related-posts">', '<div class="share social">', '<div class="popular trending">', '<div class="recommended">', '<aside>', '<div class="sidebar">', '<footer>', '<div class="toc links">']
-HEADS = ["<header>", '<div id="header">', '<div class="masthead">', '<div class="logo">', '<header class="site-header">', '<div class="site-header">', '<div class="topbar">', '<div role="banner">', "<header><div>"]
-NOTICES = ['<div class="cookie-notice">', '<div class="consent">', '<div role="alert">', '<div class="notice banner">', '<div id="gdpr">', '<div class="modal popup overlay">', '<div class="cookies">', '<div role="dialog">', '<div class="paywall">', '<div id="cookie-banner">', '<div class="alert warning">', '<section class="notice">', '<div class="disclaimer">']
-ADS = ['<div class="ad">', '<div class="ads">', '<ins class="adsbygoogle">', '<aside class="sponsor">', '<div class="promo">', '<div id="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="banner-ad">', '<div class="ad-slot">', '<section class="advert">', '<aside class="ad">', '<div class="promotion">', '<div class="adBox">']
-ASIDES = ["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="widget">', '<aside class="sidebar">', '<div class="side">', '<div role="complementary">', '<section class="widget">', '<div class="author-box bio">', '<td class="sidebar">']
-FORMS = ["<form>", '<form class="newsletter">', '<div class="subscribe">', '<div class="search-box">', '<form class="login">', '<div class="signup">', '<form id="search">', '<fieldset>', '<form class="contact">']
-COMMENTS = ['<section class="comments">', '<div id="comments"><div class="comment">', '<ol class="comment-list"><li>', '<div class="replies">', '<div id="disqus">', '<div class="discussion">', '<div id="respond">', '<section id="comments"><article class="comment">', '<div class="comment-body">', '<div class="user-comments">', '<div class="reader-comments">', '<section class="responses">', '<ul class="comments"><li class="comment">']
-FOOTS = ["<footer>", '<div class="footer">', '<div id="footer">', '<footer class="site-footer">', '<div class="copyright">', '<div class="legal">', '<div role="contentinfo">', '<div class="bottom">', '<div class="colophon">']
+PARAGRAPHS = ["<p>{}</p>", "<p>{}", "<div>{}</div>", "<p><b>{}<br>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", '<p class="x3">{}</p>', "<h2>{}</h2>", "<pre>{}</pre>", "<section><p>{}</p></section>", '<p>{}</p><figure><img src="i.png"></figure>', "{}<br>", "{}<br><br>"]
 
 
-def closing(opening: str) -> str:
-    return "".join(f"</{part.split()[0].rstrip('>')}>" for part in reversed(opening.split("<")[1:]))
+def opening(part: str, r: random.Random) -> str:
+    """Elements that open a part of a page: one that says what it is, maybe in
+    another or around another that does not."""
+    elements, words = (x.split() for x in PARTS[part])
+    around = AROUND.split()
+    bare = elements[0] not in ("div", "ins")
+    if part in ROLES and r.random() < 0.1:
+        told = f'<div role="{ROLES[part]}">'
+    elif bare and r.random() < 0.35:
+        told = f"<{elements[0]}>"
+    else:
+        names = [r.choice(words)] + [r.choice(words if r.random() < 0.4 else around) for _ in range(r.choice([0, 0, 1, 1, 2]))]
+        r.shuffle(names)
+        told = f'<{r.choice(elements)} {r.choice(["class", "class", "id"])}="{r.choice(["-", " ", "_", "__"]).join(names)}">'
+    more = lambda: f'<div class="{r.choice(around)}">' if r.random() < 0.15 else ""
+    return more() + told + more()
+
+
+def closing(around: str) -> str:
+    return "".join(f"</{part.split()[0].rstrip('>')}>" for part in reversed(around.split("<")[1:]))
 
 
 def layout(main: list[str], other: list[str], r: random.Random) -> str:
@@ -52,41 +77,42 @@ def layout(main: list[str], other: list[str], r: random.Random) -> str:
     e = lambda text: text.replace("&", "&amp;").replace("<", "&lt;")
     some = lambda most: [e(r.choice(other)) for _ in range(r.randint(1, most))]
     short = lambda text: " ".join(text.split()[: r.randint(1, 4)])
-    put = lambda opening, body: opening + body + closing(opening)
+    put = lambda around, body: around + body + closing(around)
 
     def links() -> str:
         each = r.choice(["<li>{}</li>", "{} ", "<p>{}</p>", "{} | ", "<div>{}</div>"])
         body = "".join(each.format(f'<a href="/x">{short(t)}</a>') for t in some(8))
-        return put(r.choice(LINKS), f"<ul>{body}</ul>" if each[1:3] == "li" else body)
+        return put(opening("links", r), f"<ul>{body}</ul>" if each[1:3] == "li" else body)
 
-    def text(openings: list[str], most: int = 2) -> str:
-        each = r.choice(["<p>{}</p>", "{}", "<div>{}</div>", "<span>{}</span><br>", "<h3>{}</h3>"])
-        return put(r.choice(openings), "".join(each.format(t) for t in some(most)))
+    def text(part: str, most: int = 2) -> str:
+        each = r.choice(["<p>{}</p>", "{}", "<div>{}</div>", "<span>{}</span><br>", "<h3>{}</h3>", '<p><a href="/x">{}</a></p>'])
+        return put(opening(part, r), "".join(each.format(t) for t in some(most)))
 
     def form() -> str:
         fields = "".join(f"<label>{short(t)}</label><input type=text>" for t in some(2))
-        return put(r.choice(FORMS), f"{r.choice(['', '<p>'])}{some(1)[0]}{fields}<button>{short(r.choice(other))}</button>")
+        return put(opening("form", r), f"{r.choice(['', '<p>'])}{some(1)[0]}{fields}<button>{short(r.choice(other))}</button>")
 
     def comments() -> str:
-        body = "".join(r.choice(["<p>{}</p>", '<div class="comment"><b>{}</b><p>{}</p></div>', "<div>{}</div>"]).format(e(t), e(t)) for t in (r.choice(main + other) for _ in range(r.randint(1, 4))))
-        return put(r.choice(COMMENTS), f"<h3>{short(r.choice(other))}</h3>{body}")
+        each = r.choice(["<p>{}</p>", '<div class="comment"><b>{}</b><p>{}</p></div>', "<div>{}</div>", '<article class="comment"><p>{}</p></article>', "<li>{}</li>", "<article><header>{}</header><p>{}</p></article>"])
+        body = "".join(each.format(e(t), e(t)) for t in (r.choice(main + other) for _ in range(r.randint(1, 4))))
+        return put(opening("comments", r), f"<h3>{short(r.choice(other))}</h3>{body}")
 
-    foot = lambda: put(r.choice(FOOTS), r.choice(["&copy; {}", "<p>{}</p>", "{} &middot; {}", "<a href='/'>{}</a> {}"]).format(some(1)[0], some(1)[0]))
-    parts = [links, lambda: text(HEADS), lambda: text(NOTICES), lambda: text(ADS), lambda: text(ASIDES, 4), form]
-    maybe = lambda makers, most: "".join(r.choice(makers)() for _ in range(r.randint(0, most)))
+    foot = lambda: put(opening("foot", r), r.choice(["&copy; {}", "<p>{}</p>", "{} &middot; {}", "<a href='/'>{}</a> {}"]).format(some(1)[0], some(1)[0]))
+    parts = [links, *((lambda part=part: text(part, 3)) for part in ("head", "notice", "ad", "side")), form]
+    maybe = lambda most: "".join(r.choice(parts)() for _ in range(r.randint(0, most)))
     body = [r.choice(HEADLINES).format(MARK + e(main[0]))] if r.random() < 0.8 else []
+    usual = r.choice(PARAGRAPHS)
     for t in main[len(body) :]:
-        body.append(r.choice(PARAGRAPHS if r.random() < 0.4 else PARAGRAPHS[:1]).format(MARK + e(t)))
-        if r.random() < 0.08:
-            body.append(r.choice([links, lambda: text(NOTICES), lambda: text(ADS), form, lambda: text(ASIDES)])())
+        body.append((r.choice(PARAGRAPHS) if r.random() < 0.3 else usual).format(MARK + e(t)))
+        if r.random() < 0.15:
+            body.append(r.choice(parts)())
     inside = "".join(body)
-    at_end = comments() + maybe(parts, 1) if r.random() < 0.4 else maybe(parts, 1)
-    opening = r.choice(MAIN)
-    within = r.random() < 0.4
-    whole = put(opening, inside + at_end) if within else put(opening, inside) + at_end
+    at_end = (comments() if r.random() < 0.5 else "") + maybe(1)
+    around = "" if r.random() < 0.1 else r.choice(PLAIN) if r.random() < 0.1 else opening("main", r)
+    whole = put(around, inside + at_end) if r.random() < 0.4 else put(around, inside) + at_end
     head = f"<html><head><title>{short(e(main[0]))}</title></head><body>" if r.random() < 0.8 else ""
-    around = r.choice(PLAIN) if r.random() < 0.6 else ""
-    return head + put(around, maybe(parts, 4) + whole + maybe(parts, 3)) + (foot() if r.random() < 0.8 else "")
+    outer = f'<div class="{r.choice(AROUND.split())}">' if r.random() < 0.5 else ""
+    return head + put(outer, maybe(4) + whole + maybe(3)) + (foot() if r.random() < 0.8 else "")
 
 
 def features(block: Block) -> list[int]:
@@ -99,7 +125,7 @@ def features(block: Block) -> list[int]:
     names = [f"p:{block.tag}", f"w:{long}", f"l:{linked}", f"e:{ends}", f"w:{long} l:{linked} e:{ends}", f"p:{block.tag} w:{long}", f"p:{block.tag} l:{linked}", "bias"]
     if "©" in block.text:
         names.append("copyright")
-    return [*block.around, *map(slot, names)]
+    return [*block.around, *block.near, *map(slot, names)]
 
 
 @dataclass
@@ -132,10 +158,10 @@ class Field:
         return labels[::-1]
 
 
-def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, prior: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, prior: float = 1e-5) -> Field:
     """The weights that make the labels most likely, by gradient steps over
     forward and backward sums; large weights are held back by ``prior``."""
-    pages = [p for p in pages if p[0]]
+    pages = [(b[k : k + PIECE], y[k : k + PIECE]) for b, y in pages for k in range(0, len(b), PIECE)]
     field = Field(np.zeros(WIDTH), 0.0, np.zeros((2, 2, 2)))
     if not pages:
         return field
@@ -151,13 +177,12 @@ def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, prior:
             same[i, k] = k > 0 and blocks[k - 1].parent == block.parent
     rows, slots = np.array(rows), np.array(slots)
     total = there.sum()
-    size = np.zeros(WIDTH + 9)
-    flat = np.zeros(WIDTH + 9)
+    mean, size, flat = (np.zeros(WIDTH + 9) for _ in range(3))
     row = np.arange(n)
     pairs = there[:, 1:]
     seen = np.zeros((2, 2, 2))
     np.add.at(seen, (same[:, 1:][pairs], given[:, :-1][pairs], given[:, 1:][pairs]), 1)
-    for _ in range(steps):
+    for at in range(1, steps + 1):
         weights, first, step = flat[:WIDTH], flat[WIDTH], flat[WIDTH + 1 :].reshape(2, 2, 2)
         score = np.zeros((n, most, 2))
         score[:, :, 1] = np.bincount(rows, weights[slots], n * most).reshape(n, most)
@@ -180,8 +205,8 @@ def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, prior:
         np.add.at(expected, same[:, 1:][pairs], np.exp(np.minimum(0, joint[pairs])))
         slope[WIDTH + 1 :] = (seen - expected).ravel()
         slope = slope / total - prior * flat
-        size += slope**2
-        flat = flat + 0.5 * slope / np.sqrt(size + 1e-12)
+        mean, size = 0.9 * mean + 0.1 * slope, 0.99 * size + 0.01 * slope**2
+        flat = flat + 0.1 * (mean / (1 - 0.9**at)) / (np.sqrt(size / (1 - 0.99**at)) + 1e-6)
     return Field(flat[:WIDTH], float(flat[WIDTH]), flat[WIDTH + 1 :].reshape(2, 2, 2))
 
 

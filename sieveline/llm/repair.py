@@ -4,11 +4,11 @@ A conversation is in one of four states: empty, after the system's turn, after a
 user's, after an assistant's. Each row is a layer of edits (keep, rerole, delete)
 that lead from state to state, closed by inserted turns, of which two at most are
 ever worth their cost. Every state carries the least (cost, audit): the cost of
-the cheapest edits so far and the least string of their initials.
+the cheapest edits so far and the least string of their initials, with the hash
+of the turns that these leave.
 
 Rows are dealt by conversation and sorted on disk, and one pass reads them as a
-stream. Edits that all states agree on are settled and hashed at once, so that
-only rows still in doubt are kept, not the conversation.
+stream. No row is kept; initials that all states agree on are put aside.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,20 +28,45 @@ EMPTY, SYSTEM, USER, ASSISTANT = range(4)
 #: The state after a row that is kept, by the states that it may follow.
 NEXT = {("s", EMPTY): SYSTEM, ("u", EMPTY): USER, ("u", SYSTEM): USER, ("u", ASSISTANT): USER, ("a", USER): ASSISTANT}
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
-NO_WAY = (float("inf"), "")
 FAULTS = ("blank", "duplicate", "truncated")
 
 
+class Way(NamedTuple):
+    """The cheapest edits that lead to a state: cost, initials, and the hash of
+    the turns that they leave, as far as the rows have been read."""
+
+    cost: int
+    audit: str
+    hash: Any
+
+    def then(self, cost: int, edit: str) -> Way:
+        return Way(self.cost + cost, self.audit + edit, self.hash)
+
+    def hashed(self, came_from: int, role: str, text: str) -> Way:
+        """With a turn more, behind a line feed if it is not the first."""
+        hash_ = self.hash.copy()
+        hash_.update(f"{'' if came_from == EMPTY else chr(10)}{role}:{text}".encode("utf-8", "surrogatepass"))
+        return self._replace(hash=hash_)
+
+
 def _turned(state: int) -> int:
     """Where a user's or assistant's turn leads: there is one choice of the two."""
     return ASSISTANT if state == USER else USER
 
 
-def _closed(layer: list[tuple]) -> list[tuple]:
+def _least(ways: dict[int, tuple[Way, int]], to: int, way: Way, came_from: int) -> None:
+    if to not in ways or way[:2] < ways[to][0][:2]:
+        ways[to] = way, came_from
+
+
+def _closed(layer: dict[int, Way]) -> dict[int, Way]:
     """The layer after inserted turns: a user's first, then an assistant's."""
-    add = lambda way: (way[0] + INSERT, way[1] + "I")
-    user = min(layer[USER], *(add(layer[s]) for s in (EMPTY, SYSTEM, ASSISTANT)))
-    return [layer[EMPTY], layer[SYSTEM], user, min(layer[ASSISTANT], add(user))]
+    for state, to, role in ((EMPTY, USER, "user"), (SYSTEM, USER, "user"), (ASSISTANT, USER, "user"), (USER, ASSISTANT, "assistant")):
+        if state in layer:
+            way = layer[state].then(INSERT, "I")
+            if to not in layer or way[:2] < layer[to][:2]:
+                layer[to] = way.hashed(state, role, "")
+    return layer
 
 
 class Repair:
@@ -50,12 +76,9 @@ class Repair:
         self.counts = dict.fromkeys(FAULTS, 0)
         self.illegal = self.turns = 0
         self.least = self.last = self.initial = None
-        self.layer = _closed([(0, ""), NO_WAY, NO_WAY, NO_WAY])
-        self.open: list[tuple[str, str]] = []
-        self.most = 64
+        self.layer = _closed({EMPTY: Way(0, "", hashlib.sha256())})
         self.settled: list[str] = []
-        self.state = EMPTY
-        self.hash, self.any = hashlib.sha256(), False
+        self.most = 256
 
     def add(self, turn: int | None, role: str, text: str, seen: bool) -> None:
         if turn is not None and turn != self.last:
@@ -70,61 +93,39 @@ class Repair:
         fault = "blank" if not said else "duplicate" if seen else "truncated" if said[-1] not in ".!?" else None
         if fault:
             self.counts[fault] += 1
-        self._step(initial, fault)
-        self.open.append((role, text) if fault not in FAULTS[:2] else ("", ""))
-        if len(self.open) >= self.most:
-            self._settle()
+        self._step(role, text, fault)
 
-    def _step(self, initial: str, fault: str | None) -> None:
-        layer = [NO_WAY] * 4
+    def _step(self, role: str, text: str, fault: str | None) -> None:
+        found: dict[int, tuple[Way, int]] = {}
         extra = TRUNCATED if fault == "truncated" else 0
-        for state, (cost, audit) in enumerate(self.layer):
-            if cost == NO_WAY[0]:
-                continue
-            ways = [(state, cost + DELETE, "D")]
+        for state, way in self.layer.items():
+            _least(found, state, way.then(DELETE, "D"), state)
             if fault not in FAULTS[:2]:
-                ways.append((_turned(state), cost + REROLE + extra, "R"))
-                if (initial, state) in NEXT:
-                    ways.append((NEXT[initial, state], cost + KEEP + extra, "K"))
-            for to, total, edit in ways:
-                if total <= layer[to][0]:
-                    layer[to] = min(layer[to], (total, audit + edit))
-        layer = _closed(layer)
+                _least(found, _turned(state), way.then(REROLE + extra, "R"), state)
+                if (role[:1], state) in NEXT:
+                    _least(found, NEXT[role[:1], state], way.then(KEEP + extra, "K"), state)
+        layer = {}
+        for state, (way, came_from) in found.items():
+            edit = way.audit[-1]
+            name = role if edit == "K" else "user" if state == USER else "assistant"
+            layer[state] = way if edit == "D" else way.hashed(came_from, name, text)
+        self.layer = _closed(layer)
         # Whatever goes on from these states goes on from ASSISTANT too, at most
         # one deleted row (a system turn that cannot be kept) dearer.
         for state, more in ((EMPTY, DELETE), (SYSTEM, 0)):
-            if layer[state][0] > layer[ASSISTANT][0] + more:
-                layer[state] = NO_WAY
-        self.layer = layer
-
-    def _settle(self) -> None:
-        """Hash the edits that all ways share, and forget their rows."""
-        live = [audit for cost, audit in self.layer if cost != NO_WAY[0]]
-        shared = os.path.commonprefix(live)
-        self._replay(shared)
-        self.layer = [(cost, audit[len(shared) :]) for cost, audit in self.layer]
-        self.most = max(64, 2 * len(self.open))
-
-    def _replay(self, audit: str) -> None:
-        used = 0
-        for edit in audit:
-            role, text = ("", "") if edit == "I" else self.open[used]
-            used += edit != "I"
-            if edit == "D":
-                continue
-            self.state = NEXT[role[:1], self.state] if edit == "K" else _turned(self.state)
-            role = role if edit == "K" else "user" if self.state == USER else "assistant"
-            self.hash.update(f"{chr(10) if self.any else ''}{role}:{text}".encode("utf-8", "surrogatepass"))
-            self.any = True
-        self.settled.append(audit)
-        del self.open[:used]
+            if state in layer and layer[state].cost > layer[ASSISTANT].cost + more:
+                del layer[state]
+        if len(layer[ASSISTANT].audit) >= self.most:
+            shared = os.path.commonprefix([way.audit for way in layer.values()])
+            self.settled.append(shared)
+            self.layer = {state: way._replace(audit=way.audit[len(shared) :]) for state, way in layer.items()}
+            self.most = max(256, 2 * len(self.layer[ASSISTANT].audit))
 
     def result(self) -> tuple:
         """gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
-        cost, audit = min(self.layer[EMPTY], self.layer[ASSISTANT])
-        self._replay(audit)
+        way = min((self.layer[s] for s in (EMPTY, ASSISTANT) if s in self.layer), key=lambda w: w[:2])
         gaps = self.last - self.least + 1 - self.turns if self.turns else 0
-        return (gaps, *self.counts.values(), self.illegal, cost, "".join(self.settled), self.hash.hexdigest())
+        return (gaps, *self.counts.values(), self.illegal, way.cost, "".join(self.settled) + way.audit, way.hash.hexdigest())
 
 
 def damage(rows: DataFrame) -> DataFrame:
