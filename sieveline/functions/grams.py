@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots of a filter; as many bytes go with the plan, whatever the data.
-SLOTS = 1 << 20
+#: Least and most slots of a filter.
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 
 
 def with_run_hashes(df: DataFrame, name: str, text: str, size: int) -> DataFrame:
@@ -24,15 +24,27 @@ def with_run_hashes(df: DataFrame, name: str, text: str, size: int) -> DataFrame
     return df
 
 
-def slot_filter(hashes: DataFrame, column: str) -> bytes:
-    """A byte per slot, 1 where a hash falls. At most ``SLOTS`` numbers come to
-    the driver."""
-    slots = bytearray(SLOTS)
-    for (slot,) in hashes.select(F.pmod(column, F.lit(SLOTS)).cast("int")).where(F.col(column).isNotNull()).distinct().collect():
-        slots[slot] = 1
-    return bytes(slots)
+class SlotFilter:
+    """A byte per slot, 1 where one of some hashes falls.
 
+    There are eight times as many slots as hashes, from ``LEAST_SLOTS`` to
+    ``MOST_SLOTS``: with very many hashes more gets through, and nothing is lost. At
+    most one number a slot comes to the driver. The bytes go to the tasks as the
+    value of a subquery, so that no plan spells them out; they can be asked in any
+    filter or projection, but not within a lambda.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str) -> None:
+        known = hashes.select(F.col(column).alias("h")).where("h is not null")
+        self.size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * known.count()).bit_length()))
+        slots = bytearray(self.size)
+        for (slot,) in known.select(self._slot(F.col("h"))).distinct().collect():
+            slots[slot] = 1
+        self._table = hashes.sparkSession.createDataFrame([(bytes(slots),)], "slots binary")
+
+    def _slot(self, value: Column) -> Column:
+        return F.pmod(value, F.lit(self.size)).cast("int")
 
-def may_contain(slots: bytes, value: Column) -> Column:
-    """Whether a hash may be one of those that made the filter."""
-    return F.substring(F.lit(slots), F.pmod(value, F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    def may_contain(self, value: Column) -> Column:
+        """Whether a hash may be one of those that made the filter."""
+        return F.substring(self._table.scalar(), self._slot(value) + 1, F.lit(1)) == F.lit(b"\x01")
