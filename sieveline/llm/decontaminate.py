@@ -13,12 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grams import SlotFilter
 from .common import ROW_KEY, alnum_words, ascii_lower, materialize, row_key, with_row_key, with_run_hashes
 
 #: Words of a benchmark window (fixed by the contract) and of a shingle.
 WINDOW, SHINGLE = 10, 4
-#: Slots of the filter that a shingle of the corpus passes before it is listed.
-SLOTS = 1 << 20
 
 
 def _word_hashes(words: Column) -> Column:
@@ -56,15 +55,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return hashed.select("item", "size", "win", "len", by_len.alias("shingles"))
 
 
-def _filter(tokens: DataFrame) -> bytes:
-    """A byte per slot, 1 where a hash of ``tokens`` falls; at most ``SLOTS``
-    numbers come to the driver."""
-    slots = bytearray(SLOTS)
-    for (slot,) in tokens.select(F.pmod("h", F.lit(SLOTS)).cast("int")).distinct().collect():
-        slots[slot] = 1
-    return bytes(slots)
-
-
 def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, the row key, n_words) and, for those with any,
     their hits (the row key, n_hit, n_items, sha)."""
@@ -78,10 +68,8 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     marker = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("h")))
     for n in lengths:
         hashed = _with_shingles(hashed, n)
-    slots = F.lit(_filter(tokens))
-    lists = [F.filter(_places(n), lambda s: F.substring(slots, F.pmod(s["h"], F.lit(SLOTS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")) for n in lengths]
-    postings = hashed.select("doc_id", *ROW_KEY, "n_words", F.explode(F.concat(marker, *lists)).alias("s")).select("doc_id", *ROW_KEY, "n_words", "s.*")
-    seen = materialize(postings, "postings")
+    postings = hashed.select("doc_id", *ROW_KEY, "n_words", F.explode_outer(F.concat(marker, *map(_places, lengths))).alias("s")).select("doc_id", *ROW_KEY, "n_words", "s.*")
+    seen = materialize(postings.where((F.col("pos") < 0) | SlotFilter(tokens, "h").may_contain(F.col("h"))), "postings")
     all_docs = seen.where("pos < 0").select("doc_id", *ROW_KEY, "n_words")
     found = materialize(seen.where("pos >= 0").join(tokens, "h", "left_semi").select(*ROW_KEY, "n_words", "len", "pos", "h").distinct(), "found")
 
