@@ -15,9 +15,10 @@ from ..functions.spans import java, resolve_overlaps, with_matches
 class Detector:
     """A pattern with its category, tier, confidence and rule.
 
-    gate: text that is somewhere in every match (a pattern itself). group: the
-    match's part that is reported, sought in it from the front or the back.
-    check: a checksum or test, and what it changes or drops.
+    gate: text that is somewhere in every match (a pattern itself). also: plain
+    text that every match has too. group: the match's part that is reported,
+    sought in it from the front or the back. check: a checksum or test, and what
+    it changes or drops.
     """
 
     category: str
@@ -28,6 +29,7 @@ class Detector:
     gate: str = "[0-9]"
     group: str = ""
     check: str = ""
+    also: str = ""
 
 
 #: Categories, patterns, confidences and rules, in their order.
@@ -44,8 +46,8 @@ DETECTORS = (
     Detector("otp", "context-inferred", 0.82, "otp-context", r"(?i)\b(?:verification|verify|auth(?:entication)?)\s+(?:code|pin|otp)\s+(?:is\s*[:\-]?\s*)?(\d{4,8})\b", group="back"),
     Detector("otp", "context-inferred", 0.82, "otp-context", r"(?i)\bcode\s+is\s*[:\-]?\s*(\d{4,8})\b", group="back"),
     Detector("password", "context-inferred", 0.75, "password-context-complexity", r"(?i)\b(?:password|passwd|pwd|pass)\b[^\S\r\n]*(?:[=:\-]\s*|\s+)([^\s]{8,64})", "(?i)pass|pwd", group="front", check="complex"),
-    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b\d{1,4}\s+[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25},\s*[A-Za-z][A-Za-z\s]{2,25}\s+\d{6}\b", r"(?s),.*[0-9]{6}"),
-    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25}\s*[-–]\s*\d{6}\b", r"(?s),.*[-–]\s*[0-9]{6}"),
+    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b\d{1,4}\s+[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25},\s*[A-Za-z][A-Za-z\s]{2,25}\s+\d{6}\b", r"[0-9]{6}", also=","),
+    Detector("address", "context-inferred", 0.72, "indian-address-pattern", r"\b[A-Za-z][A-Za-z\s.-]{3,40},\s*[A-Za-z][A-Za-z\s]{2,25}\s*[-–]\s*\d{6}\b", r"[-–]\s*[0-9]{6}", also=","),
     Detector("jwt", "pattern-matched", 0.95, "jwt-pattern", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "eyJ"),
     Detector("private-key", "pattern-matched", 0.99, "private-key-header", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", "PRIVATE KEY"),
     Detector("api-key", "pattern-matched", 0.9, "api-key-pattern", r"""(?i)\b(?:api[_-]?key|apikey|secret[_-]?key|access[_-]?token)\s*[=:]\s*['"]?([a-zA-Z0-9_\-]{20,})['"]?""", "(?i)key|token"),
@@ -110,8 +112,8 @@ def with_detections(df: DataFrame, text: str = "text") -> DataFrame:
     and null texts have none.
     """
     columns = df.columns
-    long = F.length(text) >= 3
-    df = with_matches(df, "_all", [java(d.pattern) for d in DETECTORS], [long & F.col(text).rlike(d.gate) for d in DETECTORS], text)
+    long, text_ = F.length(text) >= 3, F.col(text)
+    df = with_matches(df, "_all", [java(d.pattern) for d in DETECTORS], [long & text_.contains(d.also) & text_.rlike(d.gate) for d in DETECTORS], text)
     df = df.withColumn("_all", F.filter(F.transform("_all", _detection), lambda s: s["ok"]))
     fields = ("category", "tier", "confidence", "start", "end", "matched", "rule", "ord")
     ranked = F.array_sort(F.transform("_all", lambda s: F.struct((-s["confidence"]).alias("c"), s["start"].alias("st"), s["ord"].alias("o"), F.struct(*[s[f].alias(f) for f in fields]).alias("s"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors, policy
 from ..operators.detectors import detect
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import twins
 from .registry import Registry
 
@@ -16,7 +16,7 @@ _COLUMNS = "key, category, tier, confidence, start_off, end_off, matched, rule"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return dealt(table(spark, folder, "documents"))
 
 
 @QUERIES.add(twins.detections_sql(twins.DOCUMENTS) + f" SELECT {_COLUMNS} FROM det")

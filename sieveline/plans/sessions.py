@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import detectors
 from ..sources.tables import table
-from . import twins
 from .registry import Registry
 
 QUERIES = Registry()
@@ -135,25 +133,6 @@ def precision_recall_labels(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("tp", "fp", "fn", share(tp, tp + fp).alias("precision_"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-#: What counts as true: plain forms, apart from the detectors' own patterns.
-TRUTH = {"email": "[a-z0-9.]+@[a-z0-9.]+", "phone": "[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "credit-card": "[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{16}"}
-_TRUE = " UNION ALL ".join(f"SELECT '{k}' AS category, CAST(coalesce(sum(len(regexp_extract_all(text, '{v}'))), 0) AS BIGINT) AS n_true FROM documents" for k, v in TRUTH.items())
-
-
-@QUERIES.add(
-    twins.detections_sql(twins.DOCUMENTS)
-    + f""", a AS ({_TRUE}), b AS (SELECT category, count(*) AS n_found FROM det GROUP BY category)
- SELECT coalesce(a.category, b.category) AS category, coalesce(n_true, 0) AS n_true, coalesce(n_found, 0) AS n_found, least(coalesce(n_true, 0), coalesce(n_found, 0)) AS tp FROM a FULL JOIN b ON a.category = b.category"""
-)
-def gt_vs_detected_full_outer(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    counts = docs.agg(*[F.coalesce(F.sum(F.size(F.regexp_extract_all("text", F.lit(v), F.lit(0)))), F.lit(0)).alias(k) for k, v in TRUTH.items()])
-    a = counts.unpivot([], list(TRUTH), "category", "n_true")
-    b = detectors.detect(docs, "doc_id").groupBy("category").agg(F.count(F.lit(1)).alias("n_found"))
-    t, f = F.coalesce("n_true", F.lit(0)), F.coalesce("n_found", F.lit(0))
-    return a.join(b, "category", "full").select("category", t.alias("n_true"), f.alias("n_found"), F.least(t, f).alias("tp"))
-
-
 @QUERIES.add("""WITH m AS (SELECT event_type AS model, CASE WHEN event_id % 3 = 0 THEN 'wasm' ELSE 'webgpu' END AS backend, event_id, ts, value, event_id % 50 = 0 AS cold FROM events)
  SELECT model, backend, count(*) AS n, sum(event_id % 1000) AS pixels, round(avg(CASE WHEN value > 0 THEN value END), 6) AS mean, min_by(value, (ts, event_id)) FILTER (WHERE cold) AS first_cold, round(avg(CASE WHEN NOT cold THEN value END), 6) AS warm_mean, max(value) AS peak FROM m GROUP BY model, backend""")
 def model_metrics_aggregate(spark: SparkSession, folder: str) -> DataFrame:

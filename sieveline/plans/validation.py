@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detectors, fusion, semantic, validation
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import subjects, twins
 from .registry import Registry
 
@@ -121,7 +121,7 @@ _FUSED = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql(
 
 @QUERIES.add(f"{_FUSED} SELECT key, source, category, subtype, confidence, CAST(start_off AS BIGINT) AS start_off, CAST(end_off AS BIGINT) AS end_off, policy FROM fused")
 def fused_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.decisions(table(spark, folder, "documents"), "doc_id")
+    return fusion.decisions(dealt(table(spark, folder, "documents")), "doc_id")
 
 
 _WORDS = "CASE subtype " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"email": "[an email address]", "phone": "[a phone number]"}.items()) + " ELSE '[' || subtype || ' value]' END"
@@ -138,7 +138,7 @@ _WORDS = "CASE subtype " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"email
  FROM base LEFT JOIN w4 ON base.key = w4.key"""
 )
 def sanitized_by_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.sanitize(table(spark, folder, "documents"), "doc_id")
+    return fusion.sanitize(dealt(table(spark, folder, "documents")), "doc_id")
 
 
 _FLAGS = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql("doc_id", "documents").removeprefix("WITH ") + """,
@@ -149,7 +149,7 @@ _FLAGS = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql(
 @QUERIES.add(f"{_FLAGS} SELECT config, count(*) FILTER (flag AND truth) AS tp, count(*) FILTER (flag AND NOT truth) AS fp, count(*) FILTER (NOT flag AND truth) AS fn, count(*) FILTER (NOT flag AND NOT truth) AS tn FROM g GROUP BY config")
 def confusion_by_configuration(spark: SparkSession, folder: str) -> DataFrame:
     """Detectors alone (A) and with context scores (B) against the toxic label."""
-    docs = table(spark, folder, "documents")
+    docs = dealt(table(spark, folder, "documents"))
     marked = lambda df, name: df.select(F.col("key").alias("doc_id")).distinct().withColumn(name, F.lit(True))
     found = marked(detectors.detect(docs, "doc_id"), "found")
     named = marked(semantic.detections(docs, "doc_id").where((F.col("confidence") >= 0.75) | F.col("risk").isin("high", "critical")), "named")

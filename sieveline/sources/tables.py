@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,44 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A scan of files for work that is heavy on processors.
+
+    A small table may lie in fewer files than there are cores, each with one group
+    of rows, and then a few tasks would do everything. Such a scan is dealt out
+    once; one that has more splits than cores stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = len(scan.inputFiles()) < cores and scan.rdd.getNumPartitions() <= 2 * cores
+    return scan.repartition(2 * cores) if few else scan
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    A local session without the setting gets one of its own; on a cluster a
+    folder of one machine would lose rows, so there it has to be given.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sieveline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its plan is cut in a
+    way that survives lost executors. The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
     """A long table: metric, value, unit, config."""
     metrics.select("metric", "value", "unit", "config").write.mode("overwrite").option("header", True).csv(path)
