@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import accuracy, layout, outgoing, privacy, scenes, sessions, subjects, tasks, validation
+from . import accuracy, elements, layout, outgoing, privacy, scenes, sessions, subjects, tasks, validation
 from .registry import Query
 
-MODULES = (privacy, layout, outgoing, tasks, sessions, subjects, scenes, validation, accuracy)
+MODULES = (privacy, layout, outgoing, tasks, sessions, subjects, scenes, validation, accuracy, elements)
 
 
 def queries() -> dict[str, Query]:
