@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def iou(a: str, b: str) -> Column:
     """Intersection over union of columns such as a_x, a_y, a_w, a_h."""
@@ -58,3 +60,85 @@ def suppress(boxes: DataFrame, least: float) -> DataFrame:
     kind = boxes.select(F.array(box).alias("l")).schema["l"].dataType.simpleString()
     kept = F.aggregate("l", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: over(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     return lists.select("scene", F.posexplode(kept).alias("rank", "k")).select("scene", F.col("k.id").alias("b_id"), "rank")
+
+
+def stabbed(points: DataFrame, boxes: DataFrame, cell: int = 256) -> DataFrame:
+    """``points`` (scene, px, py and others) with top: the box (a struct) that lies
+    uppermost there, by z and then the later b_id; null if there is none.
+
+    Boxes (scene, b_id, b_x, b_y, b_w, b_h, z) are dealt to the grid cells they
+    touch and a point looks into its own cell only. Sides belong to a box but for
+    the far ones.
+    """
+    columns = points.columns
+    numbered = points.withColumn("_p", F.monotonically_increasing_id())
+    held = boxes.withColumn("c", cells("b", cell)).select(F.col("scene").alias("s"), "c", F.struct(*boxes.columns).alias("box"))
+    at = F.struct(F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
+    numbered = written(numbered.withColumn("at", at), "points")
+    met = numbered.join(held, (F.col("scene") == F.col("s")) & (F.col("at") == F.col("c")))
+    inside = (F.col("px") >= F.col("box.b_x")) & (F.col("px") < F.col("box.b_x") + F.col("box.b_w")) & (F.col("py") >= F.col("box.b_y")) & (F.col("py") < F.col("box.b_y") + F.col("box.b_h"))
+    top = met.where(inside).groupBy("_p").agg(F.max_by("box", F.struct("box.z", "box.b_id")).alias("top"))
+    return numbered.join(top, "_p", "left").select(*columns, "top")
+
+
+def _near(a: DataFrame, b: DataFrame, dx: int, dy: int) -> DataFrame:
+    """Pairs of a scene within dx and dy: scene, i (of a), j (of b)."""
+    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    at = lambda d: F.struct((F.floor(F.col("x") / (dx + 1)) + d["x"]).alias("x"), (F.floor(F.col("y") / (dy + 1)) + d["y"]).alias("y"))
+    left = a.select("scene", F.col("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.explode(F.transform(around, at)).alias("c"))
+    right = b.select("scene", F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.struct(F.floor(F.col("x") / (dx + 1)).alias("x"), F.floor(F.col("y") / (dy + 1)).alias("y")).alias("c"))
+    return left.join(right, ["scene", "c"]).where((F.abs(F.col("xi") - F.col("xj")) <= dx) & (F.abs(F.col("yi") - F.col("yj")) <= dy)).select("scene", "i", "j")
+
+
+def seeded_groups(blocks: DataFrame, dx: int, dy: int) -> DataFrame:
+    """scene, i and seed: blocks (scene, i, x, y) as a walk in the order of i would
+    group them, where a block that no seed before it reaches is a seed and takes
+    whatever it reaches and is free.
+
+    A block is a seed for certain once no undecided block before it reaches it. So
+    every round takes all such blocks of all scenes at once, and what they reach
+    is decided with them; no scene is folded as a whole.
+    """
+    near = written(_near(blocks, blocks, dx, dy).where("i < j"), "near")
+    open_, seeds = written(blocks.select("scene", "i"), "open"), []
+    while not open_.isEmpty():
+        alive = near.join(open_, ["scene", "i"], "left_semi").join(open_.withColumnRenamed("i", "j"), ["scene", "j"], "left_semi")
+        fresh = written(open_.join(alive.select("scene", F.col("j").alias("i")), ["scene", "i"], "left_anti"), "seeds")
+        seeds.append(fresh)
+        reached = near.join(fresh, ["scene", "i"], "left_semi").select("scene", F.col("j").alias("i"))
+        open_ = written(open_.join(fresh, ["scene", "i"], "left_anti").join(reached, ["scene", "i"], "left_anti"), "open")
+    if not seeds:
+        return blocks.select("scene", "i", F.col("i").alias("seed"))
+    every = seeds[0]
+    for more in seeds[1:]:
+        every = every.unionByName(more)
+    every = written(every, "seeds")
+    taken = near.join(every, ["scene", "i"], "left_semi").groupBy("scene", "j").agg(F.min("i").alias("seed")).withColumnRenamed("j", "i")
+    own = every.withColumn("mine", F.lit(True))
+    return blocks.select("scene", "i").join(own, ["scene", "i"], "left").join(taken, ["scene", "i"], "left").select("scene", "i", F.when(F.col("mine"), F.col("i")).otherwise(F.col("seed")).alias("seed"))
+
+
+def areas(regions: DataFrame, width: float, height: float, cell: int = 128) -> DataFrame:
+    """scene, summed and united: the area of a scene's regions (scene, r_x, r_y, r_w,
+    r_h) within its image, overlaps counted twice and once.
+
+    Regions are cut at the grid cells. In a cell the x of all sides make slabs; in a
+    slab the y intervals are swept in order, and what lies above the greatest end so
+    far counts. Cells are small, so no scene is swept in one task.
+    """
+    x0, y0 = F.greatest("r_x", F.lit(0.0)), F.greatest("r_y", F.lit(0.0))
+    x1, y1 = F.least(F.col("r_x") + F.col("r_w"), F.lit(width)), F.least(F.col("r_y") + F.col("r_h"), F.lit(height))
+    clipped = regions.select("scene", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x1 > x0 and y1 > y0")
+    summed = clipped.groupBy("scene").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("summed"))
+    over = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.ceil(F.col(b) / cell) - 1))
+    pieces = clipped.withColumn("cx", over("x0", "x1")).withColumn("cy", over("y0", "y1"))
+    low = lambda v, c: F.greatest(F.col(v), F.col(c) * float(cell)).alias(v)
+    high = lambda v, c: F.least(F.col(v), (F.col(c) + 1) * float(cell)).alias(v)
+    pieces = written(pieces.select("scene", "cx", "cy", low("x0", "cx"), low("y0", "cy"), high("x1", "cx"), high("y1", "cy")).distinct(), "pieces")
+    where = ["scene", "cx", "cy"]
+    sides = pieces.groupBy(*where).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("x0", "x1"))))).alias("xs"))
+    slabs = pieces.join(sides, where).select(*where, "y0", "y1", F.explode(F.filter(F.zip_with(F.slice("xs", 1, F.size("xs") - 1), F.slice("xs", 2, F.size("xs")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: (s["a"] >= F.col("x0")) & (s["b"] <= F.col("x1")))).alias("s"))
+    order = Window.partitionBy(*where, "s").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(F.max("y1").over(order), F.col("y0"))))
+    united = slabs.withColumn("part", (F.col("s.b") - F.col("s.a")) * fresh).groupBy("scene").agg(F.sum("part").alias("united"))
+    return summed.join(united, "scene")
