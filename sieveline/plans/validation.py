@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detectors, fusion, semantic, validation
+from ..operators import detectors, fusion, payloads, semantic, validation
 from ..sources.tables import dealt, table
 from . import subjects, twins
 from .registry import Registry
@@ -106,7 +106,8 @@ def forbidden_fields(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("event_id")
     raw = F.when(k % 3 == 0, "").when(k % 3 == 1, "<SENSITIVE_A1>").otherwise(F.col("event_type"))
     body = F.concat(F.lit('{"task":{"raw":"'), raw, F.lit('","deep":[{"secret":'), F.when(k % 2 == 0, "null").otherwise("7"), F.lit('},{"value":{"cvv":[]}}]},"props":'), "props", F.lit(',"name":"x"}'))
-    return validation.forbidden_fields(table(spark, folder, "events").select("event_id", body.alias("body")), "event_id", "body")
+    nodes = payloads.opened(table(spark, folder, "events").select("event_id", body.alias("body")), "event_id", "body")
+    return payloads.forbidden(nodes).select("item", F.translate(F.ltrim(F.col("place"), F.lit("/")), "/", ".").alias("path"))
 
 
 _SUBTYPES = "[" + ", ".join(f"'{x.subtype}'" for x in semantic.TAXONOMY) + "]"
