@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from ..streaming import machine
 from .registry import Registry
 
 QUERIES = Registry()
@@ -141,3 +142,34 @@ def model_metrics_aggregate(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id") % 1000).alias("pixels"), F.round(F.avg(F.when(F.col("value") > 0, F.col("value"))), 6).alias("mean"),
         F.min(F.when(F.col("cold"), F.struct("ts", "event_id", "value")))["value"].alias("first_cold"), F.round(F.avg(F.when(~F.col("cold"), F.col("value"))), 6).alias("warm_mean"), F.max("value").alias("peak"),
     )
+
+
+#: What an event's type makes of it; a confirmation is waited for two days here.
+_KINDS = {"signup": "start", "error": "pause", "view": "resume", "purchase": "ask"}
+TWO_DAYS = 172_800_000
+
+
+def machine_events(rows: DataFrame) -> DataFrame:
+    """Events as the session machine reads them."""
+    k = F.col("event_id")
+    kind = F.when(k % 3 == 0, "result").otherwise("answer")
+    for name, what in _KINDS.items():
+        kind = F.when(F.col("event_type") == name, what).otherwise(kind)
+    return rows.select(F.col("user_id").alias("tab"), kind.alias("kind"), k.alias("event_id"), "ts", (k % 5).alias("action"), (k % 4).alias("session"))
+
+
+@QUERIES.add(f"""WITH RECURSIVE e AS (SELECT user_id AS tab, event_id AS k, epoch_ms(ts) AS t, event_id % 5 AS a, event_id % 4 AS s, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items())} ELSE CASE WHEN event_id % 3 = 0 THEN 'result' ELSE 'answer' END END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+m(tab, n, ses, st, w, o) AS (
+  SELECT DISTINCT tab, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'none', [{{'k': NULL::BIGINT, 's': NULL::BIGINT, 'd': NULL::BIGINT}} FOR i IN range(5)], [{{'k': NULL::BIGINT, 'o': NULL::VARCHAR}}] FROM e
+  UNION ALL
+  SELECT x.tab, x.n, CASE WHEN kind = 'start' THEN ses + 1 ELSE ses END, CASE WHEN kind = 'start' THEN 'active' WHEN kind = 'pause' AND st = 'active' THEN 'paused' WHEN kind = 'resume' AND st = 'paused' THEN 'active' ELSE st END,
+    [CASE WHEN i <> a THEN l[i + 1] WHEN kind = 'ask' AND st <> 'none' AND l[i + 1].k IS NULL THEN {{'k': k, 's': ses, 'd': t + {TWO_DAYS}}} WHEN kind = 'answer' THEN {{'k': NULL::BIGINT, 's': NULL::BIGINT, 'd': NULL::BIGINT}} ELSE l[i + 1] END FOR i IN range(5)],
+    list_concat([{{'k': v.k, 'o': 'timeout'}} FOR v IN w IF v.d < t], [CASE WHEN kind = 'pause' THEN {{'k': k, 'o': CASE WHEN st = 'active' THEN 'paused' ELSE 'ignored' END}} WHEN kind = 'resume' THEN {{'k': k, 'o': CASE WHEN st = 'paused' THEN 'resumed' ELSE 'ignored' END}}
+      WHEN kind = 'result' THEN {{'k': k, 'o': CASE WHEN st = 'active' AND ses = s THEN 'accepted' ELSE 'late' END}} WHEN kind = 'ask' AND st = 'none' THEN {{'k': k, 'o': 'rejected'}} WHEN kind = 'ask' AND l[a + 1].k IS NOT NULL THEN {{'k': k, 'o': 'duplicate'}}
+      WHEN kind = 'answer' AND l[a + 1].k IS NOT NULL THEN {{'k': l[a + 1].k, 'o': CASE WHEN l[a + 1].s = ses THEN 'confirmed' ELSE 'stale' END}} END])
+  FROM (SELECT e.*, ses, st, w, [CASE WHEN v.d < t THEN {{'k': NULL::BIGINT, 's': NULL::BIGINT, 'd': NULL::BIGINT}} ELSE v END FOR v IN w] AS l FROM m JOIN e ON m.tab = e.tab AND e.n = m.n + 1) x)
+SELECT o.k AS event_id, tab, o.o AS outcome FROM (SELECT tab, unnest(o) AS o FROM m UNION ALL SELECT tab, unnest([{{'k': v.k, 'o': 'timeout'}} FOR v IN w]) FROM (SELECT * FROM m QUALIFY n = max(n) OVER (PARTITION BY tab))) WHERE o.k IS NOT NULL""")
+def session_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of pauses, results and confirmations; the stream gives the same."""
+    return machine.outcomes_of_table(machine_events(events(spark, folder)), TWO_DAYS)
