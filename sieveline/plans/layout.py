@@ -116,16 +116,19 @@ def mask_iou(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("scene", "n_planned", "n_truth", "n_both", F.round(F.col("n_both") / F.col("n"), 6).alias("mask_iou"))
 
 
-@QUERIES.add("""
-SELECT 8 AS stride, slot, (gx + 0.5) / 16 AS cx, (gy + 0.5) / 16 AS cy FROM (SELECT unnest(range(0, 16)) AS gx), (SELECT unnest(range(0, 16)) AS gy), (SELECT unnest(range(0, 2)) AS slot)
-UNION ALL SELECT 16, slot, (gx + 0.5) / 8, (gy + 0.5) / 8 FROM (SELECT unnest(range(0, 8)) AS gx), (SELECT unnest(range(0, 8)) AS gy), (SELECT unnest(range(0, 6)) AS slot)""")
+@QUERIES.add("""WITH a AS (SELECT 8 AS stride, slot, (gx + 0.5) / 16 AS cx, (gy + 0.5) / 16 AS cy, (gy * 16 + gx) * 2 + slot AS k FROM (SELECT unnest(range(0, 16)) AS gx), (SELECT unnest(range(0, 16)) AS gy), (SELECT unnest(range(0, 2)) AS slot)
+UNION ALL SELECT 16, slot, (gx + 0.5) / 8, (gy + 0.5) / 8, 512 + (gy * 8 + gx) * 6 + slot FROM (SELECT unnest(range(0, 8)) AS gx), (SELECT unnest(range(0, 8)) AS gy), (SELECT unnest(range(0, 6)) AS slot))
+SELECT CAST(p_partkey AS BIGINT) AS key, stride, CAST(slot AS BIGINT) AS slot, cx, cy FROM part JOIN a ON p_partkey % 896 = k""")
 def anchor_grid(spark: SparkSession, folder: str) -> DataFrame:
-    def grid(stride: int, n: int, slots: int) -> DataFrame:
-        axis = lambda name, k: spark.range(k).select(F.col("id").alias(name))
-        cells = axis("gx", n).crossJoin(axis("gy", n)).crossJoin(axis("slot", slots))
-        return cells.select(F.lit(stride).alias("stride"), "slot", ((F.col("gx") + 0.5) / n).alias("cx"), ((F.col("gy") + 0.5) / n).alias("cy"))
-
-    return grid(8, 16, 2).unionByName(grid(16, 8, 6))
+    """The anchor that a part stands for: its number among 16 by 16 cells of two
+    anchors, then 8 by 8 cells of six."""
+    key = F.col("p_partkey").cast("bigint")
+    k = key % 896
+    small = k < 512
+    cell = F.when(small, F.floor(k / 2)).otherwise(F.floor((k - 512) / 6))
+    n = F.when(small, 16).otherwise(8)
+    slot = F.when(small, k % 2).otherwise((k - 512) % 6)
+    return table(spark, folder, "part").select(key.alias("key"), F.when(small, 8).otherwise(16).alias("stride"), slot.alias("slot"), ((cell % n + 0.5) / n).alias("cx"), ((F.floor(cell / n) + 0.5) / n).alias("cy"))
 
 
 _TILES = """WITH s AS (SELECT p_partkey AS key, 600 + (p_partkey * 31) % 900 AS w, 400 + (p_partkey * 17) % 700 AS h FROM part)

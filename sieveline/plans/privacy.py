@@ -49,11 +49,34 @@ def sanitized_documents(spark: SparkSession, folder: str) -> DataFrame:
     return policy.sanitize(documents(spark, folder), "doc_id")
 
 
-_MATRIX = """
-WITH c AS (SELECT unnest(['email','phone','contact','credit-card','iban','payment','aadhaar','dob','financial','health','password','otp','jwt','secret','face','address','passport']) AS category),
-t AS (SELECT unnest(['checksum-verified','pattern-matched','context-inferred']) AS tier), f AS (SELECT unnest([0.2::DOUBLE, 0.5, 0.7, 0.9, 0.98]) AS confidence),
-n AS (SELECT unnest(['required','optional','unknown']) AS necessity), r AS (SELECT unnest(['remote-planner','task-website','local-logs','local-display']) AS recipient),
-a AS (SELECT unnest(['low','high']) AS ambiguity), z AS (SELECT unnest([true, false]) AS authorized)
+#: Choices of a case; an event stands for one of each, by the digits of its number.
+_CHOICES = {
+    "category": ["email", "phone", "contact", "credit-card", "iban", "payment", "aadhaar", "dob", "financial", "health", "password", "otp", "jwt", "secret", "face", "address", "passport"],
+    "tier": ["checksum-verified", "pattern-matched", "context-inferred"], "confidence": [0.2, 0.5, 0.7, 0.9, 0.98], "necessity": ["required", "optional", "unknown"],
+    "recipient": ["remote-planner", "task-website", "local-logs", "local-display"], "ambiguity": ["low", "high"], "authorized": [True, False],
+}
+
+
+def _digits(choices: dict[str, list]) -> dict[str, tuple[int, int]]:
+    """What a number is divided by, and the number of choices, for each digit."""
+    out, by = {}, 1
+    for name, options in choices.items():
+        out[name], by = (by, len(options)), by * len(options)
+    return out
+
+
+def chosen(rows: DataFrame, number: str, choices: dict[str, list]) -> DataFrame:
+    """One of each choice by the digits of a number."""
+    pick = lambda name, by, n: F.get(F.array(*map(F.lit, choices[name])), (F.floor(F.col(number) / by) % n).cast("int")).alias(name)
+    return rows.select(*[pick(name, by, n) for name, (by, n) in _digits(choices).items()])
+
+
+def chosen_sql(table: str, number: str, choices: dict[str, list]) -> str:
+    listed = lambda name: str(choices[name]).replace("True", "true").replace("False", "false")
+    return "SELECT " + ", ".join(f"{listed(name)}[({number} // {by}) % {n} + 1] AS {name}" for name, (by, n) in _digits(choices).items()) + f" FROM {table}"
+
+
+_MATRIX = f"""WITH m AS (SELECT category, tier, CAST(confidence AS DOUBLE) AS confidence, necessity, recipient, ambiguity, authorized, count(*) AS n FROM ({chosen_sql("events", "event_id", _CHOICES)}) GROUP BY ALL)
 SELECT *, CASE WHEN ambiguity = 'high' OR confidence < 0.3 THEN 'OMIT'
   WHEN recipient = 'task-website' THEN CASE WHEN authorized THEN 'ALLOW_LITERAL' ELSE 'ASK_LOCAL' END
   WHEN recipient = 'local-logs' THEN 'ABSTRACT' WHEN recipient = 'local-display' THEN 'ALLOW_LITERAL'
@@ -63,26 +86,16 @@ SELECT *, CASE WHEN ambiguity = 'high' OR confidence < 0.3 THEN 'OMIT'
   WHEN category IN ('financial','aadhaar','dob') THEN 'TOKENIZE' WHEN category = 'health' THEN 'OMIT'
   WHEN category IN ('secret','password','otp','jwt') THEN 'BLOCK'
   WHEN (tier = 'checksum-verified' AND confidence >= 0.9) OR (tier = 'pattern-matched' AND confidence >= 0.7) THEN 'TOKENIZE' ELSE 'ABSTRACT' END AS decision
-FROM c, t, f, n, r, a, z
+FROM m
 """
 
 
 @QUERIES.add(_MATRIX)
 def policy_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    values = {
-        "category": ["email", "phone", "contact", "credit-card", "iban", "payment", "aadhaar", "dob", "financial", "health", "password", "otp", "jwt", "secret", "face", "address", "passport"],
-        "tier": ["checksum-verified", "pattern-matched", "context-inferred"],
-        "confidence": [0.2, 0.5, 0.7, 0.9, 0.98],
-        "necessity": ["required", "optional", "unknown"],
-        "recipient": ["remote-planner", "task-website", "local-logs", "local-display"],
-        "ambiguity": ["low", "high"],
-        "authorized": [True, False],
-    }
-    out = spark.range(1)
-    for name, options in values.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, options))))
-    names = list(values)
-    return out.select(*names, policy.decision(*[F.col(c) for c in ("category", "tier", "confidence", "necessity", "recipient", "ambiguity", "authorized")]).alias("decision"))
+    """The decision of every case that the events stand for, and how many do."""
+    cases = chosen(table(spark, folder, "events"), "event_id", _CHOICES).groupBy(*_CHOICES).agg(F.count(F.lit(1)).alias("n"))
+    return cases.withColumn("decision", policy.decision(*[F.col(c) for c in _CHOICES]))
+
 
 
 _PHRASES = " OR ".join("contains(lower(text), '" + p + "')" for p in policy.INJECTION)

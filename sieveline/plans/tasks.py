@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import planning
 from ..sources.tables import table
+from .privacy import chosen, chosen_sql
 from .registry import Registry
 
 QUERIES = Registry()
@@ -66,16 +67,14 @@ def goal_verification(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FLAGS = ("goal", "navigated", "confirmed", "attempted", "entered")
+_FINISH = {"intent": ["search", "generic"], **{f: [True, False] for f in _FLAGS}}
 
 
-@QUERIES.add(
-    "SELECT *, CASE WHEN intent = 'generic' THEN 'allow' WHEN goal THEN 'allow' WHEN navigated OR confirmed THEN 'goal-not-satisfied' WHEN attempted OR entered THEN 'completion-not-established' ELSE 'allow no-text-entered' END AS verdict FROM (SELECT unnest(['search', 'generic']) AS intent), "
-    + ", ".join(f"(SELECT unnest([true, false]) AS {f})" for f in _FLAGS)
-)
+@QUERIES.add(f"""SELECT *, CASE WHEN intent = 'generic' THEN 'allow' WHEN goal THEN 'allow' WHEN navigated OR confirmed THEN 'goal-not-satisfied' WHEN attempted OR entered THEN 'completion-not-established' ELSE 'allow no-text-entered' END AS verdict
+ FROM (SELECT *, count(*) AS n FROM ({chosen_sql('events', 'event_id', _FINISH)}) GROUP BY ALL)""")
 def finish_gate_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    out = spark.range(1).select(F.explode(F.array(F.lit("search"), F.lit("generic"))).alias("intent"))
-    for f in _FLAGS:
-        out = out.withColumn(f, F.explode(F.array(F.lit(True), F.lit(False))))
+    """The verdict on finishing in every case that the events stand for."""
+    out = chosen(table(spark, folder, "events"), "event_id", _FINISH).groupBy(*_FINISH).agg(F.count(F.lit(1)).alias("n"))
     verdict = (
         F.when(F.col("intent") == "generic", "allow").when(F.col("goal"), "allow").when(F.col("navigated") | F.col("confirmed"), "goal-not-satisfied")
         .when(F.col("attempted") | F.col("entered"), "completion-not-established").otherwise("allow no-text-entered")
@@ -83,13 +82,15 @@ def finish_gate_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-@QUERIES.add("""SELECT *, CASE WHEN forced = 'wasm' THEN 'wasm' WHEN forced = 'webgpu' THEN CASE WHEN gpu THEN 'webgpu' ELSE 'wasm' END
+_BACKENDS = {"forced": ["auto", "wasm", "webgpu"], "browser": ["firefox", "chrome"], "gpu": [True, False], "wasm": [True, False]}
+
+
+@QUERIES.add(f"""SELECT *, CASE WHEN forced = 'wasm' THEN 'wasm' WHEN forced = 'webgpu' THEN CASE WHEN gpu THEN 'webgpu' ELSE 'wasm' END
  WHEN browser = 'firefox' THEN CASE WHEN wasm THEN 'wasm' WHEN gpu THEN 'webgpu' ELSE 'cpu' END ELSE CASE WHEN gpu THEN 'webgpu' WHEN wasm THEN 'wasm' ELSE 'cpu' END END AS backend
- FROM (SELECT unnest(['auto', 'wasm', 'webgpu']) AS forced), (SELECT unnest(['firefox', 'chrome']) AS browser), (SELECT unnest([true, false]) AS gpu), (SELECT unnest([true, false]) AS wasm)""")
+ FROM (SELECT *, count(*) AS n FROM ({chosen_sql('events', 'event_id', _BACKENDS)}) GROUP BY ALL)""")
 def backend_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    out = spark.range(1).select(F.explode(F.array(*map(F.lit, ("auto", "wasm", "webgpu")))).alias("forced"))
-    for name, values in (("browser", ("firefox", "chrome")), ("gpu", (True, False)), ("wasm", (True, False))):
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    """The backend of every case that the events stand for."""
+    out = chosen(table(spark, folder, "events"), "event_id", _BACKENDS).groupBy(*_BACKENDS).agg(F.count(F.lit(1)).alias("n"))
     gpu, wasm = F.col("gpu"), F.col("wasm")
     auto = F.when(F.col("browser") == "firefox", F.when(wasm, "wasm").when(gpu, "webgpu").otherwise("cpu")).otherwise(F.when(gpu, "webgpu").when(wasm, "wasm").otherwise("cpu"))
     return out.withColumn("backend", F.when(F.col("forced") == "wasm", "wasm").when(F.col("forced") == "webgpu", F.when(gpu, "webgpu").otherwise("wasm")).otherwise(auto))

@@ -183,7 +183,11 @@ LITERALS = (
 _VALUES = ", ".join(f"({key}, '{c}', '{t}', CAST({n} AS DOUBLE), '" + m.replace("\n", "' || chr(10) || '") + "')" for key, _, found in LITERALS for c, t, n, m in found)
 
 
-@QUERIES.add(f"SELECT * FROM (VALUES {_VALUES}) AS v(key, category, tier, confidence, matched)")
+@QUERIES.add(f"SELECT doc_id, category, tier, confidence, matched FROM documents JOIN (VALUES {_VALUES}) AS v(key, category, tier, confidence, matched) ON doc_id % {len(LITERALS)} + 1 = key")
 def detector_literals(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spark.createDataFrame([(key, text) for key, text, _ in LITERALS], "key int, text string")
-    return detectors.detect(texts, "key").select("key", "category", "tier", "confidence", "matched")
+    """Every document with one of the texts behind its own, and what is found there."""
+    literal = F.get(F.array(*[F.lit(text) for _, text, _ in LITERALS]), (F.col("doc_id") % len(LITERALS)).cast("int"))
+    own = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\u00a6\n"))
+    docs = dealt(table(spark, folder, "documents")).select("doc_id", F.length(own).alias("before"), F.concat(own, literal).alias("text"))
+    found = detectors.with_detections(docs).select("doc_id", "before", F.explode("detections").alias("d")).where(F.col("d.start") >= F.col("before"))
+    return found.select("doc_id", "d.category", "d.tier", "d.confidence", "d.matched")

@@ -50,10 +50,12 @@ def changed_tiles(events: DataFrame, tiles: int = 4) -> DataFrame:
     return hashed.groupBy("tab", "tile").applyInPandasWithState(step, "event_id long, tab long, tile long, hash string", "hash string", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_grants(events: DataFrame, ttl: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Grants (every tenth event) with their redemptions while they live."""
-    marked = events.withWatermark("ts", late)
-    grants = marked.where("event_id % 10 = 0").select(F.col("event_id").alias("grant_id"), F.col("ts").alias("granted"), F.col("user_id").alias("owner"))
-    uses = marked.where("event_id % 10 <> 0").select("event_id", "user_id", "ts", (F.floor(F.col("event_id") / 10) * 10).alias("token"))
-    live = (F.col("token") == F.col("grant_id")) & (F.col("user_id") == F.col("owner")) & (F.col("ts") >= F.col("granted")) & (F.col("ts") <= F.col("granted") + F.expr(f"INTERVAL {ttl}"))
-    return uses.join(grants, live).select("event_id", "grant_id")
+def live_grants(grants: DataFrame, attempts: DataFrame, bindings: list[str], ttl: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Attempts (attempt_id, token, at, said_ and a binding) at grants (grant_id,
+    created_at, the bindings) that meet a live grant with every binding right:
+    attempt_id, grant_id. A grant's state goes when its time has passed."""
+    g, a = grants.withWatermark("created_at", late), attempts.withWatermark("at", late)
+    right = (F.col("token") == F.col("grant_id")) & (F.col("at") >= F.col("created_at")) & (F.col("at") <= F.col("created_at") + F.expr(f"INTERVAL {ttl}"))
+    for b in bindings:
+        right = right & F.col(f"said_{b}").eqNullSafe(F.col(b))
+    return a.join(g, right).select("attempt_id", "grant_id")
