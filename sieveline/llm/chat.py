@@ -186,7 +186,9 @@ def format_chat(messages: DataFrame, schemas: DataFrame | None = None) -> DataFr
     that holds; all others are ``plain``. Rows with a null conv_id are one
     conversation; a null text is a null content; texts of any length are read
     whole, rows of one conversation and turn keep both, rows alike in full have
-    equal results. An empty table gives an empty result. Extra columns are not
+    equal results. The JSON of a message has its content, role, calls (id, name,
+    arguments) or tool_call_id; other fields of a message or call, such as ``type``
+    and ``after``, are not part of the canonical form. An empty table gives an empty result. Extra columns are not
     read.
     """
     spark = messages.sparkSession

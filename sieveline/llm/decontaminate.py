@@ -121,8 +121,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs. Columns
-    stay as they are, whatever their names; nulls, repeats and empty tables are
-    as in ``decontaminate``."""
+    stay as they are, whatever their names; nulls, repeats, texts of any length
+    and empty tables are as in ``decontaminate``."""
     _, hits = overlap(docs, benchmark, window)
     keyed, names = with_row_key(docs)
     dirty = hits.select(*[F.col(k).alias(names[k]) for k in ROW_KEY])

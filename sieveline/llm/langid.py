@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Buckets of hashed n-grams (a power of two), the n-grams, and characters of a
 #: text that are hashed at a time.
 BUCKETS, GRAMS, CHUNK = 1 << 13, (1, 2, 3), 1 << 20
 #: Up to this many languages get every split as a bit, more get drawn codewords.
 EXHAUSTIVE = 6
-#: The most languages that can be learned; bounds the table of counts.
+#: The most languages that are learned, those with the most text; bounds the table
+#: of counts that reaches the driver.
 MOST_LANGUAGES = 512
 
 
@@ -110,12 +113,12 @@ def train(docs: DataFrame) -> Model | None:
     labelled = docs.select("text", "lang").where("text is not null and lang is not null")
     table = labelled.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most BUCKETS rows for each of MOST_LANGUAGES languages come to the driver.
-    found = table.toPandas()
+    table = materialize(table, "ngrams")
+    largest = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    found = table.join(largest, "lang", "left_semi").toPandas()
     languages = sorted(found["lang"].unique())
     if not languages:
         return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} can be learned")
     by_lang = np.zeros((len(languages), BUCKETS))
     by_lang[[languages.index(x) for x in found["lang"]], found["bucket"].to_numpy()] = found["n"]
     return fit(languages, by_lang)

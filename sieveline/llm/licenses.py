@@ -76,8 +76,9 @@ def licenses(docs: DataFrame, notices: Sequence[Template] = NOTICES, least_share
     phrases), first_word and last_word (their smallest and largest start, null
     if none), base_labels, labels (with those of notices), score. The score is
     the largest share of a notice found, one half for a base phrase alone, else
-    zero. A null or empty text has no words; repeated rows each get a row; an
-    empty table gives an empty result. Extra columns are not read.
+    zero. A null or empty text has no words; texts of any length are read whole;
+    repeated rows each get a row; an empty table gives an empty result. Extra
+    columns are not read.
     """
     spark = docs.sparkSession
     templates = [*BASE, *notices]

@@ -148,7 +148,7 @@ def apply_mix(docs: DataFrame, **settings: float) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, copies
     and taken; a column of ``docs`` that has one of these names goes before as
     ``<name>_before``. Rows alike in doc_id and text become one with all their
-    copies. Nulls and empty tables are as in ``mix``."""
+    copies. Nulls, texts of any length and empty tables are as in ``mix``."""
     while clash := [c for c in docs.columns if c.lower() in ADDED]:
         free = fresh_names(docs, *[f"{c}_before" for c in clash])
         docs = docs.withColumnsRenamed({c: f"{c}_before" if f"{c}_before".lower() not in map(str.lower, docs.columns) else free[f"{c}_before"] for c in clash})

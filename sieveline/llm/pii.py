@@ -211,8 +211,8 @@ def redact(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
 
     Overlapping spans are replaced together under the first one's kind. n_chars,
     where there is such a column, is that of the new text. Texts without spans,
-    null ones included, stay as they are, repeated rows are treated alike, and
-    an empty table gives an empty one. Columns keep their names, whatever these
+    null ones included, stay as they are, texts of any length are searched whole,
+    repeated rows are treated alike, and an empty table gives an empty one. Columns keep their names, whatever these
     are. Texts are carried beside their spans, so only found values can move
     them.
     """

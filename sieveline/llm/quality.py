@@ -241,8 +241,8 @@ def keep_good(docs: DataFrame, settings: Robust = Robust()) -> DataFrame:
     """The rows of ``docs`` that the rules and the estimate keep.
 
     Columns stay as they are, whatever their names. Texts are carried beside
-    their vectors, so none is shuffled; nulls, repeats and empty tables are as
-    in ``quality``.
+    their vectors, so none is shuffled; nulls, repeats, texts of any length and
+    empty tables are as in ``quality``.
     """
     found = outliers(statistics(docs, keep="whole"), settings)
     return found.where(~F.expr(FAILED) & (F.col("d2") <= settings.reject_cut)).select("whole.*")

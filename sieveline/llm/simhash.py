@@ -172,8 +172,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     two bits, itself included). A null or wordless text has fingerprint zero
     and is linked like any other. Rows with a null doc_id keep it and take part
     in links; component_id is null only where all ids of a component are.
-    Repeated rows each get a row. Extra columns are not read. An empty table
-    gives an empty result.
+    Repeated rows each get a row. Texts of any length are hashed whole, in
+    pieces. Extra columns are not read. An empty table gives an empty result.
     """
     found = _grouped(docs, shingle, seed)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))

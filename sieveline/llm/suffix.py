@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -158,8 +159,19 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tupl
     return inside, removed, first, begin
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+def _ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and d, a number in the order of doc_id. Ids that are no whole
+    numbers are numbered in ranges, each by a task of its own."""
+    rows = docs.select("doc_id", "text")
+    if isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        return rows.withColumn("d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    numbered = materialize(ids.withColumn("d", F.monotonically_increasing_id()), "ids")
+    return rows.join(numbered, "doc_id", "left").withColumn("d", F.coalesce("d", F.lit(LAST)))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select("d", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
 
 
 def _anchor_rows(docs: DataFrame, with_key: bool, length: int) -> DataFrame:
@@ -241,7 +253,7 @@ def _block(length: int):  # noqa: ANN202
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """d, key (which name a row) and spans: the stretches (lo, hi) to remove."""
+    """Of rows with d and text: d, key (which name a row) and spans: the stretches (lo, hi) to remove."""
     shared = _anchor_rows(docs, False, length).groupBy("h").agg(F.min("d").alias("m"), F.max("d").alias("x")).where("m < x").select("h", "m")
     shared = materialize(shared, "shared")
     met = _anchor_rows(docs, True, length).join(shared, "h").groupBy("d", "key").agg(F.collect_list(F.struct("h", "m")).alias("found"))
@@ -282,7 +294,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bytes joined) and spans (maximal removed stretches, start and end in bytes).
     A string is judged on the input, and strings never cross documents. A null
     text is empty; rows without doc_id come after all others and not before
-    each other; rows of one doc_id don't remove each other's bytes; an empty
+    each other; rows of one doc_id don't remove each other's bytes; ids may be
+    of any type that has an order; texts of any length are read whole; an empty
     table gives an empty result. Extra columns are not read.
     """
 
@@ -302,8 +315,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
 
-    spans = removed_spans(docs, length)
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    rows = _ordered(docs)
+    spans = removed_spans(rows, length)
+    keyed = rows.select("doc_id", "d", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     joined = keyed.join(spans, ["d", "key"], "left").select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), "b", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")

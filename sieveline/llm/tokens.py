@@ -82,10 +82,11 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "mos
     Returns a row per section: doc_id, section (from 0), start, end (characters),
     n_tokens, n_crossing (tokens of it that cross a boundary), doc_tokens. The
     n_tokens of a document sum to its doc_tokens. If ``docs`` has an array column
-    ``sections`` of (start, end), sorted and disjoint, these are used instead of
-    lines; tokens outside all of them are in a row with a null section. A null
-    text is empty and an empty text has one empty line. Repeated rows each get
-    rows; an empty table gives an empty result. Other columns are not read.
+    ``sections`` of (start, end), sorted and disjoint (others raise), these are
+    used instead of lines; tokens outside all of them are in a row with a null
+    section. A null text is empty and an empty text has one empty line; texts of
+    any length are encoded whole. Repeated rows each get rows; an empty table
+    gives an empty result. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     own = "sections" in docs.columns
@@ -101,6 +102,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "mos
                     if own:
                         given = part.column("sections")[k].as_py() or []
                         sec_start, sec_end = (np.array([s[x] for s in given], np.int64) for x in ("start", "end"))
+                        if (sec_start > sec_end).any() or (sec_start[1:] < sec_end[:-1]).any():
+                            raise ValueError("sections have to be sorted and disjoint")
                     else:
                         sec_start, sec_end = line_sections(text)
                     _, start, end = encoder.spans(text)

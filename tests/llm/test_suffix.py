@@ -93,3 +93,13 @@ def test_anchors_in_chunks(monkeypatch):
     per_string = np.concatenate([x for _, x in suffix.least_hashes(text)])
     assert len(per_string) == len(text) - 49
     assert all(suffix.anchors(text[p : p + 50])[0] == per_string[p] for p in range(0, len(per_string), 37))
+
+
+def test_ids_of_other_types(spark):
+    rows = corpus(7)
+    number = {r[0]: f"id-{r[0]:06d}" for r in rows if r[0] is not None}
+    named = [(number.get(r[0]), *r[1:]) for r in rows]
+    found = suffix.digest(spark.createDataFrame(named, DOCS.replace("doc_id bigint", "doc_id string"))).collect()
+    want = suffix.digest(spark.createDataFrame(rows, DOCS)).collect()
+    show = lambda rows, name: sorted(repr((name(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in rows)
+    assert show(found, lambda x: x) == show(want, lambda x: number.get(x))
