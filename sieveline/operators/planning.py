@@ -73,3 +73,31 @@ def html_text(html: Column) -> Column:
     for pattern, to in ((r"(?i)<script[\s\S]*?</script>", " "), (r"(?i)<style[\s\S]*?</style>", " "), (r"<[^>]+>", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), (r"\s+", " ")):
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
+
+
+#: What read text is, in order: pattern, class, label (null: the text
+#: itself) and confidence; and classes of regions by words, in order.
+TEXT_KINDS = (
+    (r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "text", "email address", 0.95), (r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}", "text", "phone number", 0.9),
+    (r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "identifier", "card number", 0.9), (r"(?i)\b(?:acc(?:ount)?|id|no|number)[\s:#]*\d{5,}", "identifier", "account number", 0.8),
+    (r"(?i)^\s*(?:pay\s*now|submit|confirm|send|buy|purchase|checkout)", "payment-control", None, 0.85), (r"(?i)^\s*(?:sign\s*in|log\s*in|sign\s*up|register|subscribe|next|continue|ok|cancel)", "control", None, 0.8),
+    (r"\b\d{4}\s\d{4}\s\d{4}\b", "identifier", "identity number", 0.8), (r"\b[A-Z]{5}\d{4}[A-Z]\b", "identifier", "tax identifier", 0.85),
+)
+REGION_CLASSES = (("face", ("face",)), ("qr", ("qr", "barcode")), ("document", ("document", "card")), ("signature", ("signature",)), ("control", ("button", "control")), ("payment-control", ("payment", "pay")), ("text", ("text", "label")), ("image", ("image", "photo")))
+
+
+def text_kind(text: Column) -> Column:
+    """class, label and confidence of read text."""
+    bare = F.trim(text)
+    made = lambda c, label, n: F.struct(F.lit(c).alias("class"), (bare if label is None else F.lit(label)).alias("label"), F.lit(n).alias("confidence"))
+    out = F.struct(F.lit("text").alias("class"), F.trim(F.substring(text, 1, 50)).alias("label"), F.lit(0.5).alias("confidence"))
+    for pattern, c, label, n in reversed(TEXT_KINDS):
+        out = F.when(text.rlike(pattern), made(c, label, n)).otherwise(out)
+    return out
+
+
+def region_class(name: Column) -> Column:
+    out, low = F.lit("unknown"), F.lower(name)
+    for c, words in reversed(REGION_CLASSES):
+        out = F.when(any_of([F.contains(low, F.lit(w)) for w in words]), c).otherwise(out)
+    return out

@@ -191,7 +191,37 @@ def hint() -> Column:
     return out
 
 
+def actionability() -> Column:
+    """What an element of role, name, tag, t and the array ``can`` (its affordances)
+    is good for on the page itself."""
+    has = lambda what: F.array_contains("can", what)
+    flag = lambda name: F.col("t").rlike(rf"(?i)\s{name}(?=[\s=/>])")
+    role_ = F.col("role")
+    return (
+        F.when(flag("disabled") | flag("hidden"), "non-actionable").when(has("type") | role_.isin("textbox", "searchbox"), F.when(flag("readonly"), "readable").otherwise("typable"))
+        .when((role_ == "combobox") | has("select"), "selectable").when(has("click") | role_.isin("button", "link"), "clickable").when(has("scroll"), "scrollable")
+        .when(role_.isin("heading", "img") | (F.col("name") != ""), "readable").otherwise("unknown")
+    )
+
+
+def planner_view() -> dict[str, Column]:
+    """What a planner is told of an element: what it is good for, what may be done
+    with it, in order, and its part in an interaction."""
+    has = lambda what: F.array_contains("can", what)
+    role_, kind = F.col("role"), F.coalesce(F.lower(attribute("type")), F.lit(""))
+    good_for = F.when(has("click"), "clickable").when(has("type"), "typable").when(has("select"), "selectable").when(F.col("name") != "", "readable").otherwise("unknown")
+    rules = ((has("type"), "type_text"), (has("type"), "type_token"), (has("click") | role_.isin("button", "link"), "click"), (has("select") | (role_ == "combobox"), "select"), (has("focus") | has("type"), "focus"), (has("scroll"), "scroll"))
+    part = (
+        F.when((role_ == "searchbox") | (kind == "search"), "search_input").when(((role_ == "button") | (kind == "submit")) & F.col("landmark").eqNullSafe(F.lit("search")), "search_submit")
+        .when(role_.isin("option", "listitem"), "autocomplete_option").when((role_ == "textbox") & has("type"), "form_input").when(kind.isin("submit", "button") & (role_ == "button"), "form_submit")
+        .when(role_ == "link", "navigation_link").when(role_ == "button", "button").otherwise("generic")
+    )
+    return {"good_for": good_for, "supported": F.array_join(F.array_compact(F.array(*[F.when(rule, F.lit(what)) for rule, what in rules])), " "), "interaction": part}
+
+
 def described(pages: DataFrame) -> DataFrame:
-    """page_id, pre, end, depth, tag, role, name, landmark, path, affordances, hint."""
-    nodes = with_landmarks(with_ancestors(with_names(elements(pages), pages))).withColumn("role", role())
-    return nodes.select("page_id", "pre", "end", "depth", "tag", "role", "name", "landmark", "path", F.array_join(affordances(), " ").alias("affordances"), hint().alias("hint"))
+    """page_id, pre, end, depth, tag, role, name, landmark, path, affordances, hint,
+    actionability, and what a planner is told: good_for, supported, interaction."""
+    nodes = with_landmarks(with_ancestors(with_names(elements(pages), pages))).withColumn("role", role()).withColumn("can", affordances())
+    nodes = nodes.withColumns({"hint": hint(), "actionability": actionability(), **planner_view()}).withColumn("affordances", F.array_join("can", " "))
+    return nodes.drop("can", "t", "lo", "hi")

@@ -73,3 +73,16 @@ def element_names(spark: SparkSession, folder: str) -> DataFrame:
     pages = dealt(table(spark, folder, "pages"))
     nodes = tree.with_names(tree.elements(pages), pages).withColumn("role", tree.role())
     return nodes.select("page_id", "pre", "tag", "role", "name", F.array_join(tree.affordances(), " ").alias("affordances"), tree.hint().alias("hint"))
+
+
+_CAN = "CASE WHEN role IN ('button', 'link', 'checkbox', 'radio', 'slider') THEN ['click'] WHEN role = 'combobox' THEN ['click', 'select'] WHEN role IN ('textbox', 'searchbox') THEN ['type', 'focus'] WHEN tag IN ('a', 'button', 'input', 'select', 'textarea') THEN ['focus'] ELSE [] END"
+
+
+@QUERIES.add(f"""{_NODES}, r AS (SELECT *, {_ROLE} AS role, {_NAME} AS name FROM n), c AS (SELECT *, {_CAN} AS can FROM r)
+ SELECT page_id, pre, CASE WHEN list_contains(can, 'type') THEN 'typable' WHEN list_contains(can, 'select') THEN 'selectable' WHEN list_contains(can, 'click') THEN 'clickable' WHEN role IN ('heading', 'img') OR name <> '' THEN 'readable' ELSE 'unknown' END AS actionability,
+  CASE WHEN list_contains(can, 'click') THEN 'clickable' WHEN list_contains(can, 'type') THEN 'typable' WHEN name <> '' THEN 'readable' ELSE 'unknown' END AS good_for,
+  CASE WHEN list_contains(can, 'type') THEN 'type_text type_token focus' WHEN role = 'combobox' THEN 'click select' WHEN list_contains(can, 'click') THEN 'click' WHEN list_contains(can, 'focus') THEN 'focus' ELSE '' END AS supported,
+  CASE WHEN role = 'searchbox' THEN 'search_input' WHEN role IN ('option', 'listitem') THEN 'autocomplete_option' WHEN role = 'textbox' THEN 'form_input' WHEN role = 'link' THEN 'navigation_link' WHEN role = 'button' THEN 'button' ELSE 'generic' END AS interaction FROM c""")
+def element_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """What every element is good for, and what a planner is told of it."""
+    return tree.described(dealt(table(spark, folder, "pages"))).select("page_id", "pre", "actionability", "good_for", "supported", "interaction")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detectors, policy
+from ..operators import detectors, planning, policy
 from ..operators.detectors import detect
 from ..sources.tables import dealt, table
 from . import twins
@@ -117,3 +117,33 @@ def redaction_maps(spark: SparkSession, folder: str) -> DataFrame:
         "category", policy.lookup(policy.REDACTION_CATEGORY, c, F.lit("unknown")).alias("redaction"), policy.lookup(policy.REDACTION_SHAPE, c, F.lit("text")).alias("shape"),
         policy.lookup(policy.ABSTRACTION, c, F.concat(F.lit("["), c, F.lit(" value]"))).alias("wording"), "n",
     )
+
+
+#: Ten documents by number are an envelope: the first is the task, the others its nodes.
+_ENVELOPES = f"""SELECT envelope, blocked, CASE WHEN blocked THEN 'high' WHEN injected OR n > 5 THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'low' END AS risk, CAST(n AS BIGINT) AS n_redactions, CASE WHEN blocked THEN 0 ELSE n_nodes END AS n_nodes,
+  CASE WHEN blocked THEN '' ELSE task END AS sanitized_task, CASE WHEN blocked THEN '' ELSE nodes END AS nodes_sha256 FROM (
+ SELECT key // 10 AS envelope, first_block IS NOT NULL AS blocked, sum(CASE WHEN key <= coalesce(first_block, key) THEN n_redactions ELSE 0 END) AS n, count(*) FILTER (key % 10 <> 0) AS n_nodes, coalesce(max(CASE WHEN key % 10 = 0 THEN sanitized END), '') AS task,
+  coalesce(bool_or(key % 10 = 0 AND injected), false) AS injected, coalesce(sha256(string_agg(sha256(sanitized), ',' ORDER BY key) FILTER (key % 10 <> 0)), sha256('')) AS nodes
+ FROM (SELECT *, min(CASE WHEN blocked THEN key END) OVER (PARTITION BY key // 10) AS first_block FROM (SELECT s.*, {' OR '.join(f"contains(lower(d.text), '{p}')" for p in policy.INJECTION)} AS injected FROM ({twins.sanitized_sql()}) s JOIN documents d ON s.key = d.doc_id)) GROUP BY key // 10, first_block)"""
+
+
+@QUERIES.add(_ENVELOPES)
+def sanitized_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """A task and its nodes sanitized together: what is blocked ends the envelope."""
+    docs = documents(spark, folder)
+    rows = policy.sanitize(docs, "doc_id").join(docs.select(F.col("doc_id").alias("key"), planning.any_of([F.contains(F.lower("text"), F.lit(p)) for p in policy.INJECTION]).alias("injected")), "key")
+    rows = rows.withColumn("envelope", F.floor(F.col("key") / 10))
+    ends = rows.where("blocked").groupBy("envelope").agg(F.min("key").alias("first_block"))
+    task = F.col("key") % 10 == 0
+    # An envelope has nine nodes at most, so their hashes are a short list.
+    out = rows.join(ends, "envelope", "left").groupBy("envelope").agg(
+        F.max("first_block").isNotNull().alias("blocked"), F.sum(F.when(F.col("key") <= F.coalesce("first_block", "key"), F.col("n_redactions")).otherwise(0)).alias("n"), F.count(F.when(~task, 1)).alias("n_nodes"),
+        F.coalesce(F.max(F.when(task, F.col("sanitized"))), F.lit("")).alias("task"), F.coalesce(F.bool_or(task & F.col("injected")), F.lit(False)).alias("injected"),
+        F.array_sort(F.collect_list(F.when(~task, F.struct("key", F.sha2("sanitized", 256).alias("h"))))).alias("nodes"),
+    )
+    blocked = F.col("blocked")
+    risk = F.when(blocked | F.col("injected") | (F.col("n") > 5), "high").when(F.col("n") > 0, "medium").otherwise("low")
+    return out.select(
+        "envelope", "blocked", risk.alias("risk"), F.col("n").cast("bigint").alias("n_redactions"), F.when(blocked, 0).otherwise(F.col("n_nodes")).alias("n_nodes"), F.when(blocked, "").otherwise(F.col("task")).alias("sanitized_task"),
+        F.when(blocked, "").otherwise(F.sha2(F.array_join(F.transform("nodes", lambda x: x["h"]), ","), 256)).alias("nodes_sha256"),
+    )

@@ -129,3 +129,19 @@ def code_patterns(spark: SparkSession, folder: str) -> DataFrame:
 def last5_actions(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, folder, "events").select("event_id", F.row_number().over(w).cast("long").alias("step"), F.array_join(F.collect_list("event_type").over(w.rowsBetween(-4, 0)), ",").alias("last5"))
+
+
+_READ = ["mail a.b@x.org", "call 555-123-4567", "4111 1111 1111 1111", "account: 123456", " Pay now ", "Sign in", "id 1234 5678 9012", "ABCDE1234F", "plain words"]
+_KINDS = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {{'class': '{c}', 'label': {'trim(t)' if label is None else chr(39) + label + chr(39)}, 'confidence': {n}::DOUBLE}}" for p, c, label, n in planning.TEXT_KINDS) + " ELSE {'class': 'text', 'label': trim(left(t, 50)), 'confidence': 0.5::DOUBLE} END"
+_CLASSES = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{c}'" for c, words in planning.REGION_CLASSES) + " ELSE 'unknown' END"
+_NAMED = ["FaceBox", "barcode", "id card", "signature", "pay button", "payment", "label", "photo", "other"]
+
+
+@QUERIES.add(f"""SELECT event_id, k.class AS class, k.label AS label, k.confidence AS confidence, {_CLASSES} AS region FROM (SELECT event_id, {_KINDS} AS k, low FROM (
+ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type ELSE {_READ}[event_id % 9 + 1] || ' ' || event_type END AS t, lower({_NAMED}[event_id % 9 + 1] || ' ' || event_type) AS low FROM events))""")
+def text_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """What read text is, and the class of a named region."""
+    k = F.col("event_id")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % 9).cast("int"))
+    e = table(spark, folder, "events").select("event_id", F.when(k % 4 == 0, F.col("event_type")).otherwise(F.concat_ws(" ", pick(_READ), "event_type")).alias("t"), F.concat_ws(" ", pick(_NAMED), "event_type").alias("named"))
+    return e.withColumn("k", planning.text_kind(F.col("t"))).select("event_id", "k.class", "k.label", "k.confidence", planning.region_class(F.col("named")).alias("region"))

@@ -71,10 +71,11 @@ def _case(table: dict[str, str], default: str) -> str:
     return "CASE category " + " ".join(f"WHEN {_literal(k)} THEN {_literal(v)}" for k, v in table.items()) + f" ELSE {default} END"
 
 
-def sanitized_sql() -> str:
-    """The sanitizer for the remote recipient with unknown necessity."""
+def sanitized_sql(source: str = DOCUMENTS) -> str:
+    """The sanitizer for the remote recipient with unknown necessity, over key and
+    text of ``source``."""
     phrases = " OR ".join(f"contains(lower(text), {_literal(p)})" for p in INJECTION)
-    return detections_sql(DOCUMENTS) + f""",
+    return detections_sql(source) + f""",
 decided AS (SELECT *, CASE
     WHEN category IN ('credit-card', 'iban', 'ifsc', 'account-number') THEN 'OMIT'
     WHEN category IN ('email', 'phone') THEN 'ABSTRACT'

@@ -7,13 +7,14 @@ plan. Nations are the nodes of the scene.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import detectors, fusion, payloads, semantic, validation
+from ..operators import detectors, fusion, payloads, planning, semantic, validation
 from ..sources.tables import dealt, table
 from . import subjects, twins
 from .registry import Registry
+from .tasks import _keyword_sql
 
 QUERIES = Registry()
 NOW = "2024-06-01 00:00:00"
@@ -110,6 +111,43 @@ def forbidden_fields(spark: SparkSession, folder: str) -> DataFrame:
     return payloads.forbidden(nodes).select("item", F.translate(F.ltrim(F.col("place"), F.lit("/")), "/", ".").alias("path"))
 
 
+#: Kinds that change what is observed.
+CHANGING = ("click", "type_text", "type_token", "select", "submit")
+_SAYS = ["submit", "pay now", "delete", "send", "read more"]
+_RISKY = " OR ".join(f"({_keyword_sql(name).rsplit(' AS ', 1)[0]})" for name in planning.KEYWORDS)
+
+
+@QUERIES.add(f"""{_ACTIONS}, s AS (SELECT a.*, lower(n_name || ' ' || {_SAYS}[n_nationkey % 5 + 1]) AS t FROM a LEFT JOIN nation ON target = 'n' || n_nationkey),
+r AS (SELECT *, coalesce({_RISKY}, false) AS risky FROM s)
+SELECT nth, plan, kind, kind = 'type_token' OR (kind = 'click' AND risky) AS confirm, CASE WHEN kind IN ('scroll','focus','wait','request_observation','finish') THEN 'low' WHEN kind IN ('click','type_text','select') THEN 'medium' WHEN kind = 'type_token' THEN 'high' ELSE 'critical' END AS risk,
+ coalesce(sum(CASE WHEN kind IN ('click', 'type_text', 'type_token', 'select', 'submit') THEN 1 ELSE 0 END) OVER (PARTITION BY plan ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS executed FROM r""")
+def plan_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether an action needs a confirmation, its risk, and whether it is reached:
+    a plan ends with the first action that changes what is observed."""
+    says = F.get(F.array(*map(F.lit, _SAYS)), (F.col("n_nationkey") % 5).cast("int"))
+    targets = table(spark, folder, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("target"), F.lower(F.concat_ws(" ", "n_name", says)).alias("said"))
+    risky = F.lit(False)
+    for words in planning.KEYWORDS.values():
+        risky = risky | planning.names_keyword(F.col("said"), words)
+    actions = _actions(spark, folder).join(targets, "target", "left")
+    ends = actions.where(F.col("kind").isin(*CHANGING)).groupBy("plan").agg(F.min("nth").alias("last"))
+    confirm = (F.col("kind") == "type_token") | ((F.col("kind") == "click") & F.coalesce(risky, F.lit(False)))
+    return actions.join(ends, "plan", "left").select("nth", "plan", "kind", confirm.alias("confirm"), planning.action_risk(F.col("kind")).alias("risk"), F.coalesce(F.col("nth") <= F.col("last"), F.lit(True)).alias("executed"))
+
+
+@QUERIES.add(f"""{_ACTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY nth) AS i FROM a)
+SELECT plan, nth, kind, CASE WHEN id = ' ' THEN 'action-' || i ELSE id END AS id, nullif(target, '') AS target FROM r WHERE i <= 5 AND kind NOT IN ('navigate', 'eval') AND (coalesce(target, '') = '' OR found)""")
+def filtered_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """The actions that are taken from an answer: of its first five those of a known
+    kind and with a known target; unnamed ones are named by their place."""
+    # Spark cuts each plan to its first five before it deals rows to plans.
+    place = F.row_number().over(Window.partitionBy("plan").orderBy("nth"))
+    first = _actions(spark, folder).withColumn("i", place).where("i <= 5")
+    target = F.nullif("target", F.lit(""))
+    known = F.col("kind").isin(*validation.ALLOWED) & (target.isNull() | F.col("in_scene"))
+    return first.where(known).select("plan", "nth", "kind", F.when(F.col("id") == " ", F.concat(F.lit("action-"), F.col("i").cast("string"))).otherwise(F.col("id")).alias("id"), target.alias("target"))
+
+
 _SUBTYPES = "[" + ", ".join(f"'{x.subtype}'" for x in semantic.TAXONOMY) + "]"
 _FUSED = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql("doc_id", "documents").removeprefix("WITH ") + f""",
  fused AS (
