@@ -54,10 +54,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    Nulls in any column, empty and very long texts, repeated rows and clashing
+    names are treated as each stage's docstring says; an empty table passes through
+    all stages. A stage's files go once the next one is written, the last one's
+    when the application ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs
+    top = files.Path(at)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(top)
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before is not None:
+            system.delete(files.Path(before), True)
+        before = f"{at}/{name}"
     return docs
