@@ -10,8 +10,7 @@ TABLES = ("part", "events", "nation", "documents", "embeddings", "pages", "bench
 NAMES = (
     "pii_scan_documents", "sanitized_documents", "policy_matrix", "canary_join", "egress_verdict", "iou_top5", "nms_greedy", "mask_iou", "ctc_decode",
     "html_to_text", "search_query_extract", "target_risk_flags", "grant_redeem_outcomes", "latency_percentiles_floor", "semantic_detections", "scene_compaction",
-    "matched_entities", "gt_vs_detected_full_outer", "element_tree", "element_names", "schema_errors", "verify_payloads", "forbidden_fields", "hit_tests", "merged_blocks", "redacted_area", "stale_actions",
-    "trailing_json", "response_contents", "decoded_boxes", "resized_grids", "session_outcomes", "sanitized_envelopes", "hinted_detections", "plan_actions", "filtered_actions", "text_kinds", "detector_literals", "anchor_grid",
+    "matched_entities", "element_tree", "hit_tests", "stale_actions", "trailing_json", "session_outcomes", "plan_actions", "kept_boxes",
 )
 
 
