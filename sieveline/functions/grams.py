@@ -27,7 +27,7 @@ def with_run_hashes(df: DataFrame, name: str, text: str, size: int) -> DataFrame
 class SlotFilter:
     """A byte per slot, 1 where one of some hashes falls.
 
-    There are eight times as many slots as hashes, from ``LEAST_SLOTS`` to
+    There are 64 times as many slots as hashes, or more, from ``LEAST_SLOTS`` to
     ``MOST_SLOTS``: with very many hashes more gets through, and nothing is lost. At
     most one number a slot comes to the driver. The bytes go to the tasks as the
     value of a subquery, so that no plan spells them out; they can be asked in any
@@ -36,7 +36,7 @@ class SlotFilter:
 
     def __init__(self, hashes: DataFrame, column: str) -> None:
         known = hashes.select(F.col(column).alias("h")).where("h is not null")
-        self.size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * known.count()).bit_length()))
+        self.size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (64 * known.count()).bit_length()))
         slots = bytearray(self.size)
         for (slot,) in known.select(self._slot(F.col("h"))).distinct().collect():
             slots[slot] = 1
