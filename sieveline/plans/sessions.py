@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import quantiles
 from ..sources.tables import table
 from ..streaming import machine
 from .registry import Registry
@@ -107,18 +108,15 @@ def continuation_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.add("SELECT event_type AS stage, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles_ceil(spark: SparkSession, folder: str) -> DataFrame:
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return events(spark, folder).groupBy(F.col("event_type").alias("stage")).agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    rows = events(spark, folder).withColumnRenamed("event_type", "stage")
+    mean = rows.groupBy("stage").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return quantiles.ranked(rows, "stage", "value", {"p50": quantiles.nearest(0.5), "p95": quantiles.nearest(0.95)}).join(mean, "stage").select("stage", "p50", "p95", "mean", "n")
 
 
 @QUERIES.add("SELECT stage, max(CASE WHEN k = CAST(floor(n * 0.5) AS BIGINT) + 1 THEN value END) AS p50, max(CASE WHEN k = CAST(floor(n * 0.95) AS BIGINT) + 1 THEN value END) AS p95 FROM (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY stage")
 def latency_percentiles_floor(spark: SparkSession, folder: str) -> DataFrame:
-    """The element at floor(n p): values are counted first, so a group is never gathered."""
-    counts = events(spark, folder).groupBy(F.col("event_type").alias("stage"), "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("stage").orderBy("value")
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("stage")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("value")))
-    return ranked.groupBy("stage").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    rows = events(spark, folder).withColumnRenamed("event_type", "stage")
+    return quantiles.ranked(rows, "stage", "value", {"p50": quantiles.at_floor(0.5), "p95": quantiles.at_floor(0.95)})
 
 
 @QUERIES.add("""WITH p AS (SELECT d.doc_id, l.quality, (length(text) >= 400 AND NOT regexp_matches(text, '[#*$%&|<>]')) AS flagged FROM documents d JOIN labels l USING (doc_id)),

@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import asof, boxes, matching
+from sieveline.operators import asof, boxes, matching, quantiles
 
 
 def sequential(truths, findings, fits):
@@ -93,3 +94,13 @@ def test_areas_and_stabbing(spark):
     for h in hits:
         over = [(z, k) for sc, k, u, v, w, hh, z in rows if sc == h.scene and u <= h.px < u + w and v <= h.py < v + hh]
         assert (h.top and h.top.b_id) == (max(over)[1] if over else None)
+
+
+def test_quantiles(spark):
+    r = random.Random(8)
+    rows = [(g, float(r.choice([r.randint(0, 5), r.gauss(0, 1), 1e9])) if g < 3 else 7.0) for g in range(4) for _ in range(r.randint(1, 90))] + [(9, None)]
+    ranks = {"a": quantiles.nearest(0.5), "b": quantiles.nearest(0.0), "c": quantiles.nearest(1.0), "d": quantiles.at_floor(0.9)}
+    for x in quantiles.ranked(spark.createDataFrame(rows, "g int, v double"), "g", "v", ranks).collect():
+        own = sorted(v for g, v in rows if g == x.g)
+        n = len(own)
+        assert (x.a, x.b, x.c, x.d) == (own[math.ceil(n * 0.5) - 1], own[0], own[-1], own[math.floor(n * 0.9)])
