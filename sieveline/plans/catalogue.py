@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import accuracy, elements, geometry, layout, outgoing, payloads, privacy, responses, scenes, sessions, subjects, tasks, validation
+from . import accuracy, elements, geometry, layout, outgoing, payloads, privacy, reconciliation, responses, scenes, sessions, subjects, tasks, validation
 from .registry import Query
 
-MODULES = (privacy, layout, outgoing, tasks, sessions, subjects, scenes, validation, accuracy, elements, payloads, geometry, responses)
+MODULES = (privacy, layout, outgoing, tasks, sessions, subjects, scenes, validation, accuracy, elements, payloads, geometry, responses, reconciliation)
 
 
 def queries() -> dict[str, Query]:

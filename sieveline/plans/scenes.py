@@ -98,7 +98,15 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@QUERIES.add()
+def similarity_sql(a: str, b: str) -> str:
+    """The same by a fold over the characters of ``a``: each makes a new row of
+    lengths from the one before, as a running greatest value."""
+    row = f"list_prepend(0, [list_max([greatest(row[k + 1], row[k] + CASE WHEN ord({b}[k]) = x[1] THEN 1 ELSE 0 END) FOR k IN range(1, j + 1)]) FOR j IN range(1, length({b}) + 1)])"
+    rows = f"list_prepend([0 FOR j IN range(0, length({b}) + 1)], [[ord({a}[i])] FOR i IN range(1, length({a}) + 1)])"
+    return f"CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN 0 WHEN {a} = {b} THEN 1 ELSE list_reduce({rows}, lambda row, x: {row})[length({b}) + 1] / greatest(length({a}), length({b})) END"
+
+
+@QUERIES.add(f"SELECT p_partkey, round({similarity_sql('p_name', 'p_type')}, 6) AS similarity FROM part")
 def lcs_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.round(common_subsequence("p_name", "p_type"), 6).alias("similarity"))
 
