@@ -182,19 +182,21 @@ def sanitized_by_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 _FLAGS = twins.detections_sql(twins.DOCUMENTS) + ", " + subjects.detections_sql("doc_id", "documents").removeprefix("WITH ") + """,
  f AS (SELECT doc_id, toxic = 1 AS truth, doc_id IN (SELECT key FROM det) AS found, doc_id IN (SELECT key FROM sem WHERE confidence >= 0.75 OR risk IN ('high', 'critical')) AS named FROM documents JOIN labels USING (doc_id)),
- g AS (SELECT 'A' AS config, truth, found AS flag FROM f UNION ALL SELECT 'B', truth, found OR named FROM f)"""
+ g AS (SELECT 'A' AS config, truth, found AS flag FROM f UNION ALL SELECT 'B', truth, found OR named FROM f UNION ALL SELECT 'C', truth, found OR named FROM f)"""
 
 
 @QUERIES.add(f"{_FLAGS} SELECT config, count(*) FILTER (flag AND truth) AS tp, count(*) FILTER (flag AND NOT truth) AS fp, count(*) FILTER (NOT flag AND truth) AS fn, count(*) FILTER (NOT flag AND NOT truth) AS tn FROM g GROUP BY config")
 def confusion_by_configuration(spark: SparkSession, folder: str) -> DataFrame:
-    """Detectors alone (A) and with context scores (B) against the toxic label."""
+    """Detectors alone (A), with context scores (B), and with a further detector that
+    is there but never ready (C), against the toxic label."""
     docs = dealt(table(spark, folder, "documents"))
     marked = lambda df, name: df.select(F.col("key").alias("doc_id")).distinct().withColumn(name, F.lit(True))
     found = marked(detectors.detect(docs, "doc_id"), "found")
     named = marked(semantic.detections(docs, "doc_id").where((F.col("confidence") >= 0.75) | F.col("risk").isin("high", "critical")), "named")
     yes = lambda c: F.coalesce(c, F.lit(False))
     f = table(spark, folder, "labels").join(docs.select("doc_id"), "doc_id").join(found, "doc_id", "left").join(named, "doc_id", "left")
-    flags = F.array(F.struct(F.lit("A").alias("config"), yes(F.col("found")).alias("flag")), F.struct(F.lit("B").alias("config"), (yes(F.col("found")) | yes(F.col("named"))).alias("flag")))
+    either = yes(F.col("found")) | yes(F.col("named"))
+    flags = F.array(*[F.struct(F.lit(config).alias("config"), flag.alias("flag")) for config, flag in (("A", yes(F.col("found"))), ("B", either), ("C", either))])
     g = f.select((F.col("toxic") == 1).alias("truth"), F.explode(flags).alias("g")).select("truth", "g.*")
     n = lambda flag, truth: F.count_if((F.col("flag") == flag) & (F.col("truth") == truth))
     return g.groupBy("config").agg(n(True, True).alias("tp"), n(True, False).alias("fp"), n(False, True).alias("fn"), n(False, False).alias("tn"))
