@@ -6,7 +6,7 @@ hundredth key lies over the whole scene.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, boxes
@@ -97,6 +97,35 @@ def redacted_area(spark: SparkSession, folder: str) -> DataFrame:
     return a.select("scene", "summed", "united", share("summed").alias("covered_percent"), share("united").alias("masked_percent"))
 
 
+_PX = "SELECT DISTINCT scene, x, y FROM (SELECT scene, unnest(range(CAST(greatest({p}_x, 0) AS BIGINT), CAST(least({p}_x + {p}_w, 1200) AS BIGINT))) AS x, greatest({p}_y, 0) AS y0, least({p}_y + {p}_h, 800) AS y1 FROM {p}), LATERAL (SELECT unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS y)"
+
+
+@QUERIES.add(f"""WITH r AS ({_made_sql('r', REGION)}), n AS ({_made_sql('n', NODE)}), a AS ({_PX.format(p='r')}), b AS ({_PX.format(p='n')}),
+c AS (SELECT coalesce(a.scene, b.scene) AS scene, count(a.x) AS planned, count(b.x) AS truth, count(CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN 1 END) AS both_ FROM a FULL JOIN b ON a.scene = b.scene AND a.x = b.x AND a.y = b.y GROUP BY 1)
+SELECT scene, round(both_ / (planned + truth - both_), 6) AS iou, round((planned - both_) / {WIDTH * HEIGHT}, 6) AS over, round((truth - both_) / {WIDTH * HEIGHT}, 6) AS under_, round(({WIDTH * HEIGHT} - truth - (planned - both_)) / greatest(1, {WIDTH * HEIGHT} - truth), 6) AS utility FROM c""")
+def mask_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Planned masks against true ones: shares of pixels by the areas of both and of
+    their union."""
+    side = lambda p, m: _made(spark, folder, p, m).select("scene", *[F.col(f"{p}_{c}").alias(f"r_{c}") for c in "xywh"])
+    planned, truth = side("r", REGION), side("n", NODE)
+    area = lambda df, name: boxes.areas(df, WIDTH, HEIGHT).select("scene", F.col("united").alias(name))
+    a = area(planned, "p").join(area(truth, "t"), "scene", "full").join(area(planned.unionByName(truth), "u"), "scene")
+    p, t = F.coalesce("p", F.lit(0.0)), F.coalesce("t", F.lit(0.0))
+    both, whole = p + t - F.col("u"), float(WIDTH * HEIGHT)
+    return a.select("scene", F.round(both / F.col("u"), 6).alias("iou"), F.round((p - both) / whole, 6).alias("over"), F.round((t - both) / whole, 6).alias("under_"), F.round((whole - t - (p - both)) / F.greatest(F.lit(1.0), whole - t), 6).alias("utility"))
+
+
+@QUERIES.add(f"""WITH r AS ({_made_sql('r', REGION)}) SELECT scene, r_id, CASE r_id % 3 WHEN 0 THEN 'FACE_' WHEN 1 THEN 'PII_' ELSE 'QR_' END || lpad(CAST(row_number() OVER (PARTITION BY scene, r_id % 3 ORDER BY r_id) AS VARCHAR), CAST(greatest(2, length(CAST(row_number() OVER (PARTITION BY scene, r_id % 3 ORDER BY r_id) AS VARCHAR))) AS INTEGER), '0') AS token,
+ CASE r_id % 3 WHEN 0 THEN 'biometric' WHEN 1 THEN 'text-pii' ELSE 'credential' END AS category FROM r""")
+def redaction_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Faces, texts and codes of a scene numbered by kind."""
+    r = _made(spark, folder, "r", REGION).select("scene", "r_id")
+    kind = (F.col("r_id") % 3).cast("int")
+    k = F.row_number().over(Window.partitionBy("scene", kind).orderBy("r_id")).cast("string")
+    name = lambda values: F.get(F.array(*map(F.lit, values)), kind)
+    return r.select("scene", "r_id", F.concat(name(("FACE_", "PII_", "QR_")), F.when(F.length(k) < 2, F.lpad(k, 2, "0")).otherwise(k)).alias("token"), name(("biometric", "text-pii", "credential")).alias("category"))
+
+
 #: Events are observations of a target (every third) or actions on one.
 _FRESH = """WITH e AS (SELECT event_id AS k, user_id, ts, 'n' || (event_id % 12) AS target, event_id % 3 = 0 AS seen, ['click','focus','scroll','type_text','wait'][event_id % 5 + 1] AS kind, event_type FROM events),
 a AS (SELECT k, user_id, ts, target, kind, CASE WHEN k % 19 = 1 THEN 'o0' ELSE 'o1' END AS plan, CASE WHEN k % 23 = 1 THEN '' ELSE 's' || user_id END AS session, 'g' || (k // 5000) AS gen, event_type AS name, CASE WHEN k % 29 = 1 THEN 2 ELSE 1 END AS frame, k % 9 AS x FROM e WHERE NOT seen),

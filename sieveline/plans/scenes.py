@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import checksums
-from ..operators import scene
+from ..operators import grids, scene
 from ..sources.tables import table
 from .layout import PARTS
 from .registry import Registry
@@ -111,35 +110,11 @@ def lcs_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.round(common_subsequence("p_name", "p_type"), 6).alias("similarity"))
 
 
-@QUERIES.add()
+@QUERIES.add("""WITH RECURSIVE o AS (SELECT vec_id, i - 1 AS c, CAST(embedding[i] AS DOUBLE) AS p FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) // 8 * 8 + 1)) AS i) WHERE CAST(embedding[i] AS DOUBLE) > 0.1::DOUBLE),
+reach(vec_id, a, b) AS (SELECT vec_id, c, c FROM o UNION SELECT r.vec_id, r.a, o.c FROM reach r JOIN o ON o.vec_id = r.vec_id AND abs(o.c - r.b) IN (1, 8)),
+k AS (SELECT o.vec_id, o.c, o.p, min(a) AS component FROM o JOIN reach r ON r.vec_id = o.vec_id AND r.b = o.c GROUP BY ALL)
+SELECT * FROM (SELECT vec_id, component, count(*) AS cells, min(c % 8) AS x0, min(c // 8) AS y0, max(c % 8) AS x1, max(c // 8) AS y1, round(avg(p), 6) AS mean FROM k GROUP BY vec_id, component) WHERE (x1 - x0 + 1) * (y1 - y0 + 1) >= 3 AND mean >= 0.14""")
 def connected_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Four-neighbour components of thresholded score vectors, taken as grids of
-    eight columns: vec_id, component, cells, x0, y0, x1, y1."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            rows = []
-            for vec, values in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-                v = np.array(values.as_py() or [], float)
-                on = {(i // 8, i % 8) for i in np.flatnonzero(v[: len(v) // 8 * 8] > 0.1).tolist()}
-                k = 0
-                for at in sorted(on):
-                    if at not in on:
-                        continue
-                    todo, found = [at], []
-                    on.discard(at)
-                    while todo:
-                        y, x = todo.pop()
-                        found.append((y, x))
-                        for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                            if q in on:
-                                on.discard(q)
-                                todo.append(q)
-                    ys, xs = zip(*found, strict=True)
-                    rows.append((vec, k, len(found), min(xs), min(ys), max(xs), max(ys)))
-                    k += 1
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "component", "cells", "x0", "y0", "x1", "y1"])
-
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").cast("long"), "embedding")
-    return rows.mapInArrow(run, "vec_id bigint, component bigint, cells bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    """Components of vectors as grids of eight columns."""
+    found = grids.components(table(spark, folder, "embeddings").withColumn("vec_id", F.col("vec_id").cast("long")), "vec_id", "embedding", 8, 0.1, 3, 0.14)
+    return found.withColumn("mean", F.round("mean", 6))
