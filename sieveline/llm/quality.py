@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, space_words, with_run_hashes
+from .common import materialize, materialize_counted, space_words, with_run_hashes
 
 REPEAT_WINDOW_STEPS = 3  # windows of 2 ** 3 = 8 words
 #: Steps of the grid on which vectors lie, per unit; steps of the grid of
@@ -102,68 +102,85 @@ def _group(level: int) -> Column:
     return F.to_json(F.struct(*LEVELS[level]))
 
 
-def _sums(rows: DataFrame, *by: str) -> DataFrame:
-    """Per group: n, and the sums s of the vectors and p of their products."""
+#: Names of a group's sums, of an estimate, and of its parent's one beside it.
+SUMS = ("n", *[f"s{i}" for i in range(4)], *[f"p{i}{j}" for i, j in TRIANGLE])
+MOMENTS = (*[f"m{i}" for i in range(4)], *[f"c{i}{j}" for i, j in TRIANGLE])
+ESTIMATE = (*MOMENTS, *[f"l{i}{j}" for i, j in TRIANGLE], "logdet")
+PRIOR = tuple(f"prior_{c}" for c in MOMENTS)
+
+
+def _sum_columns() -> list[Column]:
+    """n, and the sums s of the vectors and p of their products."""
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(DIMS)]
     products = [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p{i}{j}") for i, j in TRIANGLE]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    return [F.count(F.lit(1)).alias("n"), *sums, *products]
+
+
+def _with_prior(groups: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """``groups`` with the moments of their parents' estimates, if there are any."""
+    if prior is None:
+        return groups
+    return groups.join(prior.select(F.col("group").alias("parent"), *[F.col(c).alias(p) for c, p in zip(MOMENTS, PRIOR, strict=True)]), "parent")
 
 
-def _estimate(sums: DataFrame, prior: DataFrame | None, settings: Robust, factor: float) -> DataFrame:
-    """From sums by group and start: centre m, spread c, its root l (Cholesky)
-    and logdet. ``prior`` has the m and c of the groups' parents."""
+def _estimate(sums: DataFrame, settings: Robust, factor: float) -> DataFrame:
+    """The sums replaced by centre m, spread c, its root l (Cholesky) and logdet.
+    Where parents' moments stand beside them, those count too."""
     n = F.col("n").cast("double")
     mean = [F.col(f"s{i}") / n for i in range(4)]
     floors = {(i, j): F.lit((FLOORS[i] * GRID) ** 2 if i == j else 0.0) for i, j in TRIANGLE}
     spread = {(i, j): (F.col(f"p{i}{j}") / n - mean[i] * mean[j]) * factor + floors[i, j] for i, j in TRIANGLE}
-    keys = ["group", "start", "parent"]
-    if prior is None:
-        found = sums.select(*keys, *[mean[i].alias(f"m{i}") for i in range(4)], *[spread[i, j].alias(f"c{i}{j}") for i, j in TRIANGLE])
-    else:
-        # The moments of the group's rows mixed with ``prior`` rows of the parent.
-        before = prior.select(F.col("group").alias("parent"), *[F.col(f"m{i}").alias(f"q{i}") for i in range(4)], *[F.col(f"c{i}{j}").alias(f"r{i}{j}") for i, j in TRIANGLE])
-        w = n / (n + settings.prior)
-        off = [mean[i] - F.col(f"q{i}") for i in range(4)]
-        found = sums.join(before, "parent").select(
-            *keys, *[(w * mean[i] + (1 - w) * F.col(f"q{i}")).alias(f"m{i}") for i in range(4)],
-            *[(w * spread[i, j] + (1 - w) * F.col(f"r{i}{j}") + w * (1 - w) * off[i] * off[j]).alias(f"c{i}{j}") for i, j in TRIANGLE],
-        )
-    return _rooted(found)
+    rest = [c for c in sums.columns if c not in SUMS]
+    if PRIOR[0] not in rest:
+        return _rooted(sums.select(*rest, *[mean[i].alias(f"m{i}") for i in range(4)], *[spread[i, j].alias(f"c{i}{j}") for i, j in TRIANGLE]))
+    # The moments of the group's rows mixed with ``prior`` rows of the parent.
+    w = n / (n + settings.prior)
+    off = [mean[i] - F.col(f"prior_m{i}") for i in range(4)]
+    return _rooted(sums.select(
+        *rest, *[(w * mean[i] + (1 - w) * F.col(f"prior_m{i}")).alias(f"m{i}") for i in range(4)],
+        *[(w * spread[i, j] + (1 - w) * F.col(f"prior_c{i}{j}") + w * (1 - w) * off[i] * off[j]).alias(f"c{i}{j}") for i, j in TRIANGLE],
+    ))
 
 
 def _rooted(found: DataFrame) -> DataFrame:
-    """Adds the root l of the spread c, and logdet."""
+    """Adds the root l of the spread c, and logdet. Each column names earlier ones
+    of the same select, so the plan is analysed once and not once a column."""
+    root = []
     for i, j in TRIANGLE:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        found = found.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return found.withColumn("logdet", 2 * F.log(F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")))
+        root.append((F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}")).alias(f"l{i}{j}"))
+    return found.select("*", *root, (2 * F.log(F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33"))).alias("logdet"))
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
     """``rows`` with d2, their squared distance, and ``more`` of the estimate."""
     joined = rows.join(estimate.select("group", *more, *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i, j in TRIANGLE]), "group")
     total: Column = F.lit(0.0)
+    solved = []
     for i, x in enumerate(DIMS):
         rest = F.col(x) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+        solved.append((rest / F.col(f"l{i}{i}")).alias(f"y{i}"))
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return joined.withColumn("d2", total).select(*rows.columns, "d2", *more)
+    return joined.select("*", *solved).select(*rows.columns, total.alias("d2"), *more)
 
 
 def _starts(rows: DataFrame, prior: DataFrame | None, settings: Robust) -> DataFrame:
     """Starts without a draw: medians with the floors, the moments of all of a
     group's rows, and its parent's estimate."""
-    medians = rows.groupBy("group", "parent").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(DIMS)])
+    medians = [F.percentile(x, F.lit(0.5)).alias(f"median{i}") for i, x in enumerate(DIMS)]
+    groups = materialize(_with_prior(rows.groupBy("group", "parent").agg(*medians, *_sum_columns()), prior), "groups")
+    keys = ["group", "parent", *[c for c in groups.columns if c in PRIOR]]
     spread = {f"c{i}{j}": F.lit((FLOORS[i] * GRID) ** 2 if i == j else 0.0) for i, j in TRIANGLE}
-    starts = _rooted(medians.withColumns(spread | {"start": F.lit("medians")}))
-    starts = starts.unionByName(_estimate(_sums(rows.withColumn("start", F.lit("moments")), "group", "start", "parent"), prior, settings, 1.0))
+    middle = groups.select(*keys, *[F.col(f"median{i}").alias(f"m{i}") for i in range(4)]).withColumns(spread)
+    starts = _rooted(middle).withColumn("start", F.lit("medians"))
+    starts = starts.unionByName(_estimate(groups.select(*keys, *SUMS), settings, 1.0).withColumn("start", F.lit("moments")))
     if prior is not None:
-        theirs = rows.select("group", "parent").distinct().join(prior.withColumnRenamed("group", "parent").drop("start"), "parent").withColumn("start", F.lit("parent"))
-        starts = starts.unionByName(theirs.select(starts.columns))
+        theirs = groups.select(*keys, *[F.col(p).alias(c) for c, p in zip(MOMENTS, PRIOR, strict=True)])
+        starts = starts.unionByName(_rooted(theirs).withColumn("start", F.lit("parent")))
     return starts
 
 
@@ -171,36 +188,46 @@ def _core(far: DataFrame, settings: Robust) -> DataFrame:
     """Sums of the nearest rows of every group and start. Distances are binned
     by their logarithm, so that all rows pass once and a group leaves a few
     hundred sums; the bin in which the core is reached belongs to it."""
-    binned = _sums(far.withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2")))), "group", "parent", "start", "bin")
+    binned = far.withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2")))).groupBy("group", "start", "bin").agg(*_sum_columns())
     by = Window.partitionBy("group", "start")
     nearer = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     core = binned.withColumn("nearer", nearer).withColumn("all", F.sum("n").over(by)).where(F.col("nearer") < settings.core * F.col("all"))
-    names = ["n", *[f"s{i}" for i in range(4)], *[f"p{i}{j}" for i, j in TRIANGLE]]
-    return core.groupBy("group", "parent", "start").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in names])
+    return core.groupBy("group", "start").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in SUMS])
 
 
 def least_determinants(rows: DataFrame, prior: DataFrame | None, settings: Robust = Robust()) -> DataFrame:
     """Per group of ``rows`` (group, parent and the vectors) the estimate whose
-    core has the least determinant, over all starts, then weighted once more."""
+    core has the least determinant, over all starts, then weighted once more.
+
+    A round is one query with one scan of the rows. What it compares with goes
+    along by a merge join on the keys its sums are dealt by already, and whether
+    any start is still open is counted as it is written: the driver plans and
+    broadcasts for every round, and that is what its memory goes into.
+    """
     open_ = materialize(_starts(rows, prior, settings).withColumn("logdet", F.lit(float("inf"))), "starts")
+    carried = [c for c in open_.columns if c not in ESTIMATE]
     ended = []
     while True:
-        before = open_.select("group", "start", *[F.col(c).alias(f"o_{c}") for c in open_.columns if c not in ("group", "start", "parent")])
-        new = _estimate(_core(_with_distance(rows, open_.drop("parent"), "start"), settings), prior, settings, settings.core_factor).join(before, ["group", "start"])
-        new = materialize(new.withColumn("better", F.col("logdet") < F.col("o_logdet") - settings.gain), "steps")
-        names = [c for c in open_.columns if c not in ("group", "start", "parent")]
-        ended.append(new.where("not better").select("group", "parent", *[F.col(f"o_{c}").alias(c) for c in names]))
-        open_ = new.where("better").select(*open_.columns)
-        if open_.isEmpty():
+        before = open_.select(*carried, *[F.col(c).alias(f"o_{c}") for c in ESTIMATE])
+        core = _core(_with_distance(rows.select("group", *DIMS), open_, "start"), settings)
+        new = _estimate(core.join(before.hint("merge"), ["group", "start"]), settings, settings.core_factor)
+        new = new.withColumn("better", F.col("logdet") < F.col("o_logdet") - settings.gain)
+        new, better = materialize_counted(new, "steps", F.col("better"))
+        ended.append(new.where("not better").select("group", *[c for c in carried if c in ("parent", *PRIOR)], *[F.col(f"o_{c}").alias(c) for c in ESTIMATE]))
+        if not better:
             break
+        open_ = new.where("better").select(*open_.columns)
     all_ = ended[0]
     for more in ended[1:]:
         all_ = all_.unionByName(more)
-    best = materialize(all_.groupBy("group").agg(F.min_by(F.struct(*[c for c in all_.columns if c not in ("group", "parent")]), "logdet").alias("b")).select("group", "b.*"), "best")
-    near = _with_distance(rows, best).where(F.col("d2") <= settings.weight_cut).withColumn("start", F.lit("weighted"))
-    final = _estimate(_sums(near, "group", "parent", "start"), prior, settings, 1.0).drop("parent", "start")
+    least = F.min_by(F.struct(*[c for c in all_.columns if c != "group"]), "logdet")
+    best = materialize(all_.groupBy("group").agg(least.alias("b")).select("group", "b.*"), "best")
+    near = _with_distance(rows.select("group", *DIMS), best).where(F.col("d2") <= settings.weight_cut)
+    core = best.select("group", *[c for c in best.columns if c in PRIOR], *[F.col(c).alias(f"o_{c}") for c in ESTIMATE])
+    found = _estimate(core.hint("merge").join(near.groupBy("group").agg(*_sum_columns()), "group", "left"), settings, 1.0)
     # A group none of whose rows is near keeps the estimate of its core.
-    return materialize(final.unionByName(best.join(final, "group", "left_anti").select(final.columns)), "estimate")
+    none = F.col("m0").isNull()
+    return materialize(found.select("group", *[F.when(none, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE]), "estimate")
 
 
 def outliers(stats: DataFrame, settings: Robust = Robust()) -> DataFrame:

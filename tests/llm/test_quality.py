@@ -115,3 +115,15 @@ def test_edges(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_statistics(text)[:5]
     assert quality.quality(spark.createDataFrame([], DOCS)).count() == 0
     assert quality.keep_good(spark.createDataFrame(rows, DOCS)).columns == ["doc_id", "text", "lang", "source", "d2"]
+
+
+def test_a_round_is_one_query(spark, monkeypatch):
+    """What the driver plans and broadcasts for every round goes into its memory."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    rounds, counted = [], quality.materialize_counted
+    monkeypatch.setattr(quality, "materialize_counted", lambda *a: rounds.append(1) or counted(*a))
+    before = store.executionsCount()
+    found = quality.quality(spark.createDataFrame(corpus(2, 300), DOCS))
+    # Beside the rounds: the vectors, and of each level groups, starts, best and estimate.
+    assert store.executionsCount() - before == len(rounds) + 1 + 4 * len(quality.LEVELS)
+    assert len(rounds) > 4 and found.count() == 300
