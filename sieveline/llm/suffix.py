@@ -80,6 +80,39 @@ def _is_smaller(t: np.ndarray) -> np.ndarray:
     return sign[decided[np.searchsorted(decided, np.arange(len(t)))]] > 0
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """The dense rank of each value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    ranks = np.empty(len(x), np.uint64)
+    ranks[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+    return ranks
+
+
+def _sorted(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """``places`` in the order of the ``depth`` bytes there at least. All are
+    sorted by eight bytes; only those still equal to another are by the next."""
+    keys = words[places]
+    order = np.argsort(keys)
+    places, keys = places[order], keys[order]
+    at = np.arange(len(places))
+    group = np.cumsum(np.concatenate((np.zeros(min(1, len(at)), bool), keys[1:] != keys[:-1])))
+    for k in range(8, depth, 8):
+        # Groups are runs of ``at``; those of one suffix are in place.
+        tied = np.concatenate((group[1:] == group[:-1], [False])) if len(at) else np.empty(0, bool)
+        tied[1:] |= tied[:-1].copy()
+        at, group = at[tied], group[tied]
+        if not len(at):
+            break
+        mine = places[at]
+        # Group and rank are below 2**32 each, since a block's bytes are.
+        keys = (group.astype(np.uint64) << np.uint64(32)) | _ranks(words[mine + k])
+        order = np.argsort(keys)
+        places[at], keys = mine[order], keys[order]
+        group = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
+    return places
+
+
 def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes at least.
 
@@ -92,7 +125,7 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     padded = np.pad(t, (0, depth + 16))
     words = _words(padded, big=True)
     direct = np.flatnonzero(smaller)
-    direct = direct[np.lexsort([words[direct + k] for k in range((depth + 7) // 8 * 8 - 8, -1, -8)])]
+    direct = _sorted(words, direct, depth)
     counts = np.bincount(t, minlength=256)
     end = np.cumsum(counts)
     start = end - counts
@@ -140,10 +173,11 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tupl
     sa = suffix_array(t, length)
     words = _words(np.pad(t, (0, length + 16)))
     # Common prefixes of neighbours, as far as they matter.
-    same = np.ones(len(sa) - 1, bool)
+    same = np.zeros(len(sa) - 1, bool)
+    at = np.arange(len(sa) - 1)
     for k in [*range(0, length - 8, 8), length - 8]:
-        w = words[sa + k]
-        same &= w[1:] == w[:-1]
+        at = at[words[sa[at] + k] == words[sa[at + 1] + k]]
+    same[at] = True
     sa_inside = inside[sa]
     group = np.concatenate(([0], np.cumsum(~same)))[sa_inside]
     order = sa[sa_inside]

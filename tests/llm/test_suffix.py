@@ -103,3 +103,20 @@ def test_ids_of_other_types(spark):
     want = suffix.digest(spark.createDataFrame(rows, DOCS)).collect()
     show = lambda rows, name: sorted(repr((name(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in rows)
     assert show(found, lambda x: x) == show(want, lambda x: number.get(x))
+
+
+def test_only_ties_are_sorted_again(monkeypatch):
+    r = random.Random(5)
+    ranked, ranks = [], suffix._ranks
+    monkeypatch.setattr(suffix, "_ranks", lambda x: ranked.append(len(x)) or ranks(x))
+    for alphabet in (b"a", b"ab", b"\x00\xff", bytes(range(256))):
+        text = bytes(r.choices(alphabet, k=400))
+        padded = np.frombuffer(text + bytes(80), np.uint8)
+        for places in (np.arange(400), np.array([7]), np.arange(0)):
+            ranked.clear()
+            found = suffix._sorted(suffix._words(padded, big=True), places.copy(), 50)
+            keys = [padded[i : i + 56].tobytes() for i in found]
+            assert keys == sorted(keys) and sorted(found) == places.tolist()
+        ranked.clear()
+        suffix._sorted(suffix._words(padded, big=True), np.arange(300), 50)
+        assert (sum(ranked) == 0) == (len(alphabet) == 256)
