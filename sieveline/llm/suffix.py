@@ -2,10 +2,13 @@
 
 A string of ``length`` bytes that two documents share contains an anchor: the
 ``GRAM`` bytes in it with the smallest hash, which both documents choose alike.
-Anchors met in one document only are dropped by an aggregate. The strings of
-the others are cut out in pieces and dealt to blocks of bounded size; a block's suffix array is sorted in two stages, and equal strings are
-neighbours whose common prefix is long enough. Groups larger than a block are
-split, and the strings that are new in each part are compared by an aggregate.
+Anchors are dealt to buckets by their hash; those met in one document only are
+dropped there, and the others go to the groups of texts that have them. They
+travel as arrays, so no row is made for an anchor. The strings of shared anchors
+are cut out in pieces and dealt to blocks of bounded size; a block's suffix array
+is sorted in two stages, and equal strings are neighbours whose common prefix is
+long enough. Groups larger than a block are split, and the strings that are new in
+each part are compared by an aggregate.
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from .common import materialize
 LENGTH, GRAM = 50, 20
 #: Bytes of a text whose anchors are sought at a time, string starts in a piece,
 #: bytes beyond which a group is split, and of groups that are pooled in a block.
-CHUNK, PIECE, BLOCK, POOL = 1 << 20, 1 << 17, 1 << 22, 1 << 20
+CHUNK, PIECE, BLOCK, POOL = 1 << 18, 1 << 17, 1 << 22, 1 << 20
+#: Bytes of text behind a bucket of anchors and in a group of texts, anchors that
+#: are sorted at a time, and rows of one anchor among these up to which each goes
+#: to its own group (a quarter of the groups, if that is more).
+BUCKET, GROUP, FLUSH, FEW = 1 << 24, 1 << 23, 1 << 20, 64
 #: What a row without doc_id is ordered as: behind all others.
 LAST = 2**63 - 1
 
@@ -37,12 +44,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray, big: bool = False) -> np.ndarray:
     """The eight bytes at each place as a number."""
-    w, shift = data.astype(np.uint64), 8
-    for width in (1, 2, 4):
-        low, high = (w[width:], w[:-width]) if big else (w[:-width], w[width:])
-        w = low | (high << np.uint64(shift))
-        shift *= 2
-    return w
+    data = np.ascontiguousarray(data)
+    return np.ndarray(max(0, len(data) - 7), ">u8" if big else "<u8", data, strides=(1,)).astype(np.uint64)
 
 
 def _slide(x: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
@@ -57,27 +60,69 @@ def least_hashes(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.nd
     """For each string of ``length`` bytes the smallest hash of its grams: the
     first string's place, and the hashes of a run of strings."""
     for at in range(0, len(text) - length + 1, CHUNK):
-        data = np.frombuffer(text, np.uint8, min(len(text) - at, CHUNK + length - 1), at)
-        w = _words(data)
-        n = len(data) - GRAM + 1
-        h = _mix(w[:n] * np.uint64(0x9E3779B97F4A7C15))
-        for k in (8, GRAM - 8):  # eight bytes at a time, the last ones from the end
-            h = _mix((h + w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15))
-        yield at, _slide(h, length - GRAM + 1, np.minimum)
+        w = _words(np.frombuffer(text, np.uint8, min(len(text) - at, CHUNK + length - 1), at))
+        n = len(w) + 8 - GRAM
+        h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+        for k, odd in ((8, 0xC2B2AE3D27D4EB4F), (GRAM - 8, 0x165667B19E3779F9)):  # eight bytes at a time, the last ones from the end
+            h += w[k : k + n] * np.uint64(odd)
+        yield at, _slide(_mix(h), length - GRAM + 1, np.minimum)
+
+
+def runs(texts: bytes, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of strings of a text that have one anchor, for joined texts: the text's
+    number, where the run's strings begin and end, and the anchor."""
+    breaks = np.sort(np.concatenate((offsets[:-1], offsets[1:] - length + 1)))  # strings between these are within a text or in none
+    for at, least in least_hashes(texts, length):
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[breaks[np.searchsorted(breaks, at) : np.searchsorted(breaks, at + len(least))] - at] = True
+        begin = np.flatnonzero(new)
+        end, anchor = np.append(begin[1:], len(least)) + at, least[begin]
+        begin += at
+        text = np.searchsorted(offsets, begin, side="right") - 1
+        inside = begin + length <= offsets[text + 1]
+        yield text[inside], begin[inside], end[inside], anchor[inside]
 
 
 def anchors(text: bytes, length: int = LENGTH) -> np.ndarray:
     """The distinct smallest hashes of a text's strings."""
-    found = [np.unique(x) for _, x in least_hashes(text, length)]
+    found = [h for *_, h in runs(text, np.array([0, len(text)]), length)]
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
+def _joined(column: pa.Array) -> Iterator[tuple[slice, bytes, np.ndarray]]:
+    """Texts of a column in joined runs of some: their rows, their bytes, and where
+    each begins. Long ones come alone, so a text is always chunked alike."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    stripe, long = (offsets[:-1] - offsets[0]) // (CHUNK // 2), np.diff(offsets) > CHUNK // 2
+    cuts = np.flatnonzero((np.diff(stripe) > 0) | long[1:] | long[:-1]) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(long)], strict=True):
+        if lo < hi:
+            yield slice(lo, hi), data[offsets[lo] : offsets[hi]].to_pybytes(), offsets[lo : hi + 1] - offsets[lo]
+
+
+def _scattered(h: np.ndarray) -> np.ndarray:
+    """Another number for each hash: smallest hashes are small, these are anywhere."""
+    return _mix(h * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _is_smaller(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last one is not."""
-    sign = np.sign(np.diff(t.astype(np.int16)))
-    sign = np.append(sign, -1)
-    decided = np.flatnonzero(sign)
-    return sign[decided[np.searchsorted(decided, np.arange(len(t)))]] > 0
+    decided = np.append(np.flatnonzero(t[1:] != t[:-1]), len(t) - 1)
+    rises = np.append(t[:-1] < t[1:], False)[decided]
+    return np.repeat(rises, np.diff(decided, prepend=-1))
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """np.argsort. Keys of few bits are sorted with their places behind them, which
+    is faster than sorting the places."""
+    bits = np.uint64(len(keys).bit_length())
+    if not len(keys) or keys.max() >> (np.uint64(64) - bits):
+        return np.argsort(keys)
+    placed = np.sort((keys << bits) | np.arange(len(keys), dtype=np.uint64))
+    return (placed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -106,8 +151,9 @@ def _sorted(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
             break
         mine = places[at]
         # Group and rank are below 2**32 each, since a block's bytes are.
-        keys = (group.astype(np.uint64) << np.uint64(32)) | _ranks(words[mine + k])
-        order = np.argsort(keys)
+        ranks = _ranks(words[mine + k])
+        keys = group.astype(np.uint64) * (ranks.max() + np.uint64(1)) + ranks
+        order = _order(keys)
         places[at], keys = mine[order], keys[order]
         group = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
     return places
@@ -172,10 +218,12 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tupl
     inside = np.arange(len(t)) - np.repeat(begin, lengths) <= np.repeat(lengths, lengths) - length
     sa = suffix_array(t, length)
     words = _words(np.pad(t, (0, length + 16)))
-    # Common prefixes of neighbours, as far as they matter.
+    # Common prefixes of neighbours, as far as they matter; their ends tell most apart.
     same = np.zeros(len(sa) - 1, bool)
     at = np.arange(len(sa) - 1)
-    for k in [*range(0, length - 8, 8), length - 8]:
+    ends = words[sa + (length - 8)]
+    at = at[ends[1:] == ends[:-1]]
+    for k in range(0, length - 8, 8):
         at = at[words[sa[at] + k] == words[sa[at + 1] + k]]
     same[at] = True
     sa_inside = inside[sa]
@@ -185,11 +233,11 @@ def repeats(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tupl
         nothing = np.zeros(len(t), bool)
         return inside, nothing, nothing, begin
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(owner[order], heads)
-    least = np.repeat(least, np.diff(np.append(heads, len(order))))
+    owners = owner[order]
+    least = np.repeat(np.minimum.reduceat(owners, heads), np.diff(np.append(heads, len(order))))
     removed, first = np.zeros(len(t), bool), np.zeros(len(t), bool)
-    removed[order] = owner[order] > least
-    first[order] = owner[order] == least
+    removed[order] = owners > least
+    first[order] = owners == least
     return inside, removed, first, begin
 
 
@@ -208,52 +256,122 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select("d", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
 
 
-def _anchor_rows(docs: DataFrame, with_key: bool, length: int) -> DataFrame:
-    """h and d (and key): a row for each distinct anchor of a text."""
+def _dealt(h: np.ndarray, d: np.ndarray, group: np.ndarray, buckets: int, few: int) -> pa.RecordBatch:
+    """Anchors in the order of h, an array for each bucket. Those of more than
+    ``few`` rows are for all groups (-1): their first and last document will do."""
+    # By 40 bits: anchors alike in these may mix here, which the bucket's own sort undoes.
+    order = _order(h >> np.uint64(24))
+    h, d, group = h[order], d[order], group[order]
+    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    sizes = np.diff(np.append(heads, len(h)))
+    many = sizes > few
+    if many.any():
+        least, most, one = np.minimum.reduceat(d, heads)[many], np.maximum.reduceat(d, heads)[many], h[heads[many]]
+        few = ~np.repeat(many, sizes)
+        h, d, group = (np.concatenate(x) for x in ((h[few], one, one), (d[few], least, most), (group[few], np.full(2 * len(one), -1, np.int32))))
+        order = np.argsort(h)
+        h, d, group = h[order], d[order], group[order]
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True))
+    columns = [pa.array([x[lo:hi].tobytes() for lo, hi in spans], pa.binary()) for x in (h, d, group)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *columns], names=["bucket", "h", "d", "group"])
+
+
+def _anchor_rows(docs: DataFrame, buckets: int, groups: int, length: int) -> DataFrame:
+    """A row for each bucket and some anchors: arrays of anchors, their documents
+    and the groups of their texts."""
+    few = max(FEW, groups // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
-                found = [anchors(b.as_py(), length) for b in part.column("b")]
-                sizes = [len(h) for h in found]
-                columns = {"h": np.concatenate(found).view(np.int64), "d": np.repeat(part.column("d").to_numpy(), sizes)}
-                if with_key:
-                    columns["key"] = np.repeat(part.column("key").to_numpy(), sizes)
-                yield pa.RecordBatch.from_pydict(columns)
+            d, key = batch.column("d").to_numpy(), batch.column("key").to_numpy()
+            group = ((key ^ d) % groups).astype(np.int32)
+            for rows, texts, offsets in _joined(batch.column("b")):
+                for text, _, _, h in runs(texts, offsets, length):
+                    found.append((_scattered(h), d[rows][text], group[rows][text]))
+                    n += len(h)
+                    if n >= FLUSH:
+                        yield _dealt(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets, few)
+                        found, n = [], 0
+        if n:
+            yield _dealt(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets, few)
+
+    return _keyed(docs).where(F.length("b") >= length).mapInArrow(run, "bucket int, h binary, d binary, group binary")
+
+
+def _array(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-    return _keyed(docs).where(F.length("b") >= length).mapInArrow(run, "h bigint, d bigint" + ", key bigint" * with_key)
 
+def _shared(groups: int):  # noqa: ANN202
+    """Of a bucket's anchors those that several documents have, for each group of
+    texts with their first document, m."""
 
-def _pieces(joined: DataFrame, length: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        h, d, group = _array(table["h"], np.uint64), _array(table["d"], np.int64), _array(table["group"], np.int32)
+        order = np.argsort(h)
+        h, d, group = h[order], d[order], group[order]
+        heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        least, sizes = np.minimum.reduceat(d, heads), np.diff(np.append(heads, len(h)))
+        shared = least < np.maximum.reduceat(d, heads)
+        everywhere = shared & (np.minimum.reduceat(group, heads) < 0)
+        rows = np.repeat(shared & ~everywhere, sizes)
+        # Groups and rows of a bucket are below 2**31.
+        order = np.sort((group[rows].astype(np.uint64) << np.uint64(32)) | np.arange(rows.sum(), dtype=np.uint64))
+        order = (order & np.uint64(2**32 - 1)).astype(np.int64)
+        to_all = h[heads[everywhere]].tobytes(), least[everywhere].tobytes()
+        h, m, group = h[rows][order], np.repeat(least, sizes)[rows][order], group[rows][order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
+        h, m, group = h[once], m[once], group[once]
+        to = np.arange(groups, dtype=np.int32) if to_all[0] else np.unique(group)
+        spans = list(zip(np.searchsorted(group, to).tolist(), np.searchsorted(group, to, side="right").tolist(), strict=True))
+        hs, ms = ([x[lo:hi].tobytes() + more for lo, hi in spans] for x, more in zip((h, m), to_all, strict=True))
+        return pa.table({"group": to, "h": pa.array(hs, pa.binary()), "m": pa.array(ms, pa.binary())})
+
+    return run
+
+
+def _pieces(length: int):  # noqa: ANN202
     """The bytes of the strings whose anchor is shared, a piece for each run of
     strings whose anchor has the same first document, m.
 
     Equal strings have the same anchor, so all of them are in pieces of one m.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"d": [], "key": [], "start": [], "m": [], "id": [], "bytes": []}
-            for d, key, b, found in zip(*(batch.column(c) for c in ("d", "key", "b", "found")), strict=True):
-                text, values = b.as_py(), found.values.flatten()
-                h, m = values[0].to_numpy().view(np.uint64), values[1].to_numpy()
-                order = np.argsort(h)
-                h, m = h[order], m[order]
-                for first, least in least_hashes(text, length):
-                    at = np.minimum(np.searchsorted(h, least), len(h) - 1)
-                    shared, group = h[at] == least, m[at]
-                    ends = np.flatnonzero(np.concatenate(((shared[1:] != shared[:-1]) | (group[1:] != group[:-1]), [True]))) + 1
-                    begins = np.concatenate(([0], ends[:-1]))
-                    for begin, end in zip(begins[shared[begins]].tolist(), ends[shared[begins]].tolist(), strict=True):
-                        for s in range(begin, end, PIECE):
-                            piece = text[first + s : first + min(s + PIECE, end) + length - 1]
-                            for name, value in (("d", d.as_py()), ("key", key.as_py()), ("start", first + s), ("m", int(group[begin])), ("id", hashlib.blake2b(piece, digest_size=16).digest()), ("bytes", piece)):
-                                out[name].append(value)
-            types = {"id": pa.binary(), "bytes": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
-
-    return joined.select("d", "key", "b", "found").mapInArrow(run, "d bigint, key bigint, start bigint, m bigint, id binary, bytes binary")
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        h, m = _array(found["h"], np.uint64), _array(found["m"], np.int64)
+        order = np.argsort(h)
+        h, m = h[order], m[order]
+        out: dict[str, list] = {"d": [], "key": [], "start": [], "m": []}
+        pieces: list[bytes] = []
+        for batch in texts.to_batches() if len(h) else []:
+            d, key = batch.column("d").to_numpy(), batch.column("key").to_numpy()
+            for rows, joined, offsets in _joined(batch.column("b")):
+                for text, begin, end, anchor in runs(joined, offsets, length):
+                    anchor = _scattered(anchor)
+                    at = np.minimum(np.searchsorted(h, anchor), len(h) - 1)
+                    shared = h[at] == anchor
+                    text, begin, end, group = text[shared], begin[shared], end[shared], m[at[shared]]
+                    if not len(text):
+                        continue
+                    first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (begin[1:] != end[:-1]) | (group[1:] != group[:-1]))))
+                    text, begin, end, group = text[first], begin[first], end[np.append(first[1:], len(end)) - 1], group[first]
+                    parts = -(-(end - begin) // PIECE)
+                    of = np.repeat(np.arange(len(parts)), parts)
+                    begin = begin[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+                    end = np.minimum(begin + PIECE, end[of]) + length - 1
+                    text = text[of]
+                    for name, value in (("d", d[rows][text]), ("key", key[rows][text]), ("start", begin - offsets[text]), ("m", group[of])):
+                        out[name].append(value)
+                    pieces += [joined[lo:hi] for lo, hi in zip(begin.tolist(), end.tolist(), strict=True)]
+        columns = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}
+        ids = [hashlib.blake2b(piece, digest_size=16).digest() for piece in pieces]
+        return pa.table({**columns, "id": pa.array(ids, pa.binary()), "bytes": pa.array(pieces, pa.binary())})
+
+    return run
 
 
 def _block(length: int):  # noqa: ANN202
@@ -288,12 +406,13 @@ def _block(length: int):  # noqa: ANN202
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Of rows with d and text: d, key (which name a row) and spans: the stretches (lo, hi) to remove."""
-    shared = _anchor_rows(docs, False, length).groupBy("h").agg(F.min("d").alias("m"), F.max("d").alias("x")).where("m < x").select("h", "m")
-    shared = materialize(shared, "shared")
-    met = _anchor_rows(docs, True, length).join(shared, "h").groupBy("d", "key").agg(F.collect_list(F.struct("h", "m")).alias("found"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, groups = total // BUCKET + 1, total // GROUP + 1
+    met = _anchor_rows(docs, buckets, groups, length).groupBy("bucket").applyInArrow(_shared(groups), "group int, h binary, m binary")
     met = materialize(met, "met")
-    texts = _keyed(docs).join(met, ["d", "key"])
-    pieces = materialize(_pieces(texts, length), "pieces")
+    texts = _keyed(docs).where(F.length("b") >= length).withColumn("group", F.pmod(F.col("key").bitwiseXOR(F.col("d")), F.lit(groups)).cast("int"))
+    pieces = texts.groupBy("group").cogroup(met.groupBy("group")).applyInArrow(_pieces(length), "d bigint, key bigint, start bigint, m bigint, id binary, bytes binary")
+    pieces = materialize(pieces, "pieces")
 
     # Equal pieces are compared once, as their smallest document's.
     distinct = pieces.groupBy("m", "id").agg(F.min("d").alias("first"), F.first("bytes").alias("bytes"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveline.llm import suffix
@@ -120,3 +121,37 @@ def test_only_ties_are_sorted_again(monkeypatch):
         ranked.clear()
         suffix._sorted(suffix._words(padded, big=True), np.arange(300), 50)
         assert (sum(ranked) == 0) == (len(alphabet) == 256)
+
+
+def test_anchors_travel_as_arrays(spark):
+    """One row a bucket and some anchors, whatever the texts: rows of single anchors took most of the time."""
+    rows = corpus(11)
+    docs = suffix._ordered(spark.createDataFrame(rows, DOCS))
+    dealt = suffix._anchor_rows(docs.coalesce(1), 3, 5, 50).collect()
+    assert sorted(r.bucket for r in dealt) == [0, 1, 2]
+    found = {(h, d) for r in dealt for h, d in zip(np.frombuffer(r.h, np.uint64).tolist(), np.frombuffer(r.d, np.int64).tolist(), strict=True)}
+    assert found == {(h, i) for i, t, _ in rows for h in suffix._scattered(suffix.anchors(t.encode())).tolist()}
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_many_buckets_groups_and_common_anchors(spark, monkeypatch, seed):
+    """Anchors that more than a few rows have are for every group of texts."""
+    for name, value in (("BUCKET", 900), ("GROUP", 700), ("FLUSH", 300), ("FEW", 1), ("CHUNK", 256), ("PIECE", 64)):
+        monkeypatch.setattr(suffix, name, value)
+    rows = corpus(seed)
+    assert got(spark, rows) == plain(rows)
+
+
+def test_joined_texts():
+    """Runs of joined texts are those of each text alone, and long texts come alone."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("ab", k=n)).encode() for n in (0, 49, 50, 51, 300, 70, 0, 60, 200_000, 64, 140_000, 150_000, 50)]
+    seen = []
+    for rows, joined, offsets in suffix._joined(pa.array([b"skipped", *texts], pa.binary()).slice(1)):
+        mine = texts[rows]
+        assert joined == b"".join(mine) and (np.diff(offsets) == [len(t) for t in mine]).all()
+        seen += mine
+        alone = [(k, lo + offsets[k], hi + offsets[k], h) for k, t in enumerate(mine) for part in suffix.runs(t, np.array([0, len(t)])) for _, lo, hi, h in zip(*part, strict=True)]
+        assert alone == [x for part in suffix.runs(joined, offsets) for x in zip(*part, strict=True)]
+        assert len(mine) == 1 or max(map(len, mine)) <= suffix.CHUNK // 2
+    assert seen == texts
