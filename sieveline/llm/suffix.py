@@ -406,11 +406,13 @@ def _block(length: int):  # noqa: ANN202
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Of rows with d and text: d, key (which name a row) and spans: the stretches (lo, hi) to remove."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, groups = total // BUCKET + 1, total // GROUP + 1
+    total, unnamed = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("d") == LAST, F.lit(1)))).first()
+    buckets, groups = (total or 0) // BUCKET + 1, (total or 0) // GROUP + 1
     met = _anchor_rows(docs, buckets, groups, length).groupBy("bucket").applyInArrow(_shared(groups), "group int, h binary, m binary")
     met = materialize(met, "met")
     texts = _keyed(docs).where(F.length("b") >= length).withColumn("group", F.pmod(F.col("key").bitwiseXOR(F.col("d")), F.lit(groups)).cast("int"))
+    if unnamed > 1:  # Copies without id are one name, so one group: the first will do for all.
+        texts = texts.where(F.col("d") < LAST).unionByName(texts.where(F.col("d") == LAST).dropDuplicates(["d", "key"]))
     pieces = texts.groupBy("group").cogroup(met.groupBy("group")).applyInArrow(_pieces(length), "d bigint, key bigint, start bigint, m bigint, id binary, bytes binary")
     pieces = materialize(pieces, "pieces")
 

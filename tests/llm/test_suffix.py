@@ -155,3 +155,24 @@ def test_joined_texts():
         assert alone == [x for part in suffix.runs(joined, offsets) for x in zip(*part, strict=True)]
         assert len(mine) == 1 or max(map(len, mine)) <= suffix.CHUNK // 2
     assert seen == texts
+
+
+def test_copies_without_id_are_cut_once(spark, monkeypatch):
+    """Rows without id that are alike share a group of texts, so only one of them goes there."""
+    sizes = spark.sparkContext.accumulator(0)
+    cut = suffix._pieces
+
+    def counted(length):
+        run = cut(length)
+
+        def wrapped(texts, found):
+            sizes.add(texts.num_rows)
+            return run(texts, found)
+
+        return wrapped
+
+    monkeypatch.setattr(suffix, "_pieces", counted)
+    text = "".join(random.Random(8).choices("abcdef ", k=200))
+    rows = [(None, text, "")] * 40 + [(None, text + "!", "")] + [(3, "x" + text[20:], ""), (3, "x" + text[20:], ""), (5, text[:90], "")]
+    assert got(spark, rows) == plain(rows)
+    assert sizes.value == 5
