@@ -75,10 +75,12 @@ def visual_only_anti(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add(f"{_PAIRS} SELECT r.r_id, r.scene FROM r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.scene = r.scene AND abs(n_x - r_x) <= 5 AND abs(n_y - r_y) <= 5)")
 def proximity_anti(spark: SparkSession, folder: str) -> DataFrame:
     # A band of five in both directions: neighbours share a cell of six once one side is in three by three.
-    r = _regions(spark, folder).withColumn("c", F.explode(F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((F.floor(F.col("r_x") / 6) + i).alias("x"), (F.floor(F.col("r_y") / 6) + j).alias("y")))))))
-    n = _nodes(spark, folder).select(F.col("scene").alias("s"), "n_x", "n_y", F.struct(F.floor(F.col("n_x") / 6).alias("x"), F.floor(F.col("n_y") / 6).alias("y")).alias("c"))
-    close = r.join(n, (r["scene"] == n["s"]) & (r["c"] == n["c"])).where((F.abs(F.col("n_x") - F.col("r_x")) <= 5) & (F.abs(F.col("n_y") - F.col("r_y")) <= 5)).select("r_id").distinct()
-    return _regions(spark, folder).join(close, "r_id", "left_anti").select("r_id", "scene")
+    # Both sides grow with the table, so neither is broadcast, however small its columns look.
+    at = lambda i, j: F.struct((F.floor(F.col("n_x") / 6) + i).alias("x"), (F.floor(F.col("n_y") / 6) + j).alias("y"))
+    n = _nodes(spark, folder).select(F.col("scene").alias("s"), "n_x", "n_y", F.explode(F.array(*[at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
+    r = _regions(spark, folder).withColumn("at", F.struct(F.floor(F.col("r_x") / 6).alias("x"), F.floor(F.col("r_y") / 6).alias("y")))
+    close = (r["scene"] == n["s"]) & (r["at"] == n["c"]) & (F.abs(F.col("n_x") - F.col("r_x")) <= 5) & (F.abs(F.col("n_y") - F.col("r_y")) <= 5)
+    return r.join(n.hint("merge"), close, "left_anti").select("r_id", "scene")
 
 
 _NMS = f"""WITH b AS ({_made_sql('b', REGION)}),
