@@ -116,5 +116,4 @@ k AS (SELECT o.vec_id, o.c, o.p, min(a) AS component FROM o JOIN reach r ON r.ve
 SELECT * FROM (SELECT vec_id, component, count(*) AS cells, min(c % 8) AS x0, min(c // 8) AS y0, max(c % 8) AS x1, max(c // 8) AS y1, round(avg(p), 6) AS mean FROM k GROUP BY vec_id, component) WHERE (x1 - x0 + 1) * (y1 - y0 + 1) >= 3 AND mean >= 0.14""")
 def connected_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of vectors as grids of eight columns."""
-    found = grids.components(table(spark, folder, "embeddings").withColumn("vec_id", F.col("vec_id").cast("long")), "vec_id", "embedding", 8, 0.1, 3, 0.14)
-    return found.withColumn("mean", F.round("mean", 6))
+    return grids.components(table(spark, folder, "embeddings").withColumn("vec_id", F.col("vec_id").cast("long")), "vec_id", "embedding", 8, 0.1, 3, 0.14, 6)
