@@ -87,7 +87,7 @@ def _near(a: DataFrame, b: DataFrame, dx: int, dy: int) -> DataFrame:
     at = lambda d: F.struct((F.floor(F.col("x") / (dx + 1)) + d["x"]).alias("x"), (F.floor(F.col("y") / (dy + 1)) + d["y"]).alias("y"))
     left = a.select("scene", F.col("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.explode(F.transform(around, at)).alias("c"))
     right = b.select("scene", F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.struct(F.floor(F.col("x") / (dx + 1)).alias("x"), F.floor(F.col("y") / (dy + 1)).alias("y")).alias("c"))
-    return left.join(right, ["scene", "c"]).where((F.abs(F.col("xi") - F.col("xj")) <= dx) & (F.abs(F.col("yi") - F.col("yj")) <= dy)).select("scene", "i", "j")
+    return left.join(right.hint("merge"), ["scene", "c"]).where((F.abs(F.col("xi") - F.col("xj")) <= dx) & (F.abs(F.col("yi") - F.col("yj")) <= dy)).select("scene", "i", "j")
 
 
 def seeded_groups(blocks: DataFrame, dx: int, dy: int) -> DataFrame:
@@ -97,25 +97,30 @@ def seeded_groups(blocks: DataFrame, dx: int, dy: int) -> DataFrame:
 
     A block is a seed for certain once no undecided block before it reaches it. So
     every round takes all such blocks of all scenes at once, and what they reach
-    is decided with them; no scene is folded as a whole.
+    is decided with them; no scene is folded as a whole. Pairs with a decided block
+    go, so a round reads what is left. All of these grow with the tables, so they
+    are joined by merging: Spark would broadcast them by their small columns. A block
+    without scene or i has no group.
     """
     near = written(_near(blocks, blocks, dx, dy).where("i < j"), "near")
-    open_, seeds = written(blocks.select("scene", "i"), "open"), []
+    open_, alive, seeds = written(blocks.select("scene", "i").dropna(), "open"), near, []
     while not open_.isEmpty():
-        alive = near.join(open_, ["scene", "i"], "left_semi").join(open_.withColumnRenamed("i", "j"), ["scene", "j"], "left_semi")
-        fresh = written(open_.join(alive.select("scene", F.col("j").alias("i")), ["scene", "i"], "left_anti"), "seeds")
+        later = alive.select("scene", F.col("j").alias("i")).hint("merge")
+        fresh = written(open_.join(later, ["scene", "i"], "left_anti"), "seeds")
         seeds.append(fresh)
-        reached = near.join(fresh, ["scene", "i"], "left_semi").select("scene", F.col("j").alias("i"))
-        open_ = written(open_.join(fresh, ["scene", "i"], "left_anti").join(reached, ["scene", "i"], "left_anti"), "open")
+        reached = alive.join(fresh.hint("merge"), ["scene", "i"], "left_semi").select("scene", F.col("j").alias("i"))
+        open_ = written(open_.join(fresh.unionByName(reached).hint("merge"), ["scene", "i"], "left_anti"), "open")
+        left = open_.hint("merge")
+        alive = written(alive.join(left, ["scene", "i"], "left_semi").join(left.withColumnRenamed("i", "j").hint("merge"), ["scene", "j"], "left_semi"), "near")
     if not seeds:
         return blocks.select("scene", "i", F.col("i").alias("seed"))
     every = seeds[0]
     for more in seeds[1:]:
         every = every.unionByName(more)
-    every = written(every, "seeds")
-    taken = near.join(every, ["scene", "i"], "left_semi").groupBy("scene", "j").agg(F.min("i").alias("seed")).withColumnRenamed("j", "i")
-    own = every.withColumn("mine", F.lit(True))
-    return blocks.select("scene", "i").join(own, ["scene", "i"], "left").join(taken, ["scene", "i"], "left").select("scene", "i", F.when(F.col("mine"), F.col("i")).otherwise(F.col("seed")).alias("seed"))
+    every = written(every, "seeds").hint("merge")
+    taken = near.join(every, ["scene", "i"], "left_semi").select("scene", F.col("j").alias("i"), F.col("i").alias("seed"))
+    own = every.select("scene", "i", F.col("i").alias("seed"))
+    return own.unionByName(taken).groupBy("scene", "i").agg(F.min("seed").alias("seed"))
 
 
 def areas(regions: DataFrame, width: float, height: float, cell: int = 128) -> DataFrame:

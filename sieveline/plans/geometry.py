@@ -78,7 +78,7 @@ g AS (SELECT b.scene, b.b_id, b_x, b_y, score, min(s.i) AS seed FROM b JOIN s ON
 def merged_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Union boxes of blocks that a seed reaches."""
     b = _made(spark, folder, "b", REGION).select("scene", F.col("b_id").alias("i"), F.col("b_x").alias("x"), F.col("b_y").alias("y"), "score")
-    groups = b.join(boxes.seeded_groups(b, MERGE_X, MERGE_Y), ["scene", "i"]).groupBy("scene", "seed")
+    groups = b.join(boxes.seeded_groups(b, MERGE_X, MERGE_Y).hint("merge"), ["scene", "i"]).groupBy("scene", "seed")
     x, y = F.min("x"), F.min("y")
     out = groups.agg(
         x.alias("x"), y.alias("y"), F.least(F.max("x") + BLOCK - x, WIDTH - x).alias("w"), F.least(F.max("y") + BLOCK - y, HEIGHT - y).alias("h"), F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score")
